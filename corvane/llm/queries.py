@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, packing, sharding, suffixes, warc, windows
+from . import ann, bm25, langid, minhash, mixing, packing, sharding, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = windows.remove_repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -29,6 +33,10 @@ def op5_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op6_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search_similar(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -46,7 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ann_posting_lists, op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op6_bm25_block_max, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing)}
 
 SQL = {
     "op2_substring_windows": r"""
@@ -100,4 +108,20 @@ SQL = {
         )
         SELECT page_id, CAST(octet_length(raw) AS BIGINT) AS payload_bytes, digest AS payload_digest,
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM firsts""",
+    "op6_bm25_block_max": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+        ), n AS (
+            SELECT count(*) AS n, avg(len(w)) AS mean FROM d
+        ), tf AS (
+            SELECT doc_id, len AS len, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d) GROUP BY ALL
+        ), df AS (
+            SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, n GROUP BY term, n
+        ), hits AS (
+            SELECT q.doc_id AS query_id, tf.doc_id, floor(sum(idf * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * tf.len / mean))) * 1e6 + 0.5) / 1e6 AS score
+            FROM tf q JOIN df USING (term) JOIN tf ON tf.term = q.term, n WHERE q.doc_id % 50 = 0 GROUP BY ALL
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM hits
+        )
+        SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10""",
 }
