@@ -13,8 +13,9 @@ from .common import materialize, work_path
 from .superkmers import PrefixHash, mixed, ragged
 
 U8 = np.uint64
-BLOCK_DOCS = 64
+BLOCK_DOCS = 8
 FEED = 2 << 20
+STEP = 8  # frequent terms that are added before documents are dropped again
 #: Scores are compared after rounding to six places; pruning leaves this much room for it.
 SLACK = 2e-6
 INDEX = "terms binary, starts binary, ords binary, tfs binary, ids binary, lengths binary"
@@ -59,6 +60,9 @@ def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
+            # Documents with the same commonest term and of similar length are neighbours, so that a block's maxima fit all of it.
+            key = sorted(range(len(ids)), key=lambda i: (int(parts[i][0][parts[i][1].argmax()]) if lengths[i] else 0, lengths[i]))
+            ids[:], lengths[:], parts[:] = [ids[i] for i in key], [lengths[i] for i in key], [parts[i] for i in key]
             terms = np.concatenate([t for t, _ in parts])
             tfs = np.concatenate([c for _, c in parts]).astype(np.int32)
             ords = np.repeat(np.arange(len(parts), dtype=np.int32), [len(t) for t, _ in parts])
@@ -94,21 +98,23 @@ class Shard:
         self.weights = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * lengths[self.ords] / mean))
         self.docs = len(self.ids)
         self.size = np.diff(self.starts)
-        self.frequent = np.flatnonzero(self.size > max(BLOCK_DOCS, self.docs // 32))
+        self.frequent = np.flatnonzero(self.size > max(64, self.docs // 8))
         self.column = np.full(len(self.terms), -1)
         self.column[self.frequent] = np.arange(len(self.frequent))
         blocks = -(-self.docs // BLOCK_DOCS)
-        self.dense = np.zeros((blocks * BLOCK_DOCS, len(self.frequent)))
+        self.dense = np.zeros((len(self.frequent), blocks * BLOCK_DOCS))
         for i, t in enumerate(self.frequent):
             lo, hi = self.starts[t], self.starts[t + 1]
-            self.dense[self.ords[lo:hi], i] = self.weights[lo:hi]
-        self.block_max = self.dense.reshape(blocks, BLOCK_DOCS, -1).max(1)
+            self.dense[i, self.ords[lo:hi]] = self.weights[lo:hi]
+        self.block_max = self.dense.reshape(len(self.frequent), blocks, BLOCK_DOCS).max(2)
+        self.most = self.block_max.max(1, initial=0)
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of documents that may be among the ``k`` best: all that reach ``least`` and the k-th best score here.
 
-        Postings of infrequent terms are added up. For frequent ones only block maxima are: a document is scored
-        in full if its sum and its block's bound together reach the threshold, which the best of the partial sums have set.
+        Postings of infrequent terms are added up. Frequent terms only bound each block, by the sum of their block maxima. The documents
+        with the best bounds are scored and set the threshold; then the frequent terms, those that can add most first, are added
+        for documents whose sum and remaining bound reach it, and after each step fewer remain.
         """
         at = np.searchsorted(self.terms, terms)
         hit = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
@@ -118,13 +124,24 @@ class Shard:
         index = ragged(self.starts[rare], size)
         sums = np.bincount(self.ords[index], self.weights[index] * np.repeat(idf[~often], size), self.docs) if len(index) else np.zeros(self.docs)
         columns, idf = self.column[at[often]], idf[often]
-        bound = sums + np.repeat(self.block_max[:, columns] @ idf, BLOCK_DOCS)[: self.docs]
+        order = np.argsort(-idf * self.most[columns], kind="stable")
+        columns, idf = columns[order], idf[order]
+        cuts = range(0, len(columns), STEP)
+        rest = [np.zeros(self.block_max.shape[1])]
+        for i in reversed(cuts):
+            rest.append(rest[-1] + idf[i : i + STEP] @ self.block_max[columns[i : i + STEP]])
+        bound = sums + np.repeat(rest.pop(), BLOCK_DOCS)[: self.docs]
         if self.docs > 4 * k:
             best = np.argpartition(bound, -4 * k)[-4 * k :]
-            exact = sums[best] + self.dense[best[:, None], columns] @ idf
+            exact = sums[best] + idf @ self.dense[columns[:, None], best]
             least = max(least, float(np.partition(exact, -k)[-k]))
         some = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
-        scores = sums[some] + self.dense[some[:, None], columns] @ idf
+        scores, block = sums[some], some // BLOCK_DOCS
+        for i in cuts:
+            for c, w in zip(columns[i : i + STEP].tolist(), idf[i : i + STEP].tolist(), strict=True):
+                scores = scores + w * self.dense[c][some]
+            keep = scores + rest.pop()[block] >= least - SLACK
+            some, scores, block = some[keep], scores[keep], block[keep]
         keep = (scores >= least - SLACK) & (scores > 0)
         return self.ids[some[keep]], scores[keep]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_bound_count, materialize
+from .common import int_array, lower_bound_count, materialize
 
 #: The key has 63 bits: 39 of the text's hash, then 24 of the id's. Copies of a text are neighbours
 #: in key order, yet even a group of copies that holds a third of all rows can be split.
@@ -92,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, part_bytes: int = 256 <<
     starts = []
     for p in range(shards * each):
         starts.append(0 if p % each == 0 else starts[-1] + counts.get(p - 1, 0))
-    start = F.get(F.expr(f"transform(split('{','.join(map(str, starts))}', ','), x -> cast(x as bigint))"), F.col("part"))
+    start = F.get(int_array(starts), F.col("part"))
     slot = start + F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id")) - 1
     return placed.select(
         "doc_id",

@@ -227,7 +227,7 @@ def later_ones(groups: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.nda
 class Packer:
     """Collects the runs of blocks of text by bucket, and packs them once enough is held."""
 
-    def __init__(self, k: int, buckets: int, most: int = 40 << 20):
+    def __init__(self, k: int, buckets: int, most: int = 16 << 20):
         self.k, self.buckets, self.most = k, buckets, most
         self.held: dict[int, list[Runs]] = {}
         self.spans: list[tuple] = []
@@ -266,7 +266,7 @@ class Packer:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "settled", "blob"])
 
 
-def find_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, bucket_bytes: int = 16 << 20) -> DataFrame:
+def find_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, bucket_bytes: int = 10 << 20) -> DataFrame:
     """(doc, start, end): unit ranges of ``docs(_id, text)`` covered by windows that also start earlier.
 
     ``blocks(batches, packer)`` feeds the runs of all texts to the packer and yields when it is full.
