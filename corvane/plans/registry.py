@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import corpus, search, sessions  # noqa: F401  they register their queries
+from .base import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
