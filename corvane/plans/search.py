@@ -177,7 +177,7 @@ def graph_expand(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {LOOKUP}, hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0.05) WHERE rank <= 3),
     k AS (SELECT query_id, rank, unnest(tags) AS tag, generate_subscripts(tags, 1) AS p FROM hits JOIN rec USING (doc_id)), f AS (SELECT query_id, tag, min(rank * 10 + p) AS place FROM k WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.query_id = k.query_id AND q.token = k.tag) GROUP BY ALL),
     o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, tag) AS n FROM f)
-    SELECT query_id, string_agg(tag, ' ' ORDER BY n) AS alternative, 0.7 AS weight FROM o WHERE n <= 8 GROUP BY query_id HAVING count(*) >= 2""")
+    SELECT query_id, string_agg(tag, ' ' ORDER BY n) AS alternative, 0.7::DOUBLE AS weight FROM o WHERE n <= 8 GROUP BY query_id HAVING count(*) >= 2""")
 def mechanical_alternatives(spark: SparkSession, sf: str) -> DataFrame:
     """Rephrasings from new tags of the three best hits."""
     q = _lookup_sides(spark, sf)[0]
