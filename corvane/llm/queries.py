@@ -17,7 +17,7 @@ def op1_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = windows.remove_repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = windows.remove_repeated_windows(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -38,7 +38,7 @@ def op6_bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = suffixes.remove_repeated_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

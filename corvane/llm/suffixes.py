@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import BYTE_HASH, Packer, PrefixHash, Runs, joined_spans, later_ones, ragged, remove_repeats, runs_of, same_strings
+from .superkmers import BYTE_HASH, Packer, PrefixHash, Runs, joined_spans, later_ones, minimisers, ragged, remove_repeats, runs_of, same_strings
 
 M = 16
 BLOCK = 2 << 20
@@ -49,57 +49,67 @@ def byte_blocks(k: int):
 class SuffixSorter:
     """Sorts suffixes of a byte array by their first ``k`` bytes, comparing by prefix hashes.
 
-    The common extension of two suffixes is found by binary search over hashes, so that a comparison costs
-    about log2(k) steps; one bottom-up mergesort sorts all groups at once, each element finding its
+    The common extension of two suffixes is found by binary search over hashes of prefixes, so that a comparison costs at
+    most about log2(k) steps; one bottom-up mergesort sorts all groups at once, each element finding its
     rank in the neighbouring run by binary search.
     """
 
-    def __init__(self, data: np.ndarray, k: int):
-        self.data, self.hashes, self.k = data, PrefixHash(data), k
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension, up to ``k``."""
-        n = np.zeros(len(a), np.int64)
-        step = 1 << (self.k.bit_length() - 1)
+    def __init__(self, data: np.ndarray, starts: np.ndarray, k: int):
+        self.data, self.starts, self.k = data, starts, k
+        hashes = PrefixHash(data)
+        self.sums, self.base, self.scale = hashes.sums, hashes.sums[starts], hashes.down[starts]
+        self.whole = self.prefix(np.arange(len(starts)), k)
+
+    def prefix(self, i: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """Hash of the first ``n`` bytes of suffix ``i``."""
+        return (self.sums[self.starts[i] + n] - self.base[i]) * self.scale[i]
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common extension of suffixes ``i`` and ``j``, which differ within ``k`` bytes."""
+        n = np.zeros(len(i), np.int64)
+        a, b, a_base, b_base, a_scale, b_scale = self.starts[i], self.starts[j], self.base[i], self.base[j], self.scale[i], self.scale[j]
+        step = 1 << ((self.k - 1).bit_length() - 1)
         while step:
-            fits = n + step <= self.k
-            end = np.where(fits, n + step, n)
-            n = np.where(fits & (self.hashes(a + n, a + end) == self.hashes(b + n, b + end)), end, n)
+            end = np.minimum(n + step, self.k)
+            n = np.where((self.sums[a + end] - a_base) * a_scale == (self.sums[b + end] - b_base) * b_scale, end, n)
             step >>= 1
-        return n
-
-    def before(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a sorts before b, they are equal)."""
-        n = self.common(a, b)
-        equal = n == self.k
-        last = np.minimum(n, self.k - 1)
-        return ~equal & (self.data[a + last] < self.data[b + last]), equal
-
-    def sort(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of ``starts`` within each group; ``group`` is ascending."""
-        n = len(starts)
+        return np.minimum(n, self.k - 1)
+
+    def before(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(suffix i sorts before suffix j, they are equal)."""
+        equal = self.whole[i] == self.whole[j]
+        less = np.zeros(len(i), bool)
+        x = np.flatnonzero(~equal)
+        n = self.common(i[x], j[x])
+        less[x] = self.data[self.starts[i[x]] + n] < self.data[self.starts[j[x]] + n]
+        return less, equal
+
+    def sort(self, group: np.ndarray) -> np.ndarray:
+        """Order of the suffixes within each group; ``group`` is ascending."""
+        n = len(self.starts)
         order = np.arange(n)
         edge = np.flatnonzero(np.diff(group, prepend=group[:1] - 1)) if n else order
-        g_lo = edge[np.searchsorted(edge, np.arange(n), "right") - 1]
-        g_hi = np.append(edge[1:], n)[np.searchsorted(edge, np.arange(n), "right") - 1]
+        which = np.searchsorted(edge, np.arange(n), "right") - 1
+        g_lo, g_hi = edge[which], np.append(edge[1:], n)[which]
         width = 1
-        while (g_hi - g_lo > width).any():
-            index = np.arange(n)
-            run = (index - g_lo) // width
-            lo = g_lo + run * width
+        live = np.arange(n)
+        while (live := live[g_hi[live] - g_lo[live] > width]).size:
+            run = (live - g_lo[live]) // width
+            lo = g_lo[live] + run * width
             left = run % 2 == 0
-            o_lo = np.minimum(np.where(left, lo + width, lo - width), g_hi)
-            o_hi = np.where(left, np.minimum(o_lo + width, g_hi), lo)
-            x, y = o_lo.copy(), o_hi.copy()
-            while (go := np.flatnonzero(x < y)).size:
+            o_lo = np.minimum(np.where(left, lo + width, lo - width), g_hi[live])
+            o_hi = np.where(left, np.minimum(o_lo + width, g_hi[live]), lo)
+            x, y, own = o_lo.copy(), o_hi.copy(), order[live]
+            go = np.flatnonzero(x < y)
+            while go.size:
                 mid = (x[go] + y[go]) // 2
-                less, equal = self.before(starts[order[mid]], starts[order[go]])
+                less, equal = self.before(order[mid], own[go])
                 ahead = less | (equal & ~left[go])
                 x[go] = np.where(ahead, mid + 1, x[go])
                 y[go] = np.where(ahead, y[go], mid)
-            place = np.where(left, lo, o_lo) + (index - lo) + (x - o_lo)
-            merged = np.empty_like(order)
-            merged[place] = order
+                go = go[x[go] < y[go]]
+            merged = order.copy()
+            merged[np.where(left, lo, o_lo) + (live - lo) + (x - o_lo)] = own
             order = merged
             width *= 2
         return order
@@ -108,19 +118,32 @@ class SuffixSorter:
 def match_bytes(runs: Runs, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix-sort the windows of each minimiser; all but the earliest of equal windows are returned.
 
-    Neighbours whose hashes agree over ``k`` bytes are compared byte by byte; should two differ, their group is sorted anew by its bytes.
+    Equal windows have their minimiser at the same place, so windows are sorted in groups of minimiser and place. Neighbours whose hashes agree over ``k`` bytes are compared byte by byte; should two
+    differ, their group is sorted anew by its bytes.
     """
+    none = np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(runs.value)), runs.windows)
     window = ragged(np.zeros(len(runs.value), np.int64), runs.windows.astype(np.int64))
+    minimiser = np.concatenate([[0], np.cumsum(runs.value[1:] != runs.value[:-1])])
     starts = begin[at] + window
-    group = np.concatenate([[0], np.cumsum(runs.value[1:] != runs.value[:-1])])[at]
-    sorter = SuffixSorter(runs.data, k)
-    order = sorter.sort(starts, group)
-    a, b = starts[order[:-1]], starts[order[1:]]
-    equal = (group[order[1:]] == group[order[:-1]]) & (sorter.common(a, b) == k)
+    place = minimisers(BYTE_HASH[runs.data], k, M)[0][starts] - starts
+    group = minimiser[at] * k + place
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    alone = np.ones(len(group), bool)
+    same = group[1:] == group[:-1]
+    alone[1:] &= ~same
+    alone[:-1] &= ~same
+    order, group = order[~alone], group[~alone]
+    if not len(order):
+        return none, none
+    at, window, starts = at[order], window[order], starts[order]
+    sorter = SuffixSorter(runs.data, starts, k)
+    order = sorter.sort(group)
+    equal = (group[1:] == group[:-1]) & (sorter.whole[order[1:]] == sorter.whole[order[:-1]])
     near = np.flatnonzero(equal)
-    verified = same_strings(runs.data, a[near], b[near], np.full(len(near), k))
-    for g in np.unique(group[order[near[~verified]]]):
+    verified = same_strings(runs.data, starts[order[near]], starts[order[near + 1]], np.full(len(near), k))
+    for g in np.unique(group[near[~verified]]):
         span = np.flatnonzero(group == g)  # consecutive, before and after sorting
         text = {i: runs.data[starts[i] : starts[i] + k].tobytes() for i in span.tolist()}
         order[span] = sorted(text, key=text.__getitem__)
@@ -131,8 +154,8 @@ def match_bytes(runs: Runs, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at[pick], window[pick]
 
 
-def cut_bytes(text: str | None, spans: list | None) -> tuple[int, int, int, bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
+def cut_bytes(text: bytes | None, spans: list | None) -> tuple[int, int, int, bytes]:
+    raw = text or b""
     ranges = joined_spans(spans, len(raw))
     kept, last = [], 0
     for s, e in ranges:
@@ -142,7 +165,7 @@ def cut_bytes(text: str | None, spans: list | None) -> tuple[int, int, int, byte
     return len(raw), sum(e - s for s, e in ranges), len(ranges), b"".join(kept)
 
 
-def remove_repeated_strings(docs: DataFrame, k: int = 100) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, k: int = 100, keep_text: bool = True) -> DataFrame:
     """Remove every byte covered by a ``k``-byte string that also starts earlier.
 
     Texts count as UTF-8 (null: empty); matches don't cross documents. Earlier means a smaller doc_id, or an earlier start in the same
@@ -153,6 +176,6 @@ def remove_repeated_strings(docs: DataFrame, k: int = 100) -> DataFrame:
     Suffixes are sorted where they can match: windows are bucketed by minimiser (see ``superkmers``), windows whose
     minimiser is unique need no sorting, and of identical runs one is sorted.
 
-    Returns all columns of ``docs`` and n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may split a character), replacing columns of these names.
+    Returns all columns of ``docs`` (the text itself only with ``keep_text``) and n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may split a character), replacing columns of these names.
     """
-    return remove_repeats(docs, k, byte_blocks(k), match_bytes, cut_bytes, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", "suffixes")
+    return remove_repeats(docs, k, byte_blocks(k), match_bytes, cut_bytes, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", "suffixes", keep_text)

@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -60,14 +61,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U8(29))
 
 
-def runs_of(units: np.ndarray, ends: np.ndarray, k: int, m: int):
-    """(first window, windows, minimiser, repeats) of each run; ``units`` are hashes, ``ends`` the end of each unit's document.
-
-    ``m`` is a power of two. ``repeats`` tells that the minimiser occurs twice in the run, without which its windows all differ.
-    """
-    none = np.zeros(0, np.int64)
-    if len(units) < k:
-        return none, none, none.astype(U8), none.astype(bool)
+def minimisers(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of the leftmost smallest hash of an ``m``-unit string (``m`` a power of two) in every window of ``k`` of at least ``k`` units."""
     h, s = units, 1
     while s < m:
         h = h[:-s] * U8(pow(BASE, 2 * s + 1, 1 << 64)) + h[s:]
@@ -80,7 +75,18 @@ def runs_of(units: np.ndarray, ends: np.ndarray, k: int, m: int):
     if w > s:
         low = np.minimum(low[: len(low) - (w - s)], low[w - s :])
     place = (low & U8(0xFFFFFFFF)).astype(np.int64)
-    value = h[place]
+    return place, h[place]
+
+
+def runs_of(units: np.ndarray, ends: np.ndarray, k: int, m: int):
+    """(first window, windows, minimiser, repeats) of each run; ``units`` are hashes, ``ends`` the end of each unit's document.
+
+    ``repeats`` tells that the minimiser occurs twice in the run, without which its windows all differ.
+    """
+    none = np.zeros(0, np.int64)
+    if len(units) < k:
+        return none, none, none.astype(U8), none.astype(bool)
+    place, value = minimisers(units, k, m)
     valid = np.arange(k, k + len(value)) <= ends[: len(value)]
     begins = valid.copy()
     begins[1:] &= ~valid[:-1] | (value[1:] != value[:-1])
@@ -115,7 +121,11 @@ class Runs:
         return Runs(*(getattr(self, f.name)[at] for f in fields(self)[:-1]), self.data[ragged(begin[at], self.size[at].astype(np.int64))])
 
     def pack(self) -> bytes:
-        return zstandard.compress(b"".join([np.int64(len(self.value)).tobytes(), *(getattr(self, f.name).astype(t, copy=False).tobytes() for f, t in zip(fields(self), self.TYPES, strict=True))]), 1)
+        """Compressed; of the minimiser 40 bits stay, which suffice to group runs (equal strings are told by their bytes)."""
+        value = np.ascontiguousarray(self.value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+        doc = np.diff(self.doc, prepend=0)
+        columns = [value, doc, *(getattr(self, f.name).astype(t, copy=False) for f, t in list(zip(fields(self), self.TYPES, strict=True))[2:])]
+        return zstandard.compress(b"".join([np.int64(len(self.value)).tobytes(), *(c.tobytes() for c in columns)]), 3)
 
     @classmethod
     def unpack(cls, blobs: list[bytes]) -> Runs:
@@ -123,10 +133,15 @@ class Runs:
         for blob in blobs:
             raw = zstandard.decompress(blob)
             n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-            for x, t in zip(parts, cls.TYPES, strict=True):
+            value = np.zeros((n, 8), np.uint8)
+            value[:, :5] = np.frombuffer(raw, np.uint8, 5 * n, at).reshape(5, n).T
+            parts[0].append(value.view("<u8").ravel())
+            at += 5 * n
+            for x, t in list(zip(parts, cls.TYPES, strict=True))[1:]:
                 many = n if t is not np.uint8 else len(raw) - at
                 x.append(np.frombuffer(raw, t, many, at))
                 at += many * np.dtype(t).itemsize
+            parts[1][-1] = np.cumsum(parts[1][-1])
         return cls(*(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(parts, cls.TYPES, strict=True)))
 
 
@@ -227,7 +242,7 @@ def later_ones(groups: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.nda
 class Packer:
     """Collects the runs of blocks of text by bucket, and packs them once enough is held."""
 
-    def __init__(self, k: int, buckets: int, most: int = 16 << 20):
+    def __init__(self, k: int, buckets: int, most: int = 20 << 20):
         self.k, self.buckets, self.most = k, buckets, most
         self.held: dict[int, list[Runs]] = {}
         self.spans: list[tuple] = []
@@ -323,25 +338,38 @@ def joined_spans(spans: list | None, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, cut: Callable[[str, list | None], tuple], more: str, what: str) -> DataFrame:
-    """All columns of ``docs`` and those that ``cut(text, spans)`` makes of each text; ``more`` is their schema."""
+def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, cut: Callable[[bytes | None, list | None], tuple], more: str, what: str, keep_text: bool) -> DataFrame:
+    """All columns of ``docs`` (``text`` only with ``keep_text``) and those that ``cut(text, spans)`` makes of each text; ``more`` is their schema."""
     names = [x.split(" ")[0] for x in more.split(", ")]
     docs = docs.drop(*names, "_id", "_spans")
     text, doc_id = (next(c for c in docs.columns if c.lower() == x) for x in ("text", "doc_id"))
     docs = docs.withColumn(text, F.col(text).cast("string")).withColumn("_id", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
     spans = materialize(find_repeats(docs.select("_id", F.col(text).alias("text")), k, blocks, matcher), what)
-    schema = docs.drop("_id").schema
-    added = docs.sparkSession.createDataFrame([], more).schema
-    at = docs.drop("_id").columns.index(text)
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zipper = zstandard.ZstdCompressor(3)
         for batch in batches:
-            rows = [cut(t.as_py(), s.as_py()) for t, s in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-            arrays = [pa.array(c, kinds[f.split(" ")[1]]) for c, f in zip(cols, more.split(", "), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *names])
+            packed = [None if t is None else zipper.compress(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    for f in added.fields:
+    small = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema])
+    schema = T.StructType([f for f in docs.schema if f.name != "_id" and (keep_text or f.name != text)])
+    for f in docs.sparkSession.createDataFrame([], more).schema:
         schema = schema.add(f)
-    return with_spans(docs, spans).drop("_id").mapInArrow(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
+                texts = [None if z is None else zstandard.decompress(z) for z in batch.column(at).to_pylist()]
+                rows = [cut(t, s.as_py()) for t, s in zip(texts, batch.column(batch.num_columns - 1), strict=True)]
+                arrays = [pa.array(c, kinds[f.split(" ")[1]]) for c, f in zip(zip(*rows, strict=True), more.split(", "), strict=True)]
+                own = {n: c for n, c in zip(batch.schema.names[:-1], batch.columns[:-1], strict=True) if n != text}
+                if keep_text:
+                    own[text] = pa.array(texts, pa.binary()).cast(pa.string())
+                kept = [n for n in batch.schema.names[:-1] if n in own]
+                yield pa.RecordBatch.from_arrays([own[n] for n in kept] + arrays, names=[*kept, *names])
+
+    return with_spans(docs.mapInArrow(shrink, small), spans).drop("_id").mapInArrow(run, schema)

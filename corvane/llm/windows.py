@@ -74,17 +74,17 @@ def match_words(runs: Runs, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at_[pick], window_[pick]
 
 
-def cut_words(text: str | None, spans: list | None) -> tuple[int, int, str]:
-    words = (text or "").encode("utf-8", "surrogatepass").split()
+def cut_words(text: bytes | None, spans: list | None) -> tuple[int, int, str]:
+    words = (text or b"").split()
     kept, last, removed = [], 0, 0
     for s, e in joined_spans(spans, len(words)):
         kept += words[last:s]
         removed, last = removed + e - s, e
     kept += words[last:]
-    return len(words), removed, b" ".join(kept).decode("utf-8", "surrogatepass")
+    return len(words), removed, b" ".join(kept).decode()
 
 
-def remove_repeated_windows(docs: DataFrame, k: int = 20) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, k: int = 20, keep_text: bool = True) -> DataFrame:
     """Remove every word covered by a window of ``k`` consecutive words that also starts earlier.
 
     Words are runs of bytes other than space and 0x09-0x0D. Earlier means a smaller doc_id, or an earlier start in the
@@ -92,6 +92,6 @@ def remove_repeated_windows(docs: DataFrame, k: int = 20) -> DataFrame:
     ``k`` words stay whole; a null doc_id comes before all others; rows with the same doc_id lose the same
     word positions, and none for being equal to each other. An empty table gives an empty result.
 
-    Returns all columns of ``docs`` and n_words, n_removed, kept (the kept words, joined by one space), replacing columns of these names.
+    Returns all columns of ``docs`` (the text itself only with ``keep_text``) and n_words, n_removed, kept (the kept words, joined by one space), replacing columns of these names.
     """
-    return remove_repeats(docs, k, word_blocks(k), match_words, cut_words, "n_words bigint, n_removed bigint, kept string", "windows")
+    return remove_repeats(docs, k, word_blocks(k), match_words, cut_words, "n_words bigint, n_removed bigint, kept string", "windows", keep_text)
