@@ -94,8 +94,11 @@ class Shard:
     def __init__(self, row: dict, mean: float, k1: float, b: float):
         get = lambda name, kind: np.frombuffer(row[name], kind)
         self.terms, self.starts, self.ords, self.ids = get("terms", U8), get("starts", np.int64), get("ords", np.int32), get("ids", np.int64)
-        tfs, lengths = get("tfs", np.int32), get("lengths", np.int64)
-        self.weights = tfs * (k1 + 1) / (tfs + k1 * (1 - b + b * lengths[self.ords] / mean))
+        tfs, norm = get("tfs", np.int32), k1 * (1 - b + b * get("lengths", np.int64) / mean)
+        below = norm[self.ords]
+        below += tfs
+        self.weights = np.divide(tfs, below, out=below)
+        self.weights *= k1 + 1
         self.docs = len(self.ids)
         self.size = np.diff(self.starts)
         self.frequent = np.flatnonzero(self.size > max(64, self.docs // 8))
@@ -151,13 +154,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.2, b: float = 0.75, task_bytes: int = 128 << 20) -> DataFrame:
+def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.2, b: float = 0.75, task_bytes: int = 64 << 20) -> DataFrame:
     """The ``k`` documents with the largest BM25 scores for every document whose id is divisible by ``every``, itself included.
 
     Terms are words (runs of bytes other than space and 0x09-0x0D) with A-Z lower-cased, told apart by 64-bit hashes; a query
     is the set of its document's terms. A term's idf is ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are
-    those of all documents. Each task searches the indexes of about ``task_bytes`` of text for all queries, which it reads
-    block by block from the shared folder, and returns its best ``k``; the best of these are exactly the best of all.
+    those of all documents. Each task reads the indexes of about ``task_bytes`` of text from the shared folder and searches them for all queries, which it reads
+    from there block by block, and returns its best ``k``; the best of these are exactly the best of all.
 
     Null ids take no part; null texts and texts without words match nothing; rows with the same id are documents of their own.
     Returns query_id, rank (from 1), doc_id, score (rounded to six places); ties go to the smaller doc_id. Fewer rows if fewer documents share a term.
@@ -168,9 +171,8 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                starts, lengths = np.frombuffer(row["starts"], np.int64), np.frombuffer(row["lengths"], np.int64)
-                terms = np.frombuffer(row["terms"], U8).astype(np.int64)
+            for row in range(batch.num_rows):
+                starts, lengths, terms = (np.frombuffer(batch.column(n)[row].as_buffer(), np.int64) for n in ("starts", "lengths", "terms"))
                 for i in range(0, len(terms), 100_000):
                     yield pa.record_batch([pa.array(terms[i : i + 100_000]), pa.array(np.diff(starts)[i : i + 100_000])], names=["term", "df"])
                 # the null term counts documents
@@ -202,8 +204,15 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset
         import pyarrow.fs
+        import pyarrow.parquet
 
-        shards = [Shard(row, mean, k1, b) for batch in batches for row in batch.to_pylist()]
+        shards = []
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                fs, file = pyarrow.fs.FileSystem.from_uri(uri)
+                with fs.open_input_file(file) as f:
+                    for rows in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1):
+                        shards += [Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b) for i in range(rows.num_rows)]
         if not shards:
             return
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
@@ -223,7 +232,8 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
             yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    hits = index.coalesce(max(1, -(-size // task_bytes))).mapInArrow(search, "query_id bigint, doc_id bigint, score double")
+    files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string").repartition(max(1, -(-size // task_bytes)))
+    hits = files.mapInArrow(search, "query_id bigint, doc_id bigint, score double")
     hits = hits.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

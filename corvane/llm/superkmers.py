@@ -322,8 +322,8 @@ def find_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, bu
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """All columns of ``docs`` and ``_spans``, the ranges of the document, or null; ``docs`` has ``_id``."""
-    by = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return docs.join(by, F.col("_id") == F.col("doc"), "left").drop("doc")
+    by = spans.groupBy(F.col("doc").alias("_span_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    return docs.join(by, F.col("_id") == F.col("_span_doc"), "left").drop("_span_doc")
 
 
 def joined_spans(spans: list | None, n: int) -> list[tuple[int, int]]:
@@ -341,7 +341,7 @@ def joined_spans(spans: list | None, n: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, cut: Callable[[bytes | None, list | None], tuple], more: str, what: str, keep_text: bool) -> DataFrame:
     """All columns of ``docs`` (``text`` only with ``keep_text``) and those that ``cut(text, spans)`` makes of each text; ``more`` is their schema."""
     names = [x.split(" ")[0] for x in more.split(", ")]
-    docs = docs.drop(*names, "_id", "_spans")
+    docs = docs.drop(*names, "_id", "_spans", "_span_doc")
     text, doc_id = (next(c for c in docs.columns if c.lower() == x) for x in ("text", "doc_id"))
     docs = docs.withColumn(text, F.col(text).cast("string")).withColumn("_id", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
     spans = materialize(find_repeats(docs.select("_id", F.col(text).alias("text")), k, blocks, matcher), what)

@@ -222,9 +222,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for at, raw in members(io.BytesIO(content.as_buffer())):
                     fields = parse_record(raw)
-                    rows = _sorted_run([capture(fields, file, at)]).to_pydict()
-                    rows = {k: v for k, v in rows.items() if k not in ("run", "pos")}
-                    yield pa.RecordBatch.from_pydict(rows | {"payload": [fields["payload"]]})
+                    row = _sorted_run([capture(fields, file, at)])
+                    yield pa.RecordBatch.from_arrays([*row.columns[:-2], pa.array([fields["payload"]], pa.binary())], names=[*row.schema.names[:-2], "payload"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE + ", payload binary")
 
