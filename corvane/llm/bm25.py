@@ -149,18 +149,30 @@ class Shard:
         return self.ids[some[keep]], scores[keep]
 
 
+def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
+    """The indexes of one file, one after another."""
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    fs, file = pyarrow.fs.FileSystem.from_uri(uri)
+    with fs.open_input_file(file) as f:
+        for rows in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1, use_threads=False):
+            for i in range(rows.num_rows):
+                yield Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b)
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((ids, -np.floor(scores * 1e6 + 0.5)))[:k]
     return ids[order], scores[order]
 
 
-def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.2, b: float = 0.75, task_bytes: int = 64 << 20) -> DataFrame:
+def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.2, b: float = 0.75, task_bytes: int = 64 << 20, block_queries: int = 100_000) -> DataFrame:
     """The ``k`` documents with the largest BM25 scores for every document whose id is divisible by ``every``, itself included.
 
     Terms are words (runs of bytes other than space and 0x09-0x0D) with A-Z lower-cased, told apart by 64-bit hashes; a query
     is the set of its document's terms. A term's idf is ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are
-    those of all documents. Each task reads the indexes of about ``task_bytes`` of text from the shared folder and searches them for all queries, which it reads
-    from there block by block, and returns its best ``k``; the best of these are exactly the best of all.
+    those of all documents. Each task reads the indexes of about ``task_bytes`` of text from the shared folder, one after another, for ``block_queries``
+    queries at a time, which it streams from there, and returns its best ``k``; the best of these are exactly the best of all.
 
     Null ids take no part; null texts and texts without words match nothing; rows with the same id are documents of their own.
     Returns query_id, rank (from 1), doc_id, score (rounded to six places); ties go to the smaller doc_id. Fewer rows if fewer documents share a term.
@@ -206,30 +218,31 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
         import pyarrow.fs
         import pyarrow.parquet
 
-        shards = []
-        for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                fs, file = pyarrow.fs.FileSystem.from_uri(uri)
-                with fs.open_input_file(file) as f:
-                    for rows in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1):
-                        shards += [Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b) for i in range(rows.num_rows)]
-        if not shards:
-            return
+        pa.set_memory_pool(pa.system_memory_pool())  # what is freed goes back at once
+        files = [f for batch in batches for f in batch.column(0).to_pylist()]
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
-        for block in pyarrow.dataset.dataset(folder, filesystem=fs, format="parquet").to_batches(batch_size=512):
-            out: list[list] = [[], [], []]
-            for query_id, terms, idf in zip(block["query_id"].to_pylist(), block["terms"], block["idf"], strict=True):
-                t, w = terms.values.to_numpy().astype(U8), idf.values.to_numpy()
-                order = np.argsort(t)
-                t, w = t[order], w[order]
-                ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-                for shard in shards:
-                    i, s = shard.top(t, w, k, least)
-                    ids, scores = _best(np.concatenate([ids, i]), np.concatenate([scores, s]), k)
-                    least = float(scores[-1]) if len(scores) == k else 0.0
-                for o, v in zip(out, ([query_id] * len(ids), ids.tolist(), scores.tolist()), strict=True):
-                    o += v
-            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
+        blocks: list[list] = [[]]
+        held = 0
+        for fragment in pyarrow.dataset.dataset(folder, filesystem=fs, format="parquet").get_fragments() if files else ():
+            blocks[-1].append(fragment)
+            if (held := held + fragment.count_rows()) >= block_queries:
+                blocks.append([])
+                held = 0
+        for block in filter(None, blocks):
+            best: dict[int, tuple] = {}
+            for shard in (s for f in files for s in _shards(f, mean, k1, b)):
+                for batch in (x for fragment in block for x in fragment.to_batches(batch_size=512, use_threads=False)):
+                    for query_id, terms, idf in zip(batch["query_id"].to_pylist(), batch["terms"], batch["idf"], strict=True):
+                        t, w = terms.values.to_numpy().astype(U8), idf.values.to_numpy()
+                        order = np.argsort(t)
+                        ids, scores = best.get(query_id, (np.zeros(0, np.int64), np.zeros(0)))
+                        i, s = shard.top(t[order], w[order], k, float(scores[-1]) if len(scores) == k else 0.0)
+                        best[query_id] = _best(np.concatenate([ids, i]), np.concatenate([scores, s]), k)
+            found = list(best.items())
+            for i in range(0, len(found), 2000):
+                part = found[i : i + 2000]
+                cols = (np.repeat([q for q, _ in part], [len(x) for _, (x, _) in part]), np.concatenate([x for _, (x, _) in part]), np.concatenate([x for _, (_, x) in part]))
+                yield pa.record_batch([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string").repartition(max(1, -(-size // task_bytes)))
