@@ -22,7 +22,7 @@ def document_frequency(pairs: DataFrame) -> DataFrame:
 def lookup(queries: DataFrame, docs: DataFrame, n: int | Column, limit: int = 5, floor: float = 0.05, query: str = "query_id", doc: str = "doc_id", where: Column | None = None) -> DataFrame:
     """The best documents of each query: the idf share of its tokens that a document has, plus up to a half for tags.
 
-    ``queries`` has (query, token), distinct; ``docs`` has (doc, token, is_tag), distinct. Only the queries' tokens are joined, and document
+    ``queries`` has (query, token), distinct; ``docs`` has (doc, token, in_text, is_tag): a row for each distinct token of the text and for each tag. Only the queries' tokens are joined, and document
     frequencies stay global: ``where`` filters documents after they are counted.
     """
     wanted = docs.join(queries.select("token").distinct(), "token", "left_semi")

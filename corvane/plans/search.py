@@ -23,9 +23,9 @@ LOOKUP = f"""{RECORDS}, q AS (SELECT item_id AS query_id, unnest({dtok('text')})
 def _lookup_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     q = X.doc_tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
     docs = table(spark, sf, "documents")
+    words = docs.select("doc_id", "source", F.explode(T.distinct_tokens(F.col("text"))).alias("token"), F.lit(True).alias("in_text"), F.lit(False).alias("is_tag"))
     tags = F.slice(T.distinct_tokens(F.substring("text", 1, 300)), 1, 5)
-    d = docs.select("doc_id", "source", tags.alias("tags"), F.explode(T.distinct_tokens(F.col("text"))).alias("token"))
-    d = d.select("doc_id", "source", "token", F.lit(True).alias("in_text"), F.array_contains("tags", F.col("token")).alias("is_tag"))
+    d = words.union(docs.select("doc_id", "source", F.explode(tags), F.lit(False), F.lit(True)))
     return q, d, docs.count()
 
 
