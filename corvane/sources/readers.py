@@ -18,7 +18,7 @@ cited_seed_ids array<string>, contradicted_seed_ids array<string>, initial_query
 def read_records(spark: SparkSession, root: str, include_personal: bool = False) -> DataFrame:
     """All records under ``root``/seeds: the stack comes from the file name, unparsable files give nothing, missing texts are cut from the content, a missing source means the community."""
     d = spark.read.schema(RECORD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{root}/seeds").withColumn("_path", F.input_file_name())
-    d = d.filter(F.col("_corrupt_record").isNull())
+    d = d.filter(F.col("id").isNotNull())  # files that can't be parsed give rows of nulls
     if not include_personal:
         d = d.filter(~F.contains("_path", F.lit("/personal/")))
     part = lambda name, marker: F.coalesce(F.col(name), F.nullif(T.section(F.col("content"), marker), F.lit("")))
@@ -77,4 +77,4 @@ def read_jars(spark: SparkSession, root: str, version: int) -> DataFrame:
     m = m.filter(whole & T.compatible_version(F.col("schema_version"), version)).select("jar")
     d = spark.read.schema(RECORD).option("multiLine", True).json(f"{root}/*/seeds/*.json").withColumn("_path", F.input_file_name())
     d = d.withColumns({"jar": F.regexp_extract("_path", r"([^/]+__[^/]+)/seeds/", 1), "stack": F.regexp_extract("_path", r"([^/]+)\.json$", 1)})
-    return d.filter(F.col("_corrupt_record").isNull()).join(F.broadcast(m), "jar").drop("_path", "_corrupt_record").withColumn("jar", F.replace("jar", F.lit("__"), F.lit("/")))
+    return d.filter(F.col("id").isNotNull()).join(F.broadcast(m), "jar").drop("_path", "_corrupt_record").withColumn("jar", F.replace("jar", F.lit("__"), F.lit("/")))
