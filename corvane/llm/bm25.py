@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, work_path
+from .common import materialize, release_memory, work_path
 from .superkmers import PrefixHash, mixed, ragged
 
 U8 = np.uint64
@@ -82,8 +82,11 @@ def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
             if held >= postings:
                 yield flush()
                 ids, lengths, parts, held = [], [], [], 0
+                release_memory()
         if ids:
             yield flush()
+        ids, lengths, parts = [], [], []
+        release_memory()
 
     return docs.mapInArrow(run, INDEX)
 
@@ -159,6 +162,7 @@ def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
         for rows in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1, use_threads=False):
             for i in range(rows.num_rows):
                 yield Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b)
+                release_memory()
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +222,8 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
         import pyarrow.fs
         import pyarrow.parquet
 
-        pa.set_memory_pool(pa.system_memory_pool())  # what is freed goes back at once
+        pa.set_memory_pool(pa.system_memory_pool())
+        release_memory()
         files = [f for batch in batches for f in batch.column(0).to_pylist()]
         fs, folder = pyarrow.fs.FileSystem.from_uri(path)
         blocks: list[list] = [[]]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -43,6 +44,13 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that Python has freed back to the system (with glibc), as workers are used again by later stages."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def int_array(values: Sequence[int]) -> Column:
     """A constant array<bigint>, folded once by the optimizer; evaluating it costs nothing per row."""
     return F.array(*[F.lit(int(v)).cast("bigint") for v in values]) if values else F.expr("cast(array() as array<bigint>)")
