@@ -26,9 +26,9 @@ def read_records(spark: SparkSession, root: str, include_personal: bool = False)
 
 
 def corrupt_files(spark: SparkSession, root: str) -> DataFrame:
-    d = spark.read.schema(RECORD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(f"{root}/seeds")
-    by = d.withColumn("path", F.input_file_name()).groupBy("path").agg(F.bool_or(F.col("_corrupt_record").isNotNull()).alias("corrupt"), F.count("id").alias("records"))
-    return by.filter("corrupt").select("path", "records")
+    """(path) of the files that aren't JSON."""
+    d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(f"{root}/seeds", wholetext=True)
+    return d.select(F.input_file_name().alias("path"), F.try_parse_json("value").isNull().alias("corrupt")).filter("corrupt").select("path")
 
 
 def edge_id(item: Column) -> Column:
