@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,50 @@ def jaccard_pairs(pairs: DataFrame, key: str, block: str | None = None, least_sh
     return both.withColumn("similarity", similarity).filter((F.col("shared") >= least_shared) & (F.col("similarity") >= least)).select("a", "b", "shared", "similarity")
 
 
+def ordered_sets(pairs: DataFrame, key: str, *keep: str) -> DataFrame:
+    """(key, [keep], tokens): the tokens of each id, those of the fewest ids first. ``pairs`` has (key, [keep], token), distinct."""
+    ranked = pairs.join(document_frequency(pairs.select(key, "token")), "token")
+    return ranked.groupBy(key, *keep).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).getField("token").alias("tokens"))
+
+
+def similar_pairs(sets: DataFrame, key: str, least: float, block: str | None = None, differ: str | None = None) -> DataFrame:
+    """(a, b, shared, similarity) of ids a < b with Jaccard similarity ``least`` (above 0) or more, of equal ``block`` and unequal ``differ``.
+
+    Two such sets share one of their first n - ceil(least n) + 1 tokens when both are ordered by one rule, so only those
+    are joined; ordered by frequency they leave the frequent tokens out. Candidates are confirmed on whole sets.
+    """
+    n = F.size("tokens")
+    kept = [c for c in (block, differ) if c]
+    heads = sets.select(key, *kept, n.alias("n"), F.explode(F.slice("tokens", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("token"))
+    a = heads.select(F.col(key).alias("a"), F.col("n").alias("n_a"), "token", *[F.col(c).alias(f"{c}_a" if c == differ else c) for c in kept])
+    b = heads.select(F.col(key).alias("b"), F.col("n").alias("n_b"), "token", *[F.col(c).alias(f"{c}_b" if c == differ else c) for c in kept])
+    p = a.join(b, ["token", block] if block else ["token"]).filter("a < b").filter(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9)
+    if differ:
+        p = p.filter(F.col(f"{differ}_a") != F.col(f"{differ}_b"))
+    whole = sets.select(key, "tokens")
+    p = p.select("a", "b").distinct().join(whole.toDF("a", "_x"), "a").join(whole.toDF("b", "_y"), "b").withColumn("shared", F.size(F.array_intersect("_x", "_y")).cast("bigint"))
+    similarity = F.col("shared") / (F.size("_x") + F.size("_y") - F.col("shared"))
+    return p.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "shared", "similarity")
+
+
+def nearest_copies(sets: DataFrame, key: str, block: str, least: float) -> DataFrame:
+    """(key, nearest, similarity): the most similar other id of the block at ``least`` or more, the smallest id among equals.
+
+    Equal sets are one class, so a large group of copies is never paired up: its members name their smallest other member,
+    and only the smallest member stands for the class in the join.
+    """
+    s = sets.withColumn("_class", F.sha2(F.array_join("tokens", " "), 256))
+    classes = s.groupBy(block, "_class").agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_members"))
+    second = s.join(classes, [block, "_class"]).filter(F.col(key) != F.col("_first")).groupBy(block, "_class").agg(F.min(key).alias("_second"))
+    member = s.select(key, block, "_class").join(classes, [block, "_class"]).join(second, [block, "_class"], "left")
+    copies = member.filter("_members > 1").select(key, F.when(F.col(key) == F.col("_first"), F.col("_second")).otherwise(F.col("_first")).alias("nearest"), F.lit(1.0).alias("similarity"))
+    p = similar_pairs(sets.join(classes.select(F.col("_first").alias(key)), key, "left_semi"), key, least, block).withColumn("similarity", round_to(F.col("similarity"), 6))
+    both = p.select(F.col("a").alias(key), F.col("b").alias("nearest"), "similarity").union(p.select("b", "a", "similarity"))
+    alone = both.join(member.filter("_members = 1").select(key), key, "left_semi")
+    best = alone.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("nearest")).alias("_n"))).alias("_best"))
+    return copies.union(best.select(key, (-F.col("_best._n")).alias("nearest"), F.col("_best.similarity").alias("similarity")))
+
+
 def share_known(candidates: DataFrame, known: DataFrame, key: str, item: str) -> DataFrame:
     """(key, share): the share of a candidate's distinct items that are known."""
     d = candidates.select(key, item).distinct().join(known.select(item).distinct().withColumn("_known", F.lit(1.0)), item, "left")
@@ -81,8 +127,12 @@ def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_
     d = pairs.join(n, stack)
     df = d.groupBy(stack, "token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_together)
     d = d.join(df, [stack, "token"]).select(stack, doc, "n", "token", "df")
+    if least_pmi > 0:  # together <= df, so a term this frequent reaches the threshold with none
+        d = d.filter(F.col("df") * math.exp(least_pmi) <= F.col("n") * 1.000001)
     other = d.select(stack, doc, F.col("token").alias("synonym"), F.col("df").alias("df2"))
-    both = d.join(other, [stack, doc]).filter(F.col("token") != F.col("synonym")).groupBy(stack, F.col("token").alias("term"), "synonym", "n", "df", "df2").agg(F.count(F.lit(1)).alias("together"))
+    once = d.join(other, [stack, doc]).filter(F.col("token") < F.col("synonym")).groupBy(stack, F.col("token").alias("term"), "synonym", "n", "df", "df2").agg(F.count(F.lit(1)).alias("together"))
+    once = once.filter(F.col("together") >= least_together)
+    both = once.unionByName(once.select(stack, F.col("synonym").alias("term"), F.col("term").alias("synonym"), "n", F.col("df2").alias("df"), F.col("df").alias("df2"), "together"))
     scored = both.withColumn("pmi", round_to(pmi(F.col("together"), F.col("n"), F.col("df"), F.col("df2")), 6)).filter((F.col("together") >= least_together) & (F.col("pmi") >= least_pmi))
     return top(scored, [stack, "term"], [F.desc("pmi"), "synonym"], most).select(stack, "term", "synonym", "pmi", "rank")
 

@@ -30,9 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: the source is the stack, the language the domain, length bands the severity, first tokens the tags."""
+    """Documents as records: the source is the stack, the language the domain, length bands the severity, the thirds of the text the sections, its first five tokens the tags."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     n = F.col("n_chars")
+    third = F.floor((F.length("text") + 2) / 3).cast("int")
     return d.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("id"),
         "doc_id",
@@ -40,10 +41,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("domain"),
         F.when(n >= 5000, "critical").when(n >= 2000, "high").when(n >= 500, "medium").otherwise("low").alias("blast_radius"),
         F.lit("community").alias("source"),
-        F.substring("text", 1, 200).alias("wrong"),
-        F.substring("text", 201, 200).alias("correct"),
-        F.substring("text", 401, 160).alias("symptom"),
-        F.slice(T.distinct_tokens(F.substring("text", 1, 300)), 1, 5).alias("tags"),
+        F.substring("text", F.lit(1), third).alias("wrong"),
+        F.substring("text", third + 1, third).alias("correct"),
+        F.substring("text", 2 * third + 1, third).alias("symptom"),
+        F.slice(T.distinct_tokens(F.col("text")), 1, 5).alias("tags"),
         F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.4).alias("confidence"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("deprecated"),
         "quality",
@@ -70,11 +71,11 @@ def r(x: str, places: int = 6) -> str:
 
 
 RECORDS = f"""rec0 AS (
-    SELECT d.*, quality, toxic, {tok("substr(text, 1, 300)")} AS tk FROM documents d LEFT JOIN labels USING (doc_id)
+    SELECT d.*, quality, toxic, (length(text) + 2) // 3 AS third, {tok("text")} AS tk FROM documents d LEFT JOIN labels USING (doc_id)
 ), rec AS (
     SELECT 'doc_' || doc_id AS id, doc_id, source AS stack, lang AS domain,
         CASE WHEN n_chars >= 5000 THEN 'critical' WHEN n_chars >= 2000 THEN 'high' WHEN n_chars >= 500 THEN 'medium' ELSE 'low' END AS blast_radius,
-        substr(text, 1, 200) AS wrong, substr(text, 201, 200) AS correct, substr(text, 401, 160) AS symptom,
+        substr(text, 1, third) AS wrong, substr(text, third + 1, third) AS correct, substr(text, 2 * third + 1, third) AS symptom,
         list_filter(tk, lambda x, i: list_position(tk, x) = i)[1:5] AS tags,
         CASE quality WHEN 1 THEN 0.9 WHEN 0 THEN 0.4 END AS confidence, coalesce(toxic, 0) = 1 AS deprecated, quality, toxic
     FROM rec0

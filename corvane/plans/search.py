@@ -24,7 +24,7 @@ def _lookup_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, i
     q = X.doc_tokens(table(spark, sf, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", "text")
     docs = table(spark, sf, "documents")
     words = docs.select("doc_id", "source", F.explode(T.distinct_tokens(F.col("text"))).alias("token"), F.lit(True).alias("in_text"), F.lit(False).alias("is_tag"))
-    tags = F.slice(T.distinct_tokens(F.substring("text", 1, 300)), 1, 5)
+    tags = F.slice(T.distinct_tokens(F.col("text")), 1, 5)
     d = words.union(docs.select("doc_id", "source", F.explode(tags), F.lit(False), F.lit(True)))
     return q, d, docs.count()
 
@@ -68,9 +68,7 @@ PAIRS = f"""{RECORDS}, t AS (SELECT doc_id, stack, len({dtok('symptom')}) AS n,
     SELECT a AS doc_id, b AS nearest, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS k FROM s WHERE similarity >= 0.45) WHERE k = 1""")
 def nearest_duplicate(spark: SparkSession, sf: str) -> DataFrame:
     pairs = X.doc_tokens(records(spark, sf), "doc_id", "symptom", keep=("stack",))
-    p = X.jaccard_pairs(pairs, "doc_id", "stack").withColumn("similarity", T.round_to(F.col("similarity"), 6)).filter("similarity >= 0.45")
-    both = p.select(F.col("a").alias("doc_id"), F.col("b").alias("nearest"), "similarity").union(p.select("b", "a", "similarity"))
-    return X.top(both, ["doc_id"], [F.desc("similarity"), "nearest"], 1).drop("rank")
+    return X.nearest_copies(X.ordered_sets(pairs, "doc_id", "stack"), "doc_id", "stack", 0.45)
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.stack AS sa, b.stack AS sb, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.stack < b.stack WHERE a.n >= 3 AND b.n >= 3 GROUP BY ALL)
@@ -78,10 +76,8 @@ def nearest_duplicate(spark: SparkSession, sf: str) -> DataFrame:
 def see_also_cross(spark: SparkSession, sf: str) -> DataFrame:
     """Related records of different stacks."""
     rec = records(spark, sf)
-    t = rec.withColumn("tk", T.distinct_tokens(F.col("symptom"))).filter(F.size("tk") >= 3).select("doc_id", F.explode("tk").alias("token"))
-    p = X.jaccard_pairs(t, "doc_id", least_shared=2, least=0.18)
-    stacks = rec.select("doc_id", "stack")
-    p = p.join(stacks.toDF("a", "sa"), "a").join(stacks.toDF("b", "sb"), "b").filter("sa <> sb")
+    sets = X.ordered_sets(X.doc_tokens(rec, "doc_id", "symptom", keep=("stack",)), "doc_id", "stack").filter(F.size("tokens") >= 3)
+    p = X.similar_pairs(sets, "doc_id", 0.18, differ="stack").filter("shared >= 2")
     return p.select("a", "b", "shared", T.round_to(F.col("similarity"), 2).alias("similarity"))
 
 
@@ -100,15 +96,11 @@ def shared_tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a, b, {r("least(0.85, 0.5 + 0.08 * o + 0.05 * h)")} AS confidence FROM o JOIN h USING (a, b) WHERE o >= 2 AND h >= 2""")
 def escalation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     v = records(spark, sf).withColumn("sev", 3 - S.by_severity(F.col("blast_radius"), S.SEVERITY_RANK))
-    side = lambda c: v.select("doc_id", "stack", "sev", F.explode(c).alias("token"))
-
-    def shared(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-        y = y.toDF("b", "stack", "sev_b", "token")
-        return x.withColumnRenamed("doc_id", "a").join(y, ["stack", "token"]).filter("sev < sev_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) >= 2)
-
-    o = shared(side(T.distinct_tokens(F.col("wrong"))), side(T.distinct_tokens(F.col("symptom"))), "o")
-    h = shared(side("tags"), side("tags"), "h")
-    return o.join(h, ["a", "b"]).select("a", "b", T.round_to(F.least(F.lit(0.85), 0.5 + 0.08 * F.col("o") + 0.05 * F.col("h")), 6).alias("confidence"))
+    g = v.select("doc_id", "stack", "sev", F.explode("tags").alias("token"))
+    y = g.toDF("b", "stack", "sev_b", "token")
+    h = g.withColumnRenamed("doc_id", "a").join(y, ["stack", "token"]).filter("sev < sev_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("h")).filter("h >= 2")
+    h = h.join(v.select(F.col("doc_id").alias("a"), T.distinct_tokens(F.col("wrong")).alias("w")), "a").join(v.select(F.col("doc_id").alias("b"), T.distinct_tokens(F.col("symptom")).alias("s")), "b")
+    return h.withColumn("o", F.size(F.array_intersect("w", "s"))).filter("o >= 2").select("a", "b", T.round_to(F.least(F.lit(0.85), 0.5 + 0.08 * F.col("o") + 0.05 * F.col("h")), 6).alias("confidence"))
 
 
 @query(f"""WITH {RECORDS}, k AS (SELECT id, stack, row_number() OVER (PARTITION BY stack ORDER BY CASE blast_radius WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, id) AS n FROM rec)
@@ -273,27 +265,27 @@ def cluster_boost(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("query_id", "doc_id", T.round_to(F.least(F.lit(1.0), F.col("score") + 0.15 * F.coalesce("s", F.lit(0.0))), 6).alias("boosted"))
 
 
-@query(f"""WITH {VEC}, d AS ({knn_sql(10)}), past AS (SELECT doc_id AS sid, v FROM e WHERE doc_id % 50 = 1), near AS (SELECT a.doc_id AS query_id, sid FROM e a, past WHERE a.doc_id % 50 = 0 AND list_inner_product(a.v, past.v) >= 0.2),
-    n AS (SELECT query_id, e.doc_id, count(*) AS n FROM near JOIN e ON e.doc_id % 25 = sid % 25 GROUP BY ALL) SELECT d.query_id, d.doc_id, {r('score * pow(0.5, coalesce(n, 0))')} AS score FROM d LEFT JOIN n USING (query_id, doc_id)""")
+@query(f"""WITH {VEC}, d AS ({knn_sql(10)}), past AS (SELECT doc_id AS sid, v FROM e), near AS (SELECT a.doc_id AS query_id, sid FROM e a, past WHERE a.doc_id % 50 = 0 AND list_inner_product(a.v, past.v) >= 0.2),
+    n AS (SELECT query_id, e.doc_id, count(*) AS n FROM near JOIN e ON e.doc_id BETWEEN sid + 1 AND sid + 3 GROUP BY ALL) SELECT d.query_id, d.doc_id, {r('score * pow(0.5, coalesce(n, 0))')} AS score FROM d LEFT JOIN n USING (query_id, doc_id)""")
 def negative_penalty(spark: SparkSession, sf: str) -> DataFrame:
     """Past queries like this one contradicted some documents; each such time halves their score."""
     v = _vectors(spark, sf)
-    past = v.filter("doc_id % 50 = 1").select(F.col("doc_id").alias("sid"), "v")
+    past = v.select(F.col("doc_id").alias("sid"), "v")
     near = past.join(_asked(spark, sf), F.lit(True)).filter(V.dot(F.col("q"), F.col("v")) >= 0.2).select("query_id", "sid")
-    hit = v.select("doc_id", (F.col("doc_id") % 25).alias("m")).join(near.withColumn("m", F.col("sid") % 25), "m")
+    hit = near.select("query_id", F.explode(F.sequence(F.col("sid") + 1, F.col("sid") + 3)).alias("doc_id"))
     n = hit.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("contradictions"))
     d = dense_knn(spark, sf).join(n, ["query_id", "doc_id"], "left")
     return d.select("query_id", "doc_id", T.round_to(F.col("score") * F.pow(F.lit(0.5), F.coalesce("contradictions", F.lit(0))), 6).alias("score"))
 
 
-@query(f"""WITH {VEC}, q AS (SELECT doc_id // 4 AS query_id, doc_id AS i, v FROM e WHERE doc_id < 40), t AS (SELECT doc_id // 4 AS grp, doc_id AS j, v FROM e WHERE doc_id >= 40 AND doc_id < 240),
+@query(f"""WITH {VEC}, q AS (SELECT doc_id // 4 AS query_id, doc_id AS i, v FROM e WHERE (doc_id // 4) % 50 = 0), t AS (SELECT doc_id // 4 AS grp, doc_id AS j, v FROM e),
     b AS (SELECT query_id, grp, i, max(list_inner_product(q.v, t.v)) AS m FROM q, t GROUP BY ALL) SELECT query_id, grp, {r('avg(m)')} AS score FROM b GROUP BY ALL""")
 def maxsim(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of four vectors stand for the token vectors of queries and documents."""
+    """Groups of four vectors stand for the token vectors of documents; every 50th is a query against all."""
     g = _vectors(spark, sf).withColumn("g", F.floor(F.col("doc_id") / 4))
-    q = g.filter("doc_id < 40").groupBy(F.col("g").alias("query_id")).agg(F.collect_list("v").alias("q"))
-    t = g.filter("doc_id >= 40 and doc_id < 240").groupBy(F.col("g").alias("grp")).agg(F.collect_list("v").alias("d"))
-    return q.join(F.broadcast(t)).select("query_id", "grp", T.round_to(V.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
+    q = g.filter("g % 50 = 0").groupBy(F.col("g").alias("query_id")).agg(F.collect_list("v").alias("q"))
+    t = g.groupBy(F.col("g").alias("grp")).agg(F.collect_list("v").alias("d"))
+    return q.join(t, F.lit(True)).select("query_id", "grp", T.round_to(V.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
 
 
 @query(f"""WITH tw AS (SELECT doc_id, token, ln(1 + count(*)) AS w FROM (SELECT doc_id, unnest({tok('text')}) AS token FROM documents) GROUP BY ALL), qw AS (SELECT item_id AS query_id, token, ln(1 + count(*)) AS w FROM (SELECT item_id, unnest({tok('text')}) AS token FROM benchmark) GROUP BY ALL),

@@ -185,7 +185,7 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
     return O.drift(e, "session", "vec_id", "v").select("session", "vec_id", T.round_to(F.col("distance"), 6).alias("distance"), "drifted")
 
 
-@query(f"""WITH c AS (SELECT DISTINCT doc_id, unnest({tok('substr(text, 1, 400)')}) AS token FROM documents), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), s AS (SELECT DISTINCT item_id, unnest({tok('text')}) AS token FROM benchmark WHERE item_id < 5), m AS (SELECT item_id, count(*) AS m FROM s GROUP BY item_id),
+@query(f"""WITH c AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS token FROM documents), n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id), s AS (SELECT DISTINCT item_id, unnest({tok('text')}) AS token FROM benchmark), m AS (SELECT item_id, count(*) AS m FROM s GROUP BY item_id),
     j AS (SELECT doc_id, count(*) / (n + m - count(*)) AS j FROM c JOIN s USING (token) JOIN n USING (doc_id) JOIN m USING (item_id) GROUP BY doc_id, item_id, n, m), f AS (SELECT doc_id, sum(j / (1 - j + 1e-9)) AS f FROM j GROUP BY doc_id),
     x AS (SELECT d.doc_id, d.source, exp(-length(text) / 800) AS fit, coalesce(quality, 0.5)::DOUBLE AS rel, greatest(0, 1 - coalesce(f, 0) / (SELECT greatest(1, count(DISTINCT item_id)) FROM s)) AS nov FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN f USING (doc_id) WHERE d.doc_id IN (SELECT doc_id FROM n)),
     y AS (SELECT *, CASE WHEN rel > 0 THEN 2 * rel * 0.6 / (rel + 0.6) ELSE 0 END AS cert FROM x), z AS (SELECT *, {r("cert")} AS certainty, {r("nov")} AS novelty FROM y WHERE cert > 0.2 AND nov > 0.2 AND fit > 0.3),
@@ -194,8 +194,8 @@ def drift(spark: SparkSession, sf: str) -> DataFrame:
 def homeostasis_bridge(spark: SparkSession, sf: str) -> DataFrame:
     """External chunks that pass certainty, novelty and fit: three of a source, six in all."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    c = docs.select("doc_id", F.explode(T.distinct_tokens(F.substring("text", 1, 400))).alias("token"))
-    s = table(spark, sf, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("set"), F.explode(T.distinct_tokens(F.col("text"))).alias("token"))
+    c = docs.select("doc_id", F.explode(T.distinct_tokens(F.col("text"))).alias("token"))
+    s = table(spark, sf, "benchmark").select(F.col("item_id").alias("set"), F.explode(T.distinct_tokens(F.col("text"))).alias("token"))
     d = docs.join(O.novelty(c, s, "doc_id"), "doc_id")
     d = d.withColumn("cert", S.certainty(F.coalesce("quality", F.lit(0.5)).cast("double"), F.lit(0.6)))
     d = d.filter((F.col("cert") > 0.2) & (F.col("novelty") > 0.2) & (S.session_fit(F.col("text")) > 0.3))

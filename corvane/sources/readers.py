@@ -77,4 +77,4 @@ def read_jars(spark: SparkSession, root: str, version: int) -> DataFrame:
     m = m.filter(whole & T.compatible_version(F.col("schema_version"), version)).select("jar")
     d = spark.read.schema(RECORD).option("multiLine", True).json(f"{root}/*/seeds/*.json").withColumn("_path", F.input_file_name())
     d = d.withColumns({"jar": F.regexp_extract("_path", r"([^/]+__[^/]+)/seeds/", 1), "stack": F.regexp_extract("_path", r"([^/]+)\.json$", 1)})
-    return d.filter(F.col("id").isNotNull()).join(F.broadcast(m), "jar").drop("_path", "_corrupt_record").withColumn("jar", F.replace("jar", F.lit("__"), F.lit("/")))
+    return d.filter(F.col("id").isNotNull()).join(m, "jar").drop("_path", "_corrupt_record").withColumn("jar", F.replace("jar", F.lit("__"), F.lit("/")))
