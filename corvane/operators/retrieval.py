@@ -129,10 +129,12 @@ def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_
     d = d.join(df, [stack, "token"]).select(stack, doc, "n", "token", "df")
     if least_pmi > 0:  # together <= df, so a term this frequent reaches the threshold with none
         d = d.filter(F.col("df") * math.exp(least_pmi) <= F.col("n") * 1.000001)
-    other = d.select(stack, doc, F.col("token").alias("synonym"), F.col("df").alias("df2"))
-    once = d.join(other, [stack, doc]).filter(F.col("token") < F.col("synonym")).groupBy(stack, F.col("token").alias("term"), "synonym", "n", "df", "df2").agg(F.count(F.lit(1)).alias("together"))
-    once = once.filter(F.col("together") >= least_together)
-    both = once.unionByName(once.select(stack, F.col("synonym").alias("term"), F.col("term").alias("synonym"), "n", F.col("df2").alias("df"), F.col("df").alias("df2"), "together"))
+    t = d.select(stack, doc, F.col("token").alias("term"))
+    once = t.join(t.withColumnRenamed("term", "synonym"), [stack, doc]).filter(F.col("term") < F.col("synonym")).groupBy(stack, "term", "synonym").agg(F.count(F.lit(1)).alias("together"))
+    once = once.filter(F.col("together") >= least_together).join(df.withColumnRenamed("token", "term"), [stack, "term"])
+    once = once.join(df.select(stack, F.col("token").alias("synonym"), F.col("df").alias("df2")), [stack, "synonym"]).join(n, stack)
+    ways = F.array(F.struct("term", "synonym"), F.struct(F.col("synonym").alias("term"), F.col("term").alias("synonym")))
+    both = once.withColumn("_way", F.explode(ways)).select(stack, "_way.*", "n", "df", "df2", "together")  # PMI has no direction
     scored = both.withColumn("pmi", round_to(pmi(F.col("together"), F.col("n"), F.col("df"), F.col("df2")), 6)).filter((F.col("together") >= least_together) & (F.col("pmi") >= least_pmi))
     return top(scored, [stack, "term"], [F.desc("pmi"), "synonym"], most).select(stack, "term", "synonym", "pmi", "rank")
 

@@ -60,7 +60,7 @@ def graze_score(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("id").join(words, "id", "left").join(tags, "id", "left").select("id", T.round_to(score, 6).alias("score"))
 
 
-PAIRS = f"""{RECORDS}, t AS (SELECT doc_id, stack, len({dtok('symptom')}) AS n, unnest({dtok('symptom')}) AS token FROM rec)"""
+PAIRS = f"""{RECORDS}, t AS MATERIALIZED (SELECT doc_id, stack, len({dtok('symptom')}) AS n, unnest({dtok('symptom')}) AS token FROM rec)"""
 
 
 @query(f"""WITH {PAIRS}, p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.token = b.token AND a.stack = b.stack AND a.doc_id <> b.doc_id GROUP BY ALL),

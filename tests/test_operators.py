@@ -3,6 +3,8 @@
 import datetime
 import json
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -173,3 +175,55 @@ def test_streaming(spark, sf, tmp_path):
         s = spark.readStream.schema("id string, hash string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
         counters.upkeep(s, f"{tmp_path}/store", f"{tmp_path}/cp{i}", lambda d: d.withColumn("v", F.length("hash"))).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/store").count() == 2
+
+
+def _brute_pairs(rows, least):
+    out = {}
+    for i, s, x in rows:
+        for j, t, y in rows:
+            if i != j and s == t and x and y and len(x & y) / len(x | y) >= least:
+                out[i, j] = len(x & y) / len(x | y)
+    return out
+
+
+@pytest.mark.parametrize("least", [0.2, 0.45, 1.0])
+def test_similar_pairs_against_brute_force(spark, least):
+    draw = random.Random(5)
+    rows = [(i, f"s{i % 2}", frozenset(f"t{int(draw.paretovariate(0.7)) % 30}" for _ in range(draw.randint(1, 9)))) for i in range(70)]
+    rows += [(100 + i, "s0", frozenset({"t1", "same", "words"})) for i in range(9)] + [(200, "s0", frozenset())]
+    tokens = spark.createDataFrame([(i, s, t) for i, s, x in rows for t in x], "id long, stack string, token string")
+    sets = retrieval.ordered_sets(tokens, "id", "stack")
+    want = _brute_pairs(rows, least)
+    got = {(r.a, r.b): r.similarity for r in retrieval.similar_pairs(sets, "id", least, "stack").collect()}
+    assert got == {p: v for p, v in want.items() if p[0] < p[1]}
+    best = {}
+    for (i, j), v in want.items():
+        best[i] = max(best.get(i, (0, 0)), (round(v, 6), -j))
+    near = {r.id: (round(r.similarity, 6), -r.nearest) for r in retrieval.nearest_copies(sets, "id", "stack", least).collect()}
+    assert near == best
+
+
+def test_similar_pairs_of_unequal_stacks_and_empty_tables(spark):
+    tokens = spark.createDataFrame([(i, s, t) for i, s in ((1, "a"), (2, "a"), (3, "b")) for t in ("x", "y", "z")], "id long, stack string, token string")
+    sets = retrieval.ordered_sets(tokens, "id", "stack")
+    assert sorted((r.a, r.b, r.shared) for r in retrieval.similar_pairs(sets, "id", 0.18, differ="stack").collect()) == [(1, 3, 3), (2, 3, 3)]
+    assert retrieval.nearest_copies(sets.limit(0), "id", "stack", 0.45).count() == 0
+
+
+def test_synonyms_against_brute_force(spark):
+    draw = random.Random(9)
+    docs = {(s, i): {f"w{draw.randint(0, 14)}" for _ in range(4)} for s in ("a", "b") for i in range(30)} | {("c", 1): {"w1", "w2"}}
+    pairs = spark.createDataFrame([(s, f"{s}{i}", t) for (s, i), x in docs.items() for t in x], "stack string, doc string, token string")
+    want = set()
+    for s in ("a", "b"):
+        sets = [x for (t, _), x in docs.items() if t == s]
+        df = Counter(t for x in sets for t in x)
+        for a in df:
+            scored = []
+            for b in df:
+                together = sum(a in x and b in x for x in sets)
+                if a != b and together >= 2 and round(math.log(together * len(sets) / (df[a] * df[b])), 6) >= 0.3:
+                    scored.append((-round(math.log(together * len(sets) / (df[a] * df[b])), 6), b))
+            want |= {(s, a, b, k + 1) for k, (_, b) in enumerate(sorted(scored)[:5])}
+    got = {(r.stack, r.term, r.synonym, r["rank"]) for r in retrieval.synonyms(pairs, "stack", "doc", least_pmi=0.3).collect()}
+    assert got == want
