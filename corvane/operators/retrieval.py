@@ -129,7 +129,8 @@ def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_
     d = d.join(df, [stack, "token"]).select(stack, doc, "n", "token", "df")
     if least_pmi > 0:  # together <= df, so a term this frequent reaches the threshold with none
         d = d.filter(F.col("df") * math.exp(least_pmi) <= F.col("n") * 1.000001)
-    t = d.select(stack, doc, F.col("token").alias("term"))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced: rows are few, their pairs many
+    t = d.select(stack, doc, F.col("token").alias("term")).repartition(parts, stack, doc)
     once = t.join(t.withColumnRenamed("term", "synonym"), [stack, doc]).filter(F.col("term") < F.col("synonym")).groupBy(stack, "term", "synonym").agg(F.count(F.lit(1)).alias("together"))
     once = once.filter(F.col("together") >= least_together).join(df.withColumnRenamed("token", "term"), [stack, "term"])
     once = once.join(df.select(stack, F.col("token").alias("synonym"), F.col("df").alias("df2")), [stack, "synonym"]).join(n, stack)
