@@ -1,13 +1,14 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Vectors near a boundary are replicated to several clusters; a query finds clusters through a graph over the
-centroids that is searched in memory, and a ratio of distances tells which lists it reads.
+centroids that is searched in memory, and a ratio of distances tells which lists it reads. The ratio is
+chosen by the recall of a bounded set of queries, measured against brute force over the whole index.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,7 @@ class Lists:
     centroids: np.ndarray
     neighbours: np.ndarray
     longest: float  # of the squared norms
+    floor: float = 0.0  # the mean distance of queries to their nearest centroid; a query that is nearer counts as so far
 
     def augment(self, x: np.ndarray) -> np.ndarray:
         """With sqrt(longest - |x|^2) appended, the largest inner product is the smallest distance."""
@@ -32,7 +34,7 @@ class Lists:
         return np.concatenate([x, np.sqrt(rest)[:, None]], 1)
 
     def search(self, q: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[int]:
-        """Lists in order of distance, as far as ``ratio`` times the nearest one's, and on until they hold ``least`` entries.
+        """Lists in order of distance, as far as ``ratio`` times the nearest one's (or ``floor``), and on until they hold ``least`` entries.
 
         Best-first search over the graph: the nearest open centroid is read and its neighbours are opened.
         """
@@ -51,7 +53,7 @@ class Lists:
         best, found, held, spare = np.inf, [], 0, 0
         while heap:
             d, node = heapq.heappop(heap)
-            if d > ratio * best and held >= least:
+            if d > ratio * max(best, self.floor) and held >= least:
                 spare += 1
                 if spare > 8:  # a few more are opened, for what lies behind them
                     break
@@ -64,7 +66,7 @@ class Lists:
         found.sort()
         out, held = [], 0
         for d, node in found:
-            if d <= ratio * found[0][0] or held < least:
+            if d <= ratio * max(found[0][0], self.floor) or held < least:
                 out.append(node)
                 held += int(sizes[node])
         return out
@@ -118,6 +120,57 @@ def fit_lists(sample: np.ndarray, lists: int, degree: int = 24, rounds: int = 10
     return Lists(c, graph, longest)
 
 
+def exact_neighbours(base: DataFrame, asked: Sequence[tuple[int, Sequence[float]]], k: int) -> dict[int, list[int]]:
+    """The ids of the ``k`` best rows of ``base(vec_id, v)`` for each (id, vector) asked, by brute force; a task returns k rows for each."""
+    ids, q = np.array([i for i, _ in asked]), np.array([v for _, v in asked])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x, own = _rows(part, 1), part.column(0).to_numpy()
+                s = q @ x.T
+                s[ids[:, None] == own] = -np.inf
+                least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                for i in range(len(ids)):
+                    near = np.flatnonzero((s[i] >= least[i] - 1e-9) & (s[i] > -np.inf))
+                    found = np.concatenate([best[i][0], own[near]]), np.concatenate([best[i][1], (q[i] * x[near]).sum(1)])
+                    top = np.lexsort((found[0], -found[1]))[:k]
+                    best[i] = found[0][top], found[1][top]
+        yield pa.record_batch([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
+
+    d = base.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    out: dict[int, list[int]] = {}
+    for i, v in d.withColumn("_rank", rank).filter(F.col("_rank") <= k).select("query_id", "vec_id").collect():
+        out.setdefault(i, []).append(v)
+    return out
+
+
+def least_ratio(index: Lists, queries: np.ndarray, wanted: Sequence[Sequence[set[int]]], recall: float, ratio: float, sizes: np.ndarray, least: int) -> float:
+    """The ratio, ``ratio`` at least, at which ``index.search`` finds ``recall`` of ``wanted``: for each query, the lists that hold each true neighbour.
+
+    It starts where distances to all centroids say that the lists are near enough and grows while the search, which sees the
+    graph only, finds less. From the largest quotient of distances on, every list is read.
+    """
+    d = _distances(queries, index.centroids)
+    index.floor = float(d.min(1).mean())
+    nearest = np.maximum(d.min(1), max(index.floor, 1e-12))
+    need = np.sort([min(d[i, c] for c in lists) / nearest[i] for i, each in enumerate(wanted) for lists in each])
+    last = float((d.max(1) / nearest).max())
+    ratio, grow = max(ratio, float(need[int(np.ceil(recall * len(need))) - 1])), 1.01
+    while ratio <= last:
+        hits = 0
+        for x, each in zip(queries, wanted, strict=True):
+            read = set(index.search(x, ratio, sizes, least))
+            hits += sum(not read.isdisjoint(lists) for lists in each)
+        if hits >= recall * len(need):
+            break
+        ratio, grow = ratio * grow, grow**1.2
+    return ratio
+
+
 def usable(table: DataFrame, vector: str = "embedding") -> DataFrame:
     """(vec_id, v): vectors in double precision that take part: not null, no null or non-finite component, not zero, of the most common length."""
     d = table.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -133,14 +186,15 @@ def _rows(batch: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def nearest_neighbours(
-    table: DataFrame, k: int = 20, every: int = 20, ratio: float = 1.15, margin: float = 0.05, copies: int = 4, list_rows: int = 128, most_lists: int = 4096, sample_rows: int = 65_536, group_rows: int = 16_384, vector: str = "embedding"
+    table: DataFrame, k: int = 20, every: int = 20, ratio: float = 1.15, margin: float = 0.05, copies: int = 4, list_rows: int = 128, most_lists: int = 4096, sample_rows: int = 65_536, group_rows: int = 16_384, vector: str = "embedding", recall: float = 0.95, tried: int = 256
 ) -> DataFrame:
     """The ``k`` nearest vectors, by inner product, of every vector whose id is divisible by ``every``.
 
     Centroids are fitted on about ``sample_rows`` distinct vectors; there are at most ``most_lists`` of them, so that they and
     their graph stay within some MB in every task. Every vector is indexed, in each of up to ``copies`` lists whose centroid is
-    at most ``1 + margin`` times as far as the nearest one. A query reads lists up to ``ratio`` times as far as its nearest, and more until
-    they hold 4 (k + 1) entries. Lists have no cap: they are dealt over groups of about ``group_rows`` entries, and long ones over several groups.
+    at most ``1 + margin`` times as far as the nearest one. A query reads lists up to a ratio times as far as its nearest, and more until
+    they hold 4 (k + 1) entries. The ratio is ``ratio``, or as much larger as it must be for about ``tried`` queries, drawn by a hash of their ids, to
+    find ``recall`` of their neighbours by brute force over all vectors: a fixed ratio would find fewer the larger the table. Lists have no cap: they are dealt over groups of about ``group_rows`` entries, and long ones over several groups.
     Equal vectors are ordered by id and the first k + 1 can be results; the others, which can't, are left out before lists are made.
 
     Vectors that are null, zero, or hold a null or non-finite component, or are not of the most common length, take no part. Rows
@@ -185,6 +239,19 @@ def nearest_neighbours(
         room -= size
         if many > 1:
             at, room = at + many, group_rows
+    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
+    drawn_share = min(1.0, tried / n_queries)
+    trial = [(r[0], r[1]) for r in queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(1 << 30)) < drawn_share * (1 << 30)).collect()]
+    trial = sorted(dict(sorted(trial or [tuple(queries.orderBy("vec_id").first())])).items())
+    truth = exact_neighbours(base, trial, k)
+    held: dict[int, set[int]] = {}
+    wanted_ids = spark.createDataFrame([(v,) for v in sorted({v for vs in truth.values() for v in vs})], "vec_id bigint")
+    for i, v in posted.join(F.broadcast(wanted_ids), "vec_id").select("vec_id", "list").collect():
+        held.setdefault(i, set()).add(v)
+    trial = [(i, v) for i, v in trial if i in truth]
+    if trial:
+        x = np.array([v for _, v in trial])
+        ratio = least_ratio(index, np.concatenate([x, np.zeros((len(x), 1))], 1), [[held[v] for v in truth[i]] for i, _ in trial], recall, ratio, sizes, 4 * (k + 1))
     turns = -(-n_queries // 16_384)  # queries of one group go in turns that fit a task
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +268,7 @@ def nearest_neighbours(
                         o.append(v)
             yield pa.record_batch([pa.array(out[0], pa.int64()), batch.column(0).take(pa.array(out[2], pa.int64())), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[1], pa.list_(pa.int64()))], names=["group", "query_id", "q", "lists"])
 
-    asked = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
+    asked = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     asked = asked.mapInArrow(probe, "group bigint, query_id bigint, q array<double>, lists array<bigint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
     home_of = F.array(*[F.lit(int(x)) for x in home])
     blocks_of = F.array(*[F.lit(int(x)) for x in blocks])

@@ -250,6 +250,30 @@ def test_neighbours_edge_cases(spark):
     assert ann.nearest_neighbours(d.filter("vec_id = -1")).count() == 0
 
 
+def test_neighbours_hold_recall_where_lists_are_fine(spark):
+    """Lists this fine stand for a large table: at the least ratio a query reads too small a share."""
+    x = np.random.default_rng(4).normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(t, list_rows=16, copies=1).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-s)[:20].tolist())))
+    assert np.mean(hits) / 20 >= 0.92
+
+
+def test_exact_neighbours(spark):
+    x = np.random.default_rng(6).integers(-3, 4, (300, 4)).astype(float)
+    t = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, v array<double>").repartition(5)
+    got = ann.exact_neighbours(t, [(q, x[q].tolist()) for q in (0, 7, 299)], 20)
+    for q in (0, 7, 299):
+        assert got[q] == sorted((i for i in range(300) if i != q), key=lambda i: (-(x[i] @ x[q]), i))[:20]
+
+
 def test_search(docs):
     rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect() if r.doc_id is not None]
     n, mean = len(rows), sum(len(w) for _, w in rows) / len(rows)
