@@ -203,7 +203,7 @@ def nearest_neighbours(
     spark = table.sparkSession
     vectors = materialize(usable(table, vector), "vectors")
     first = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    base = materialize(vectors.withColumn("_copy", first).filter(F.col("_copy") <= k + 1), "distinct")
+    base = materialize(vectors.dropDuplicates(["vec_id", "v"]).withColumn("_copy", first).filter(F.col("_copy") <= k + 1), "distinct")
     rows = base.filter("_copy = 1").count()
     n_queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).count()
     schema = "query_id bigint, rank int, vec_id bigint, score double"

@@ -250,6 +250,12 @@ def test_neighbours_edge_cases(spark):
     assert ann.nearest_neighbours(d.filter("vec_id = -1")).count() == 0
 
 
+def test_neighbours_count_ids_among_equal_vectors(spark):
+    rows = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in (2, 3)] + [(20, [0.5, 0.0])]
+    got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(20, 1), (20, 2), (20, 3)]
+
+
 def test_neighbours_hold_recall_where_lists_are_fine(spark):
     """Lists this fine stand for a large table: at the least ratio a query reads too small a share."""
     x = np.random.default_rng(4).normal(size=(6000, 32))
