@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's documents. All but the last return the columns of documents; the last returns packed pieces.
+next stage's documents. All but the last return the columns of documents; the last returns packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, keep_ids=False)
+    return packing.pack_documents(docs)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("best_fit_packing", best_fit_packing)]

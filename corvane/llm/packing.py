@@ -162,5 +162,8 @@ def pack_documents(docs: DataFrame, most: int = 1024, keep_ids: bool = True) ->
     Returns doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset. Null or empty texts give
     one piece of the end id. Rows with the same id are packed each on its own. Other columns are ignored.
     """
-    pieces = tokenize_pieces(docs, most).withColumn("ids_crc32", F.crc32("ids"))
-    return pack_pieces(materialize(pieces if keep_ids else pieces.drop("ids"), "pieces"), most)
+    pieces = tokenize_pieces(docs, most)
+    if not keep_ids:
+        return pack_pieces(materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"), most)
+    packed = pack_pieces(materialize(pieces, "pieces"), most)
+    return packed.select("doc_id", "piece", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")

@@ -43,7 +43,7 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), keep_ids=False)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sharding by histogram sort: exact byte counts refine the splitters, then one exchange."""
+"""Sharding by histogram sort: exact byte counts refine the splitters, then one exchange of the documents."""
 
 from __future__ import annotations
 
@@ -71,35 +71,30 @@ def shard_documents(docs: DataFrame, shards: int = 16, part_bytes: int = 256 <<
     of about ``bytes / part_bytes`` sub-ranges (``most_parts`` in all), so that no task
     sorts a whole shard; ``slot`` runs from 0 in each shard, gapless, in key order.
 
-    Returns doc_id, size, text_crc32 (null text: that of the empty string), law, shard, slot, grown_shard (null).
-    Null ids, repeated rows and empty tables are allowed: each row gets a slot of its own. Other columns are ignored.
+    Returns the documents' own columns (doc_id as bigint), then size, text_crc32 (of the text that was placed; null text: that of the
+    empty string), law, shard, slot, grown_shard (null). Columns of these names are replaced. Null ids, repeated rows and empty tables
+    are allowed: each row gets a slot of its own. ``docs`` is read twice, for the cuts and to be placed; pass a written table.
     """
+    added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    docs = docs.drop(*added).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = materialize(
-        docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"),
-            (F.octet_length(text) + 1).cast("bigint").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            _key(text, F.col("doc_id")).alias("key"),
-        ),
-        "shard",
-    )
+    size = (F.octet_length(text) + 1).cast("bigint")
+    keyed = materialize(docs.select(size.alias("size"), _key(text, F.col("doc_id")).alias("key")), "shard")
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     each = max(1, min(most_parts // shards, -(-total // (shards * part_bytes))))
     cuts, _ = find_splitters(keyed, shards * each)
-    placed = keyed.withColumn("part", lower_bound_count(F.col("key"), cuts))
-    counts = dict(placed.groupBy("part").count().collect())
+    counts = dict(keyed.groupBy(lower_bound_count(F.col("key"), cuts).alias("part")).count().collect())
     starts = []
     for p in range(shards * each):
         starts.append(0 if p % each == 0 else starts[-1] + counts.get(p - 1, 0))
-    start = F.get(int_array(starts), F.col("part"))
-    slot = start + F.row_number().over(Window.partitionBy("part").orderBy("key", "doc_id")) - 1
+    placed = docs.withColumn("_key", _key(text, F.col("doc_id"))).withColumn("_part", lower_bound_count(F.col("_key"), cuts))
+    placed = placed.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("_key", "doc_id")))
     return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
+        *docs.columns,
+        size.alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
-        (F.col("part") / each).cast("int").alias("shard"),
-        slot.cast("bigint").alias("slot"),
+        (F.col("_part") / each).cast("int").alias("shard"),
+        (F.get(int_array(starts), F.col("_part")) + F.col("_row") - 1).cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -7,6 +7,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -152,6 +153,18 @@ def test_sharding(docs, small):
     assert sharding.shard_documents(docs.filter("doc_id = -1")).count() == 0
 
 
+def test_shards_hold_the_documents(docs):
+    own = [c for c in docs.columns if c != "size"]
+    got = sharding.shard_documents(docs).collect()
+    assert Counter(repr([r[c] for c in own]) for r in got) == Counter(repr([r[c] for c in own]) for r in docs.collect())
+    assert all(r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
+
+
+def test_packing_query_and_pipeline_keep_ids(spark, docs, sf):
+    for d in (queries.op8_best_fit_packing(spark, sf), corpus_pipeline.best_fit_packing(spark, docs, "")):
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in d.collect())
+
+
 def test_sharding_splits_a_group_of_copies(spark):
     d = spark.createDataFrame([(i, "same text" if i % 2 else f"text {i}") for i in range(4000)], "doc_id bigint, text string")
     sizes = Counter()
