@@ -37,9 +37,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stand as often as the mix takes them: not at all, once or twice."""
-    times = mixing.mix_documents(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").cast("int").alias("_times"))
-    d = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id"))).filter("_times > 0")
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    d = mixing.mix_documents(docs, keep=True).filter("times > 0")
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

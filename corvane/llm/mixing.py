@@ -84,7 +84,7 @@ def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(whole=full, extra=extra)[["source", "size", "n", "source_size", "target", "whole", "extra"]]
 
 
-def mix_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, keep: bool = False) -> DataFrame:
     """Take documents so that each source's words come to its target share of the mix.
 
     A document's size is its number of words (runs of bytes other than space and 0x09-0x0D; null: 0).
@@ -95,13 +95,15 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
 
     Only a histogram of (source, size) reaches the planner, one source at a time. Ranking within a
     size is dealt over buckets. Null sources form a source of their own, after the others; documents
-    without words are taken 0 words. Repeated rows count each. Returns doc_id, source, size, source_size, target, times, taken.
+    without words are taken 0 words. Repeated rows count each. Returns doc_id, source, size, source_size, target, times, taken, and
+    with ``keep`` the struct ``doc`` of the row's own columns, so that ``times`` belongs to the row also where ids repeat or are null.
     """
     sized = materialize(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+            *([F.struct("*").alias("doc"), F.xxhash64("text").alias("_text")] if keep else []),
         ),
         "mix",
     )
@@ -118,7 +120,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: fl
     d = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))).drop("_source", "_size")
     d = d.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id"))
     settled = d.filter((F.col("extra") == 0) | (F.col("extra") == F.col("n"))).withColumn("times", F.col("whole") + (F.col("extra") > 0).cast("bigint"))
-    drawn = rank_in_groups(d.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))), ["source", "size"], ["_draw", "doc_id"], "n")
+    drawn = rank_in_groups(d.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))), ["source", "size"], ["_draw", "doc_id", *(["_text"] if keep else [])], "n")
     drawn = drawn.withColumn("times", F.col("whole") + (F.col("rank") < F.col("extra")).cast("bigint")).drop("rank")
     out = settled.unionByName(drawn)
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), *(["doc"] if keep else []))

@@ -32,3 +32,15 @@ def test_stages(spark, docs, tmp_path):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_source_mix_takes_each_row_as_planned(spark):
+    """Null and repeated ids: each row is taken as often as its own plan says, so the words are the planned ones exactly."""
+    rows = [(None if i % 2 else i % 6, f"{'w ' * (1 + i % 5)}x{i}", "en", "abc"[i % 3], i) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got, want = {}, {}
+    for r in corpus_pipeline.source_mix(spark, d, "").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    for r in mixing.mix_documents(d).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert got == want
