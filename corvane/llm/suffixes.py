@@ -8,26 +8,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import BYTE_HASH, Packer, PrefixHash, Runs, joined_spans, later_ones, minimisers, ragged, remove_repeats, runs_of, same_strings
+from .superkmers import BYTE_HASH, Block, Packer, PrefixHash, Runs, Tally, joined_spans, later_ones, minimisers, not_alone, ragged, remove_repeats, same_strings
 
 M = 16
 BLOCK = 2 << 20
 
 
-def _feed(packer: Packer, texts: list[tuple[int, int, bytes]], k: int) -> None:
+def byte_block(texts: list[tuple[int, int, bytes]]) -> Block:
+    """One block of (document, first byte, bytes)."""
     data = np.frombuffer(b"".join(t for _, _, t in texts), np.uint8)
     sizes = np.array([len(t) for _, _, t in texts])
-    ends = np.cumsum(sizes)
-    which = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    first, count, value, repeats = runs_of(BYTE_HASH[data], ends[which], k, M)
-    if len(first):
-        own = which[first]
-        doc, base = np.array([d for d, _, _ in texts])[own], np.array([s for _, s, _ in texts])[own]
-        packer.add(first, count, value, repeats, doc, base + first - (ends - sizes)[own], first, count + k - 1, data)
+    place = np.arange(len(data) + 1)
+    return Block(data, BYTE_HASH[data], place[:-1], place[1:], np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.cumsum(sizes), np.array([d for d, _, _ in texts]), np.array([s for _, s, _ in texts]))
 
 
 def byte_blocks(k: int):
-    def blocks(batches: Iterator[pa.RecordBatch], packer: Packer) -> Iterator[None]:
+    def blocks(batches: Iterator[pa.RecordBatch], packer: Packer | Tally) -> Iterator[None]:
         held, size = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -36,11 +32,11 @@ def byte_blocks(k: int):
                     held.append((doc, i, raw[i : i + BLOCK + k - 1]))
                     size += len(held[-1][2])
                     if size >= BLOCK:
-                        _feed(packer, held, k)
+                        packer.add(byte_block(held))
                         held, size = [], 0
                         yield
         if held:
-            _feed(packer, held, k)
+            packer.add(byte_block(held))
         yield
 
     return blocks
@@ -118,26 +114,22 @@ class SuffixSorter:
 def match_bytes(runs: Runs, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix-sort the windows of each minimiser; all but the earliest of equal windows are returned.
 
-    Equal windows have their minimiser at the same place, so windows are sorted in groups of minimiser and place. Neighbours whose hashes agree over ``k`` bytes are compared byte by byte; should two
+    Windows whose hash over ``k`` bytes no other window has can't equal one and aren't sorted. Equal windows have their minimiser at the same
+    place, so windows are sorted in groups of minimiser and place. Neighbours whose hashes agree over ``k`` bytes are compared byte by byte; should two
     differ, their group is sorted anew by its bytes.
     """
     none = np.zeros(0, np.int64)
     at = np.repeat(np.arange(len(runs.value)), runs.windows)
     window = ragged(np.zeros(len(runs.value), np.int64), runs.windows.astype(np.int64))
-    minimiser = np.concatenate([[0], np.cumsum(runs.value[1:] != runs.value[:-1])])
     starts = begin[at] + window
-    place = minimisers(BYTE_HASH[runs.data], k, M)[0][starts] - starts
-    group = minimiser[at] * k + place
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    alone = np.ones(len(group), bool)
-    same = group[1:] == group[:-1]
-    alone[1:] &= ~same
-    alone[:-1] &= ~same
-    order, group = order[~alone], group[~alone]
-    if not len(order):
+    pick = not_alone(PrefixHash(runs.data)(starts, starts + k))
+    if not len(pick):
         return none, none
-    at, window, starts = at[order], window[order], starts[order]
+    at, window, starts = at[pick], window[pick], starts[pick]
+    minimiser = np.concatenate([[0], np.cumsum(runs.value[1:] != runs.value[:-1])])
+    group = minimiser[at] * k + minimisers(BYTE_HASH[runs.data], k, M)[0][starts] - starts
+    order = np.argsort(group, kind="stable")
+    at, window, starts, group = at[order], window[order], starts[order], group[order]
     sorter = SuffixSorter(runs.data, starts, k)
     order = sorter.sort(group)
     equal = (group[1:] == group[:-1]) & (sorter.whole[order[1:]] == sorter.whole[order[:-1]])
@@ -165,7 +157,7 @@ def cut_bytes(text: bytes | None, spans: list | None) -> tuple[int, int, int, by
     return len(raw), sum(e - s for s, e in ranges), len(ranges), b"".join(kept)
 
 
-def remove_repeated_strings(docs: DataFrame, k: int = 100, keep_text: bool = True) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, k: int = 100, keep_text: bool = True, bucket_bytes: int = 10 << 20) -> DataFrame:
     """Remove every byte covered by a ``k``-byte string that also starts earlier.
 
     Texts count as UTF-8 (null: empty); matches don't cross documents. Earlier means a smaller doc_id, or an earlier start in the same
@@ -178,4 +170,4 @@ def remove_repeated_strings(docs: DataFrame, k: int = 100, keep_text: bool = Tru
 
     Returns all columns of ``docs`` (the text itself only with ``keep_text``) and n_bytes, n_removed, n_spans (maximal removed runs), kept (binary: a cut may split a character), replacing columns of these names.
     """
-    return remove_repeats(docs, k, byte_blocks(k), match_bytes, cut_bytes, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", "suffixes", keep_text)
+    return remove_repeats(docs, k, M, byte_blocks(k), match_bytes, cut_bytes, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary", "suffixes", keep_text, bucket_bytes)

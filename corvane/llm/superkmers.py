@@ -3,10 +3,16 @@
 A window is ``k`` consecutive units (bytes or words) of one document. Windows are split into maximal
 runs that share their minimiser, the smallest hash among their ``m``-unit strings. Equal windows have equal
 minimisers, so a run travels once, as one packed string, to its minimiser's bucket, and a bucket sees all copies of its windows.
+
+A minimiser inside a passage that stands in very many contexts would fill a bucket of its own. Such minimisers are found in a
+sample before anything travels, and the windows of their runs are split anew by the minimiser of longer strings; what is
+hot even then by still longer ones, and at last by the whole window. All copies of a window take the same way, so this only
+deals out the work; results don't depend on the sample.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 
@@ -21,11 +27,14 @@ from .common import materialize
 
 U8 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
+MIX = 0xD6E8FEB86659FD93
 INVERSE = pow(BASE, -1, 1 << 64)
 _random = np.random.default_rng(20240501)
 #: One random 64-bit number per byte value, for polynomial hashes.
 BYTE_HASH = _random.integers(0, 1 << 63, 256, dtype=U8) * U8(2) + U8(1)
 NO_ID = -(1 << 63)
+SLICE = 1 << 20
+SAMPLE = 64 << 20
 
 
 class Powers:
@@ -57,17 +66,25 @@ class PrefixHash:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U8(32))) * U8(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U8(32))) * U8(MIX)
     return x ^ (x >> U8(29))
 
 
-def minimisers(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, value) of the leftmost smallest hash of an ``m``-unit string (``m`` a power of two) in every window of ``k`` of at least ``k`` units."""
-    h, s = units, 1
-    while s < m:
+def string_hashes(units: np.ndarray, m: int) -> np.ndarray:
+    """A hash of every ``m``-unit string, put together from those of 1, 2, 4, ... units."""
+    h, s, out, done = units, 1, None, 0
+    while True:
+        if m & s:
+            out, done = (h, s) if out is None else (out[: len(out) - s] * U8(pow(MIX, s, 1 << 64)) + h[done:], done + s)
+        if done == m:
+            return mixed(out)
         h = h[:-s] * U8(pow(BASE, 2 * s + 1, 1 << 64)) + h[s:]
         s *= 2
-    h = mixed(h)
+
+
+def minimisers(units: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of the leftmost smallest hash of an ``m``-unit string in every window of ``k`` of at least ``k`` units."""
+    h = string_hashes(units, m)
     low, s, w = (h & U8(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U8), 1, k - m + 1
     while 2 * s <= w:
         low = np.minimum(low[:-s], low[s:])
@@ -116,8 +133,10 @@ class Runs:
 
     TYPES = (U8, np.int64, np.int64, np.int32, np.int32, np.bool_, np.uint8)
 
-    def take(self, at: np.ndarray) -> Runs:
-        begin = np.cumsum(self.size, dtype=np.int64) - self.size
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def take(self, at: np.ndarray, begin: np.ndarray) -> Runs:
         return Runs(*(getattr(self, f.name)[at] for f in fields(self)[:-1]), self.data[ragged(begin[at], self.size[at].astype(np.int64))])
 
     def pack(self) -> bytes:
@@ -203,32 +222,47 @@ def spans_of(doc: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np
     return doc[at], start[at], start[last] + k
 
 
-def repeats_in_bucket(runs: Runs, k: int, matcher: Matcher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges covered by windows of this bucket that also start earlier."""
+def in_groups(values: np.ndarray) -> np.ndarray:
+    """Which of the ascending ``values`` occur more than once."""
+    again = np.zeros(len(values), bool)
+    again[1:] = values[1:] == values[:-1]
+    again[:-1] |= again[1:]
+    return again
+
+
+def repeats_in_bucket(runs: Runs, k: int, matcher: Matcher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges covered by windows of this bucket that also start earlier, for some minimisers (about ``SLICE`` bytes of runs) at a time."""
     order = np.argsort(runs.value, kind="stable")
     value = runs.value[order]
-    shared = np.zeros(len(order), bool)
-    shared[1:] = value[1:] == value[:-1]
-    shared[:-1] |= shared[1:]
-    runs = runs.take(order[shared | runs.repeats[order]])
-    begin = np.cumsum(runs.size, dtype=np.int64) - runs.size
-    first, copy = collapse(runs.value, runs.doc, runs.start, runs.size, runs.data, begin, PrefixHash(runs.data))
+    some = in_groups(value) | runs.repeats[order]
+    order, value = order[some], value[some]
+    begin = runs.begins()
+    heads = np.flatnonzero(np.diff(value, prepend=~value[:1])) if len(value) else np.zeros(0, np.int64)
+    filled = (np.cumsum(runs.size[order], dtype=np.int64) - runs.size[order])[heads] // SLICE
+    cut = heads[np.diff(filled, prepend=-1) > 0]
+    for lo, hi in zip(cut, np.append(cut[1:], len(order))[: len(cut)], strict=True):
+        yield _repeats_in_slice(runs.take(order[lo:hi], begin), k, matcher)
+
+
+def _repeats_in_slice(runs: Runs, k: int, matcher: Matcher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, copy = collapse(runs.value, runs.doc, runs.start, runs.size, runs.data, runs.begins(), PrefixHash(runs.data))
     later = copy & ((runs.doc != runs.doc[first]) | (runs.start != runs.start[first]))
     docs, starts = [np.repeat(runs.doc[later], runs.windows[later])], [ragged(runs.start[later], runs.windows[later].astype(np.int64))]
     left = np.flatnonzero(~copy)
-    value = runs.value[left]
-    open_ = runs.repeats[left].copy()
-    open_[1:] |= value[1:] == value[:-1]
-    open_[:-1] |= value[:-1] == value[1:]
-    runs = runs.take(left[open_])
+    runs = runs.take(left[in_groups(runs.value[left]) | runs.repeats[left]], runs.begins())
     if len(runs.value):
-        begin = np.cumsum(runs.size, dtype=np.int64) - runs.size
-        at, window = matcher(runs, begin, k)
+        at, window = matcher(runs, runs.begins(), k)
         docs.append(runs.doc[at])
         starts.append(runs.start[at] + window)
     return spans_of(np.concatenate(docs), np.concatenate(starts), k)
 
 
+def not_alone(keys: np.ndarray) -> np.ndarray:
+    """Ascending places of the keys that occur more than once."""
+    order = np.argsort(keys, kind="stable")
+    return np.sort(order[in_groups(keys[order])])
+
+
 def later_ones(groups: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Of items with group numbers, those that don't start earliest in their group."""
     order = np.lexsort((start, doc, groups))
@@ -239,39 +273,96 @@ def later_ones(groups: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.nda
     return order[(d != d[lead]) | (s != s[lead])]
 
 
+@dataclass
+class Block:
+    """Some MB of text: the bytes; of each unit its hash, first byte, byte after the last, text and end of the text; of each text its document and the place of its first unit there."""
+
+    data: np.ndarray
+    units: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    text: np.ndarray
+    ends: np.ndarray
+    docs: np.ndarray
+    bases: np.ndarray
+
+
+def lengths_of(k: int, m: int) -> list[int]:
+    """Units of the strings by which windows are split: ``m`` at first, ``k`` at last."""
+    return [m, m + (k - m) * 4 // 7, k - max(1, (k - m) // 21), k]
+
+
+def split_block(block: Block, k: int, lengths: list[int], hot: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, first unit, windows, minimiser, repeats) of all runs; ``hot`` has the ascending hot minimisers of the levels before the last one used."""
+    first, count, value, repeats = runs_of(block.units, block.ends[block.text], k, lengths[0])
+    for level, (m, burning) in enumerate(zip(lengths[1:], hot, strict=False)):
+        at = np.zeros(len(value), bool)
+        if len(burning):
+            at = burning[np.minimum(np.searchsorted(burning, value), len(burning) - 1)] == value
+        yield level, first[~at], count[~at], value[~at], repeats[~at]
+        size = count[at] + k - 1
+        own = ragged(first[at], size)
+        x, count, value, repeats = runs_of(block.units[own], np.repeat(np.cumsum(size), size), k, m)
+        first = own[x]
+    yield len(hot), first, count, value, repeats
+
+
 class Packer:
     """Collects the runs of blocks of text by bucket, and packs them once enough is held."""
 
-    def __init__(self, k: int, buckets: int, most: int = 20 << 20):
-        self.k, self.buckets, self.most = k, buckets, most
+    def __init__(self, k: int, lengths: list[int], hot: list[np.ndarray], buckets: int, most: int = 20 << 20):
+        self.k, self.lengths, self.hot, self.buckets, self.most = k, lengths, hot, buckets, most
         self.held: dict[int, list[Runs]] = {}
+        self.burning: list[Runs] = []
         self.spans: list[tuple] = []
         self.bytes = 0
 
-    def add(self, first, count, value, repeats, doc, start, begin, size, data) -> None:
-        """Runs of one block; copies within the block are settled here, so a frequent string leaves once per block."""
-        lead, copy = collapse(value, doc, start, size, data, begin, PrefixHash(data))
-        later = copy & ((doc != doc[lead]) | (start != start[lead]))
+    @property
+    def full(self) -> bool:
+        return self.bytes >= self.most
+
+    def add(self, block: Block) -> None:
+        """Copies within the block are settled here, so a frequent string leaves once per block (one of a hot minimiser: once per pack)."""
+        hashes = PrefixHash(block.data)
+        for level, first, count, value, repeats in split_block(block, self.k, self.lengths, self.hot):
+            if len(first):
+                begin, text = block.left[first], block.text[first]
+                size = block.right[first + count + self.k - 2] - begin
+                start = block.bases[text] + first - np.append(0, block.ends[:-1])[text]
+                self._put(level, Runs(value, block.docs[text], start, count, size, repeats, block.data), begin, hashes)
+
+    def _put(self, level: int, runs: Runs, begin: np.ndarray, hashes: PrefixHash) -> None:
+        lead, copy = collapse(runs.value, runs.doc, runs.start, runs.size, runs.data, begin, hashes)
+        later = copy & ((runs.doc != runs.doc[lead]) | (runs.start != runs.start[lead]))
         if later.any():
-            self.spans.append(spans_of(np.repeat(doc[later], count[later]), ragged(start[later], count[later]), self.k))
+            self.spans.append(spans_of(np.repeat(runs.doc[later], runs.windows[later]), ragged(runs.start[later], runs.windows[later].astype(np.int64)), self.k))
         keep = np.flatnonzero(~copy)
-        bucket = (value[keep] % U8(self.buckets)).astype(np.int64)
-        keep = keep[np.argsort(bucket, kind="stable")]
-        bucket = (value[keep] % U8(self.buckets)).astype(np.int64)
-        text = data[ragged(begin[keep], size[keep])]
+        bucket = (runs.value[keep] % U8(self.buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        bucket = bucket[by]
+        runs = runs.take(keep[by], begin)
+        self.bytes += len(runs.data) + 33 * len(bucket)
+        if level > 0:
+            self.burning.append(runs)
+        else:
+            self._deal(runs, bucket)
+
+    def _deal(self, runs: Runs, bucket: np.ndarray) -> None:
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends, byte = np.append(cut[1:], len(keep)), np.append(0, np.cumsum(size[keep]))
-        for lo, hi in zip(cut, ends, strict=True):
-            x = keep[lo:hi]
-            run = Runs(value[x], doc[x], start[x], count[x].astype(np.int32), size[x].astype(np.int32), repeats[x], text[byte[lo] : byte[hi]])
-            self.held.setdefault(int(bucket[lo]), []).append(run)
-        self.bytes += len(text) + 33 * len(keep)
+        byte = np.append(0, np.cumsum(runs.size))
+        for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
+            own = [getattr(runs, f.name)[lo:hi].astype(t, copy=False) for f, t in zip(fields(Runs)[:-1], Runs.TYPES[:-1], strict=True)]
+            self.held.setdefault(int(bucket[lo]), []).append(Runs(*own, runs.data[byte[lo] : byte[hi]]))
+
+    @staticmethod
+    def _joined(parts: list[Runs]) -> Runs:
+        return Runs(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Runs)))
 
     def flush(self) -> pa.RecordBatch:
-        rows = []
-        for bucket, parts in self.held.items():
-            joined = Runs(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Runs)))
-            rows.append((bucket, False, joined.pack()))
+        if self.burning:
+            runs, self.burning = self._joined(self.burning), []
+            self._put(0, runs, runs.begins(), PrefixHash(runs.data))
+        rows = [(bucket, False, self._joined(parts).pack()) for bucket, parts in self.held.items()]
         if self.spans:
             doc, start, end = (np.concatenate(x) for x in zip(*self.spans, strict=True))
             home = (mixed(doc.astype(U8)) % U8(self.buckets)).astype(np.int64)
@@ -281,49 +372,113 @@ class Packer:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["bucket", "settled", "blob"])
 
 
-def find_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, bucket_bytes: int = 10 << 20) -> DataFrame:
+class Tally:
+    """Sums the bytes of the runs of the deepest level by minimiser."""
+
+    most = 1 << 20
+
+    def __init__(self, k: int, lengths: list[int], hot: list[np.ndarray]):
+        self.k, self.lengths, self.hot = k, lengths, hot
+        self.values: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    @property
+    def full(self) -> bool:
+        return sum(map(len, self.values)) >= self.most
+
+    def add(self, block: Block) -> None:
+        hashes = None
+        for level, first, count, value, repeats in split_block(block, self.k, self.lengths, self.hot):
+            if level == len(self.hot) and len(first):
+                hashes = hashes or PrefixHash(block.data)
+                begin = block.left[first]
+                size = block.right[first + count + self.k - 2] - begin
+                copy = collapse(value, block.docs[block.text[first]], first, size, block.data, begin, hashes)[1]
+                self.values.append(value[~copy])
+                self.sizes.append(size[~copy] + 33)
+
+    def flush(self) -> pa.RecordBatch:
+        value, at = np.unique(np.concatenate([np.zeros(0, U8), *self.values]), return_inverse=True)
+        size = np.bincount(at, np.concatenate([np.zeros(0), *self.sizes]), len(value)).astype(np.int64)
+        self.values, self.sizes = [], []
+        return pa.record_batch([pa.array(value.view(np.int64)), pa.array(size)], names=["value", "bytes"])
+
+
+Feed = Callable[[Iterator[pa.RecordBatch], Packer | Tally], Iterator[None]]
+
+
+def fed(feed: Feed, make: Callable[[], Packer | Tally]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = make()
+        for _ in feed(batches, packer):
+            if packer.full:
+                yield packer.flush()
+        yield packer.flush()
+
+    return run
+
+
+def hot_minimisers(docs: DataFrame, feed: Feed, k: int, lengths: list[int], total: int, most: int) -> list[np.ndarray]:
+    """For each level but the last, the ascending minimisers whose runs, by a sample of the texts, take ``most`` bytes or more.
+
+    The sample holds about ``SAMPLE`` bytes of text, or a 2,000th of all if that is more; it only plans how work is dealt out. A hot minimiser takes
+    ``most`` of all runs' bytes, of which a text gives some four times its own, so there are at most about 4 ``total`` / ``most``.
+    """
+    hot: list[np.ndarray] = []
+    if 8 * total < most:
+        return hot
+    share = min(1.0, max(SAMPLE / max(total, 1), 1 / 2000))
+    some = docs.sample(False, share, 11) if share < 1 else docs
+    while len(hot) < len(lengths) - 1:
+        sizes = some.mapInArrow(fed(feed, lambda h=tuple(hot): Tally(k, lengths, list(h))), "value bigint, bytes bigint").groupBy("value").agg(F.sum("bytes").alias("bytes"))
+        found = sizes.filter(F.col("bytes") >= max(most * share, 8 * 200)).select("value").toArrow().column(0).to_numpy()
+        hot.append(np.sort(found.astype(np.int64).view(U8)))
+        if not len(found):
+            break
+    return hot
+
+
+def find_repeats(docs: DataFrame, k: int, m: int, feed: Feed, matcher: Matcher, bucket_bytes: int = 10 << 20) -> DataFrame:
     """(doc, start, end): unit ranges of ``docs(_id, text)`` covered by windows that also start earlier.
 
-    ``blocks(batches, packer)`` feeds the runs of all texts to the packer and yields when it is full.
+    ``feed(batches, packer)`` adds the blocks of all texts to the packer and yields after each.
     The number of buckets follows the bytes of all texts, so a bucket holds about ``bucket_bytes`` of runs.
     """
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     buckets = max(16, min(1 << 20, -(-total * 7 // (2 * bucket_bytes))))
     parts = min(20_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(k, buckets)
-        for _ in blocks(batches, packer):
-            if packer.bytes >= packer.most:
-                yield packer.flush()
-        yield packer.flush()
+    lengths = lengths_of(k, m)
+    docs = docs.select("_id", "text")
+    hot = hot_minimisers(docs, feed, k, lengths, total, max(bucket_bytes, total * 7 // (2 * buckets)) // 4)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done():
-            doc, start, end = repeats_in_bucket(Runs.unpack(held), k, matcher) if held else (np.zeros(0, np.int64),) * 3
-            spans = np.concatenate([np.stack([doc, start, end]), *(np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in settled)], 1)
-            return pa.record_batch([pa.array(x) for x in spans], names=["doc", "start", "end"])
+        def done(held, settled):
+            spans = repeats_in_bucket(Runs.unpack(held), k, matcher) if held else ()
+            for x in itertools.chain((np.frombuffer(zstandard.decompress(x), np.int64).reshape(3, -1) for x in settled), spans):
+                yield pa.record_batch([pa.array(c) for c in x], names=["doc", "start", "end"])
 
         held, settled, current = [], [], None
         for batch in batches:
             for bucket, over, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if bucket != current and current is not None:
-                    yield done()
+                    yield from done(held, settled)
                     held, settled = [], []
                 current = bucket
                 (settled if over else held).append(blob.as_py())
         if current is not None:
-            yield done()
+            yield from done(held, settled)
 
-    packed = docs.select("_id", "text").mapInArrow(split, "bucket bigint, settled boolean, blob binary")
+    packed = docs.mapInArrow(fed(feed, lambda: Packer(k, lengths, hot, buckets)), "bucket bigint, settled boolean, blob binary")
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc bigint, start bigint, end bigint")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``_spans``, the ranges of the document, or null; ``docs`` has ``_id``."""
-    by = spans.groupBy(F.col("doc").alias("_span_doc")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    return docs.join(by, F.col("_id") == F.col("_span_doc"), "left").drop("_span_doc")
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def joined_spans(spans: list | None, n: int) -> list[tuple[int, int]]:
@@ -338,13 +493,14 @@ def joined_spans(spans: list | None, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher, cut: Callable[[bytes | None, list | None], tuple], more: str, what: str, keep_text: bool) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int, m: int, feed: Feed, matcher: Matcher, cut: Callable[[bytes | None, list | None], tuple], more: str, what: str, keep_text: bool, bucket_bytes: int) -> DataFrame:
     """All columns of ``docs`` (``text`` only with ``keep_text``) and those that ``cut(text, spans)`` makes of each text; ``more`` is their schema."""
     names = [x.split(" ")[0] for x in more.split(", ")]
-    docs = docs.drop(*names, "_id", "_spans", "_span_doc")
+    docs = docs.drop(*names)
     text, doc_id = (next(c for c in docs.columns if c.lower() == x) for x in ("text", "doc_id"))
-    docs = docs.withColumn(text, F.col(text).cast("string")).withColumn("_id", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
-    spans = materialize(find_repeats(docs.select("_id", F.col(text).alias("text")), k, blocks, matcher), what)
+    own_id = unused(docs.columns, "_id")
+    docs = docs.withColumn(text, F.col(text).cast("string")).withColumn(own_id, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)))
+    spans = materialize(find_repeats(docs.select(F.col(own_id).alias("_id"), F.col(text).alias("text")), k, m, feed, matcher, bucket_bytes), what)
     at = docs.columns.index(text)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +510,7 @@ def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher,
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     small = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in docs.schema])
-    schema = T.StructType([f for f in docs.schema if f.name != "_id" and (keep_text or f.name != text)])
+    schema = T.StructType([f for f in docs.schema if f.name != own_id and (keep_text or f.name != text)])
     for f in docs.sparkSession.createDataFrame([], more).schema:
         schema = schema.add(f)
 
@@ -372,4 +528,6 @@ def remove_repeats(docs: DataFrame, k: int, blocks: Callable, matcher: Matcher,
                 kept = [n for n in batch.schema.names[:-1] if n in own]
                 yield pa.RecordBatch.from_arrays([own[n] for n in kept] + arrays, names=[*kept, *names])
 
-    return with_spans(docs.mapInArrow(shrink, small), spans).drop("_id").mapInArrow(run, schema)
+    span_doc, span_list = unused(docs.columns, "_span_doc"), unused(docs.columns, "_spans")
+    by = spans.groupBy(F.col("doc").alias(span_doc)).agg(F.collect_list(F.struct("start", "end")).alias(span_list))
+    return docs.mapInArrow(shrink, small).join(by, F.col(own_id) == F.col(span_doc), "left").drop(span_doc, own_id).mapInArrow(run, schema)

@@ -8,32 +8,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .superkmers import PrefixHash, Packer, Runs, joined_spans, later_ones, mixed, remove_repeats, runs_of
+from .superkmers import Block, Packer, PrefixHash, Runs, Tally, joined_spans, later_ones, mixed, not_alone, ragged, remove_repeats
 
 M = 4
 BLOCK = 2 << 20
 LONG = 1 << 18  # words of a text that go into one block at most
 
 
-def _feed(packer: Packer, texts: list[tuple[int, int, bytes]], k: int) -> None:
+def word_block(texts: list[tuple[int, int, bytes]]) -> Block:
     """One block of (document, first word, words joined by one space)."""
     data = np.frombuffer(b" ".join(t for _, _, t in texts), np.uint8)
     stop = np.append(np.flatnonzero(data == 32), len(data))
     begin = np.append(0, stop[:-1] + 1)
-    hashes = mixed(PrefixHash(data)(begin, stop))
     words = np.array([t.count(b" ") + 1 for _, _, t in texts])
-    ends = np.cumsum(words)
-    which = np.repeat(np.arange(len(texts)), words)
-    first, count, value, repeats = runs_of(hashes, ends[which], k, M)
-    if len(first):
-        own = which[first]
-        doc, base = np.array([d for d, _, _ in texts])[own], np.array([s for _, s, _ in texts])[own]
-        b = begin[first]
-        packer.add(first, count, value, repeats, doc, base + first - (ends - words)[own], b, stop[first + count + k - 2] - b, data)
+    return Block(data, mixed(PrefixHash(data)(begin, stop)), begin, stop, np.repeat(np.arange(len(texts)), words), np.cumsum(words), np.array([d for d, _, _ in texts]), np.array([s for _, s, _ in texts]))
 
 
 def word_blocks(k: int):
-    def blocks(batches: Iterator[pa.RecordBatch], packer: Packer) -> Iterator[None]:
+    def blocks(batches: Iterator[pa.RecordBatch], packer: Packer | Tally) -> Iterator[None]:
         held, size = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -42,36 +34,39 @@ def word_blocks(k: int):
                     held.append((doc, i, b" ".join(words[i : i + LONG + k - 1])))
                     size += len(held[-1][2])
                     if size >= BLOCK:
-                        _feed(packer, held, k)
+                        packer.add(word_block(held))
                         held, size = [], 0
                         yield
         if held:
-            _feed(packer, held, k)
+            packer.add(word_block(held))
         yield
 
     return blocks
 
 
 def match_words(runs: Runs, begin: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sort the windows of each minimiser as strings; all but the earliest of equal ones are returned."""
-    keys: list[tuple[int, bytes]] = []
-    at, window = [], []
-    for i, (b, n, count) in enumerate(zip(begin.tolist(), runs.size.tolist(), runs.windows.tolist(), strict=True)):
-        text = runs.data[b : b + n].tobytes()
-        word = [0, *(np.flatnonzero(runs.data[b : b + n] == 32) + 1).tolist(), n + 1]
-        value = int(runs.value[i])
-        for j in range(count):
-            keys.append((value, text[word[j] : word[j + k] - 1]))
-        at += [i] * count
-        window += range(count)
+    """Sort the windows of all minimisers as strings; all but the earliest of equal ones are returned.
+
+    Windows whose hash no other window has can't equal one and aren't sorted.
+    """
+    space = np.flatnonzero(runs.data == 32)
+    left, right = np.sort(np.append(begin, space + 1)), np.sort(np.append(begin + runs.size, space))
+    count = runs.windows.astype(np.int64)
+    words = count + k - 1
+    at = np.repeat(np.arange(len(count)), count)
+    window = ragged(np.zeros(len(count), np.int64), count)
+    head = (np.cumsum(words) - words)[at] + window
+    lo, hi = left[head], right[head + k - 1]
+    pick = not_alone(mixed(PrefixHash(runs.data)(lo, hi)))
+    at, window, lo, hi = at[pick], window[pick], lo[pick], hi[pick]
+    keys = [runs.data[a:b].tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
     order = sorted(range(len(keys)), key=keys.__getitem__)
     groups, g = np.zeros(len(keys), np.int64), 0
     for x, y in zip(order, order[1:]):  # noqa: RUF007
         g += keys[x] != keys[y]
         groups[y] = g
-    at_, window_ = np.array(at, np.int64), np.array(window, np.int64)
-    pick = later_ones(groups, runs.doc[at_], runs.start[at_] + window_)
-    return at_[pick], window_[pick]
+    pick = later_ones(groups, runs.doc[at], runs.start[at] + window)
+    return at[pick], window[pick]
 
 
 def cut_words(text: bytes | None, spans: list | None) -> tuple[int, int, str]:
@@ -84,7 +79,7 @@ def cut_words(text: bytes | None, spans: list | None) -> tuple[int, int, str]:
     return len(words), removed, b" ".join(kept).decode()
 
 
-def remove_repeated_windows(docs: DataFrame, k: int = 20, keep_text: bool = True) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, k: int = 20, keep_text: bool = True, bucket_bytes: int = 10 << 20) -> DataFrame:
     """Remove every word covered by a window of ``k`` consecutive words that also starts earlier.
 
     Words are runs of bytes other than space and 0x09-0x0D. Earlier means a smaller doc_id, or an earlier start in the
@@ -94,4 +89,4 @@ def remove_repeated_windows(docs: DataFrame, k: int = 20, keep_text: bool = True
 
     Returns all columns of ``docs`` (the text itself only with ``keep_text``) and n_words, n_removed, kept (the kept words, joined by one space), replacing columns of these names.
     """
-    return remove_repeats(docs, k, word_blocks(k), match_words, cut_words, "n_words bigint, n_removed bigint, kept string", "windows", keep_text)
+    return remove_repeats(docs, k, M, word_blocks(k), match_words, cut_words, "n_words bigint, n_removed bigint, kept string", "windows", keep_text, bucket_bytes)
