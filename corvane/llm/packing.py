@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
 
@@ -19,11 +20,19 @@ SPECIAL = "<|endoftext|>"
 PLAIN_BELOW = "ɐ"
 
 
+#: Runs of white space of this length or more (the Latin range's white space) are encoded on their own.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0]{256,}(?=[^\t-\r \x85\xa0])|[\t-\r \x85\xa0]{256,}\Z")
+
+
 class Encoder:
     """Token ids of the byte-level vocabulary, as the ``tokenizers`` library gives them.
 
     Texts of Latin characters without the special token's string go through ``tiktoken`` over the same
     vocabulary, which gives the same ids about four times as fast; all others through ``tokenizers``.
+
+    ``tiktoken`` finds the end of a run of white space by backtracking, and a very long run exhausts its stack. A run before other text is
+    always split before its last character, and one at the end not at all, so cutting the text there changes no id:
+    long runs are cut out and merged by ``tokenizers``, which takes one as a whole.
     """
 
     def __init__(self, vocabulary: str, ranks: str | None):
@@ -39,12 +48,20 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
-    def __call__(self, text: str) -> list[int]:
-        # A very long run of white space can exhaust the regular expression's stack, so it takes the other way.
-        if self.fast and max(text, default="") < PLAIN_BELOW and SPECIAL not in text and " " * 10_000 not in text:
-            return self.fast.encode_ordinary(text)
+    def reference(self, text: str) -> list[int]:
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    def __call__(self, text: str) -> list[int]:
+        if not self.fast or max(text, default="") >= PLAIN_BELOW or SPECIAL in text:
+            return self.reference(text)
+        out, last = [], 0
+        for run in LONG_BLANK.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.fast.encode_ordinary(text[last : run.start()])
+            out += self.reference(text[run.start() : end])
+            last = end
+        return out + self.fast.encode_ordinary(text[last:])
+
 
 def cuts(n: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: one if it fits; else full pieces after a first, maybe shorter, one."""

@@ -114,6 +114,24 @@ def test_fast_and_reference_tokenizer_agree(small):
         assert encode.fast.encode_ordinary(text) == encode.slow.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 2_000_000])
+@pytest.mark.parametrize("blank", ["\n", "\t", " ", " \n", "\xa0 ", "\r\n\t"])
+def test_long_white_space(n, blank):
+    """Runs of any length, at the start, in the middle and at the end of a text, have the reference library's ids."""
+    import public_tokenizers
+
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    run = (blank * n)[:n]
+    for text in [run, f"{run}a", f"a{run}", f"a b{run}c, d{run[:300]}9"] if n < 1000 else [f"a{run}b"]:
+        assert encode(text) == encode.reference(text)
+
+
+def test_packing_survives_long_white_space(spark):
+    d = spark.createDataFrame([(1, "a" + "\n" * 1_000_000 + "b")], "doc_id bigint, text string")
+    rows = packing.pack_documents(d).collect()
+    assert sum(r.length for r in rows) == max(r.start + r.length for r in rows) > 1000
+
+
 def test_best_fit_plan_covers_every_piece_once():
     rng = np.random.default_rng(1)
     hist = {int(n): int(c) for n, c in zip(rng.integers(1, 1025, 300), rng.integers(1, 20, 300), strict=True)}
