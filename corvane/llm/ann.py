@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 
 
 @dataclass
@@ -140,7 +140,7 @@ def exact_neighbours(base: DataFrame, asked: Sequence[tuple[int, Sequence[float]
                     best[i] = found[0][top], found[1][top]
         yield pa.record_batch([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
 
-    d = base.select("vec_id", "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    d = base.select("vec_id", "v").mapInArrow(frugal(run), "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out: dict[int, list[int]] = {}
     for i, v in d.withColumn("_rank", rank).filter(F.col("_rank") <= k).select("query_id", "vec_id").collect():
@@ -227,7 +227,7 @@ def nearest_neighbours(
                 row, col = np.nonzero(dist <= (1 + margin) * dist.min(1, keepdims=True))
                 yield pa.record_batch([pa.array(near[row, col].astype(np.int64)), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["list", "vec_id", "v"])
 
-    posted = materialize(base.select("vec_id", "v").mapInArrow(assign, "list bigint, vec_id bigint, v array<double>"), "lists")
+    posted = materialize(base.select("vec_id", "v").mapInArrow(frugal(assign), "list bigint, vec_id bigint, v array<double>"), "lists")
     counts = dict(posted.groupBy("list").count().collect())
     sizes = np.array([counts.get(i, 0) for i in range(len(index.centroids))])
     blocks = np.maximum(1, -(-sizes // group_rows))
@@ -269,7 +269,7 @@ def nearest_neighbours(
             yield pa.record_batch([pa.array(out[0], pa.int64()), batch.column(0).take(pa.array(out[2], pa.int64())), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[1], pa.list_(pa.int64()))], names=["group", "query_id", "q", "lists"])
 
     asked = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
-    asked = asked.mapInArrow(probe, "group bigint, query_id bigint, q array<double>, lists array<bigint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
+    asked = asked.mapInArrow(frugal(probe), "group bigint, query_id bigint, q array<double>, lists array<bigint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
     home_of = F.array(*[F.lit(int(x)) for x in home])
     blocks_of = F.array(*[F.lit(int(x)) for x in blocks])
     group = F.get(home_of, F.col("list").cast("int")) + F.pmod(F.xxhash64("vec_id"), F.get(blocks_of, F.col("list").cast("int")).cast("bigint"))

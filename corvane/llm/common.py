@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, whose worker starts and ends without memory that is free but still held."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        release_memory()
+        yield from run(batches)
+        release_memory()
+
+    return wrapped
+
+
 def int_array(values: Sequence[int]) -> Column:
     """A constant array<bigint>, folded once by the optimizer; evaluating it costs nothing per row."""
     return F.array(*[F.lit(int(v)).cast("bigint") for v in values]) if values else F.expr("cast(array() as array<bigint>)")

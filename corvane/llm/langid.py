@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
+
 #: Symbols: 0 for anything but a letter, 1-26 for a-z, the rest shared by all other letters by hash.
 SYMBOLS = 64
 DIM = 512
@@ -97,7 +99,7 @@ def fit_prototypes(docs: DataFrame, most_per_language: int = 20_000) -> dict[str
                     sums[lang] = sums.get(lang, 0) + np.rint(v * (10_000 / np.linalg.norm(v))).astype(np.int64)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "v": pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))})
 
-    summed = drawn.select("text", "lang").mapInArrow(run, "lang string, v array<bigint>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
+    summed = drawn.select("text", "lang").mapInArrow(frugal(run), "lang string, v array<bigint>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x"))
     found: dict[str, np.ndarray] = {}
     for lang, pos, x in summed.collect():
         found.setdefault(lang, np.zeros(DIM))[pos] = x
@@ -131,7 +133,7 @@ def predict_language(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> Data
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score"])
 
     schema = docs.schema.add("lang_pred", "string").add("score", "double")
-    return docs.withColumn(docs.columns[where], F.col(docs.columns[where]).cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(docs.columns[where], F.col(docs.columns[where]).cast("string")).mapInArrow(frugal(run), schema)
 
 
 def identify_languages(docs: DataFrame, most_per_language: int = 20_000) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import frugal, materialize
 from .components import connected_components
 from .superkmers import BASE, PrefixHash, mixed
 
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, chunks: int) -> DataFrame:
             yield pa.record_batch(cols, names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bitmap"])
 
     schema = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, signature binary, bitmap binary"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(frugal(run), schema)
 
 
 def chunk_keys(parts: np.ndarray) -> np.ndarray:
@@ -130,7 +130,7 @@ def index_keys(reps: DataFrame, parts_n: int) -> DataFrame:
                 docs = np.repeat(part.column(0).to_numpy(), parts_n)
                 yield pa.record_batch([pa.array(chunk_keys(sig).ravel()), pa.array(docs)], names=["key", "doc"])
 
-    return reps.select("doc", "signature").mapInArrow(run, "key bigint, doc bigint")
+    return reps.select("doc", "signature").mapInArrow(frugal(run), "key bigint, doc bigint")
 
 
 def _fold(bits: np.ndarray, size: int) -> np.ndarray:
@@ -161,7 +161,7 @@ def plausible(edges: DataFrame, profiles: DataFrame, radius: int, percent: int)
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return d.mapInArrow(run, "a bigint, b bigint")
+    return d.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def confirm(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -175,7 +175,7 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             sets = _sets([texts[i] for i in full]) if full else []
             yield pa.record_batch([pa.array([doc_ids[i] for i in full], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "items"])
 
-    sets = materialize(chosen.mapInArrow(shingle, "doc bigint, items binary"), "sets")
+    sets = materialize(chosen.mapInArrow(frugal(shingle), "doc bigint, items binary"), "sets")
     left, right = (sets.toDF(f"doc_{x}", f"set_{x}") for x in "ab")
     d = edges.join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b")).select("a", "b", "set_a", "set_b")
 
@@ -190,7 +190,7 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return d.mapInArrow(run, "a bigint, b bigint")
+    return d.mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def _tile_pairs(key: int, tile: tuple[int, int], rows: list[tuple], radius: int, percent: int) -> tuple[list[int], list[int]]:
@@ -250,7 +250,7 @@ def cross_pairs(shared: DataFrame, profiles: DataFrame, parts: DataFrame, radius
         if group is not None:
             yield done()
 
-    return d.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a bigint, b bigint")
+    return d.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:

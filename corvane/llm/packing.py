@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rank_in_groups
+from .common import frugal, materialize, rank_in_groups
 
 SPECIAL = "<|endoftext|>"
 #: Up to here both tokenizer libraries class characters alike; other texts take the slower, reference library.
@@ -102,7 +102,7 @@ def tokenize_pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, vocabula
                     yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
 
 
 def plan_best_fit(histogram: Mapping[int, int], most: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

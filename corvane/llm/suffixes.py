@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .superkmers import BYTE_HASH, Block, Packer, PrefixHash, Runs, Tally, joined_spans, later_ones, minimisers, not_alone, ragged, remove_repeats, same_strings
 
 M = 16
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 def byte_block(texts: list[tuple[int, int, bytes]]) -> Block:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import frugal, materialize
 
 U8 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -45,7 +45,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = 1 << (n - 1).bit_length()
+            size = n + n // 8
             self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, U8), np.full(size - 1, b, U8)])) for b in (BASE, INVERSE))
         return self.up[:n], self.down[:n]
 
@@ -430,7 +430,7 @@ def hot_minimisers(docs: DataFrame, feed: Feed, k: int, lengths: list[int], tota
     share = min(1.0, max(SAMPLE / max(total, 1), 1 / 2000))
     some = docs.sample(False, share, 11) if share < 1 else docs
     while len(hot) < len(lengths) - 1:
-        sizes = some.mapInArrow(fed(feed, lambda h=tuple(hot): Tally(k, lengths, list(h))), "value bigint, bytes bigint").groupBy("value").agg(F.sum("bytes").alias("bytes"))
+        sizes = some.mapInArrow(frugal(fed(feed, lambda h=tuple(hot): Tally(k, lengths, list(h)))), "value bigint, bytes bigint").groupBy("value").agg(F.sum("bytes").alias("bytes"))
         found = sizes.filter(F.col("bytes") >= max(most * share, 8 * 200)).select("value").toArrow().column(0).to_numpy()
         hot.append(np.sort(found.astype(np.int64).view(U8)))
         if not len(found):
@@ -469,8 +469,8 @@ def find_repeats(docs: DataFrame, k: int, m: int, feed: Feed, matcher: Matcher,
         if current is not None:
             yield from done(held, settled)
 
-    packed = docs.mapInArrow(fed(feed, lambda: Packer(k, lengths, hot, buckets)), "bucket bigint, settled boolean, blob binary")
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "doc bigint, start bigint, end bigint")
+    packed = docs.mapInArrow(frugal(fed(feed, lambda: Packer(k, lengths, hot, buckets))), "bucket bigint, settled boolean, blob binary")
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(settle), "doc bigint, start bigint, end bigint")
 
 
 def unused(columns: list[str], name: str) -> str:
@@ -530,4 +530,4 @@ def remove_repeats(docs: DataFrame, k: int, m: int, feed: Feed, matcher: Matcher
 
     span_doc, span_list = unused(docs.columns, "_span_doc"), unused(docs.columns, "_spans")
     by = spans.groupBy(F.col("doc").alias(span_doc)).agg(F.collect_list(F.struct("start", "end")).alias(span_list))
-    return docs.mapInArrow(shrink, small).join(by, F.col(own_id) == F.col(span_doc), "left").drop(span_doc, own_id).mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(shrink), small).join(by, F.col(own_id) == F.col(span_doc), "left").drop(span_doc, own_id).mapInArrow(frugal(run), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, work_path
+from .common import frugal, materialize, work_path
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
@@ -174,7 +174,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 64
         if out is not None:
             yield close()
 
-    return materialize(d.mapInArrow(run, "file string, records bigint, bytes bigint"), "warc-manifest")
+    return materialize(d.mapInArrow(frugal(run), "file string, records bigint, bytes bigint"), "warc-manifest")
 
 
 def _sorted_run(rows: list[tuple]) -> pa.RecordBatch:
@@ -209,7 +209,7 @@ def read_runs(manifest: DataFrame, path: str, most: int = 100_000) -> DataFrame:
                             rows = []
         yield _sorted_run(rows)
 
-    return manifest.select("file").mapInArrow(run, CAPTURE + ", run string, pos bigint")
+    return manifest.select("file").mapInArrow(frugal(run), CAPTURE + ", run string, pos bigint")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -225,7 +225,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     row = _sorted_run([capture(fields, file, at)])
                     yield pa.RecordBatch.from_arrays([*row.columns[:-2], pa.array([fields["payload"]], pa.binary())], names=[*row.schema.names[:-2], "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, CAPTURE + ", payload binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(frugal(run), CAPTURE + ", payload binary")
 
 
 def merge_runs(runs: DataFrame, parts: int) -> DataFrame:
@@ -250,7 +250,7 @@ def merge_runs(runs: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array(c, table.schema.field(n).type) for c, n in zip(cols, names, strict=True)], names=names).select(names[:-2])
 
     ranged = runs.repartitionByRange(parts, "urlkey", "captured_at", "page_id").sortWithinPartitions("run", "pos")
-    return ranged.mapInArrow(run, CAPTURE)
+    return ranged.mapInArrow(frugal(run), CAPTURE)
 
 
 def archive_pages(pages: DataFrame, least: int = 0, rows_per_part: int = 100_000) -> DataFrame:
