@@ -13,10 +13,9 @@ from .common import frugal, materialize, release_memory, work_path
 from .superkmers import PrefixHash, mixed, ragged
 
 U8 = np.uint64
-RANGE_DOCS, BLOCK_DOCS = 512, 8
+BLOCK_DOCS = 8
 FEED = 2 << 20
 STEP = 8  # frequent terms that are added before documents are dropped again
-STRIDE = 64  # pivots that are scored before the threshold is looked at again
 #: Scores are compared after rounding to six places; pruning leaves this much room for it.
 SLACK = 2e-6
 INDEX = "terms binary, starts binary, ords binary, tfs binary, ids binary, lengths binary"
@@ -93,11 +92,7 @@ def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
 
 
 class Shard:
-    """An inverted index: lists of postings in document order, cut into blocks, with the weights of BM25 but for the idf.
-
-    A block has a term's postings among ``RANGE_DOCS`` consecutive documents and keeps their largest weight; all lists' blocks end at the same
-    documents. Lists of frequent terms are also kept as rows over all documents, with the largest weight of every ``BLOCK_DOCS``.
-    """
+    """An inverted index with the weights of its postings: those of BM25 but for the idf."""
 
     def __init__(self, row: dict, mean: float, k1: float, b: float):
         get = lambda name, kind: np.frombuffer(row[name], kind)
@@ -107,106 +102,57 @@ class Shard:
         below += tfs
         self.weights = np.divide(tfs, below, out=below)
         self.weights *= k1 + 1
-        self.ranges = -(-len(self.ids) // RANGE_DOCS)
-        home = (self.ords // RANGE_DOCS).astype(np.int32)
-        fresh = np.ones(len(home), bool)
-        fresh[1:] = home[1:] != home[:-1]
-        fresh[self.starts[:-1]] = True
-        self.cuts = np.append(np.flatnonzero(fresh), len(home))  # the first posting of every block
-        self.home = home[self.cuts[:-1]]
-        self.most = np.maximum.reduceat(self.weights, self.cuts[:-1]) if len(home) else np.zeros(0)
-        self.lists = np.searchsorted(self.cuts, self.starts)  # the first block of every list
-        self.list_most = np.maximum.reduceat(self.most, self.lists[:-1]) if len(home) else np.zeros(0)
-        frequent = np.flatnonzero(np.diff(self.starts) > max(64, len(self.ids) // 8))
+        self.docs = len(self.ids)
+        self.size = np.diff(self.starts)
+        self.frequent = np.flatnonzero(self.size > max(64, self.docs // 8))
         self.column = np.full(len(self.terms), -1)
-        self.column[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), self.ranges * RANGE_DOCS))
-        for i, t in enumerate(frequent):
+        self.column[self.frequent] = np.arange(len(self.frequent))
+        blocks = -(-self.docs // BLOCK_DOCS)
+        self.dense = np.zeros((len(self.frequent), blocks * BLOCK_DOCS))
+        for i, t in enumerate(self.frequent):
             lo, hi = self.starts[t], self.starts[t + 1]
             self.dense[i, self.ords[lo:hi]] = self.weights[lo:hi]
-        self.block_max = self.dense.reshape(len(frequent), self.ranges * (RANGE_DOCS // BLOCK_DOCS), BLOCK_DOCS).max(2)
-        self.blocks_read = self.blocks_skipped = 0
+        self.block_max = self.dense.reshape(len(self.frequent), blocks, BLOCK_DOCS).max(2)
+        self.most = self.block_max.max(1, initial=0)
+        self.blocks_read = self.blocks_skipped = 0  # of frequent terms
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of documents that may be among the ``k`` best: all that reach ``least`` and the k-th best score here.
 
-        Block-max WAND over ranges of documents: a pivot is a range whose block maxima, summed over all lists, reach the
-        threshold. Without a threshold yet, the range with the largest sum is scored first; then the cursors of all lists move on in document order, from pivot to pivot,
-        and never read the blocks between. Scores raise the threshold, which rules out pivots to come. A shard whose list maxima together
-        don't reach it isn't looked into.
+        Postings of infrequent terms are added up. Frequent terms only bound each block, by the sum of their block maxima. The documents
+        with the best bounds are scored and set the threshold; then the frequent terms, those that can add most first, are added
+        for documents whose sum and remaining bound reach it, and after each step fewer remain.
         """
         at = np.searchsorted(self.terms, terms)
         hit = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
         at, idf = at[hit], idf[hit]
-        size = self.lists[at + 1] - self.lists[at]
-        if not len(at) or idf @ self.list_most[at] < least - SLACK:
-            self.blocks_skipped += int(size.sum())
-            return np.zeros(0, np.int64), np.zeros(0)
-        entry, weight = ragged(self.lists[at], size), np.repeat(idf, size)
-        home = self.home[entry]
-        bound = np.bincount(home, self.most[entry] * weight, self.ranges)
-        held = np.bincount(home, minlength=self.ranges)
         often = self.column[at] >= 0
-        rare = np.repeat(~often, size)
-        entry, weight, home = entry[rare], weight[rare], home[rare]
+        rare, size = at[~often], self.size[at[~often]]
+        index = ragged(self.starts[rare], size)
+        sums = np.bincount(self.ords[index], self.weights[index] * np.repeat(idf[~often], size), self.docs) if len(index) else np.zeros(self.docs)
         columns, idf = self.column[at[often]], idf[often]
-        order = np.argsort(-idf * self.block_max[columns].max(1, initial=0), kind="stable")
+        order = np.argsort(-idf * self.most[columns], kind="stable")
         columns, idf = columns[order], idf[order]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        best, read = np.zeros(0), 0
-        pivots = np.flatnonzero((bound > 0) & (bound >= least - SLACK))[:STRIDE] if least else bound.argmax(keepdims=True)
-        while len(pivots):
-            docs, scores = self._score(pivots, entry, weight, home, columns, idf, k, least)
-            found.append((docs, scores))
-            read += int(held[pivots].sum())
-            bound[pivots] = 0
-            best = np.concatenate([best, scores])
-            if len(best) >= k:
-                best = np.partition(best, len(best) - k)[-k:]
-                least = max(least, float(best[0]))
-            pivots = np.flatnonzero((bound > 0) & (bound >= least - SLACK))[:STRIDE]
-        self.blocks_read, self.blocks_skipped = self.blocks_read + read, self.blocks_skipped + int(size.sum()) - read
-        docs, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = scores >= least - SLACK
-        return self.ids[docs[keep]], scores[keep]
-
-    def _score(self, pivots: np.ndarray, entry: np.ndarray, weight: np.ndarray, home: np.ndarray, columns: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the pivots' documents, ascending ranges, that may reach ``least`` and the k-th best score here.
-
-        The blocks of infrequent terms are added up. The maxima of frequent terms over a few documents then bound each
-        document; the documents with the best bounds are scored and set the threshold, and the frequent terms, those that can add most first,
-        are added for documents whose sum and remaining bound reach it.
-        """
-        slot = np.full(self.ranges, -1)
-        slot[pivots] = np.arange(len(pivots))
-        mine = slot[home]
-        own = np.flatnonzero(mine >= 0) if len(pivots) < self.ranges else slice(None)
-        e = entry[own]
-        many = self.cuts[e + 1] - self.cuts[e]
-        posting = ragged(self.cuts[e], many)
-        place = np.repeat((mine[own] - home[own]) * RANGE_DOCS, many) + self.ords[posting]
-        sums = np.bincount(place, self.weights[posting] * np.repeat(weight[own], many), len(pivots) * RANGE_DOCS)
-        per = RANGE_DOCS // BLOCK_DOCS
-        blocks = slice(None) if len(pivots) == self.ranges else ragged(pivots * per, np.full(len(pivots), per))
         cuts = range(0, len(columns), STEP)
-        rest = [np.zeros(len(pivots) * per)]
+        rest = [np.zeros(self.block_max.shape[1])]
         for i in reversed(cuts):
-            rest.append(rest[-1] + idf[i : i + STEP] @ self.block_max[columns[i : i + STEP]][:, blocks])
-        bound = sums + np.repeat(rest.pop(), BLOCK_DOCS)
-        docs = ragged(pivots * RANGE_DOCS, np.full(len(pivots), RANGE_DOCS))
-        if len(docs) > 4 * k:
+            rest.append(rest[-1] + idf[i : i + STEP] @ self.block_max[columns[i : i + STEP]])
+        bound = sums + np.repeat(rest.pop(), BLOCK_DOCS)[: self.docs]
+        if self.docs > 4 * k:
             best = np.argpartition(bound, -4 * k)[-4 * k :]
-            exact = sums[best] + idf @ self.dense[columns[:, None], docs[best]]
+            exact = sums[best] + idf @ self.dense[columns[:, None], best]
             least = max(least, float(np.partition(exact, -k)[-k]))
         some = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
-        scores, block, docs = sums[some], some // BLOCK_DOCS, docs[some]
+        scores, block = sums[some], some // BLOCK_DOCS
+        read = len(columns) * len(np.unique(block))
+        self.blocks_read, self.blocks_skipped = self.blocks_read + read, self.blocks_skipped + len(columns) * self.block_max.shape[1] - read
         for i in cuts:
             for c, w in zip(columns[i : i + STEP].tolist(), idf[i : i + STEP].tolist(), strict=True):
-                scores = scores + w * self.dense[c][docs]
+                scores = scores + w * self.dense[c][some]
             keep = scores + rest.pop()[block] >= least - SLACK
-            docs, scores, block = docs[keep], scores[keep], block[keep]
+            some, scores, block = some[keep], scores[keep], block[keep]
         keep = (scores >= least - SLACK) & (scores > 0)
-        return docs[keep], scores[keep]
+        return self.ids[some[keep]], scores[keep]
 
 
 def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
