@@ -12,7 +12,7 @@ bitmaps of the sets (an element of A in a bucket that B leaves empty isn't in B)
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,20 +148,46 @@ def may_link(n_a: int, n_b: int, map_a: bytes, map_b: bytes, percent: int) -> bo
     return (100 + percent) * common >= need
 
 
-def plausible(edges: DataFrame, profiles: DataFrame, radius: int, percent: int) -> DataFrame:
-    """Those of ``edges(a, b)`` within the signature radius that sizes and bitmaps don't rule out."""
-    left, right = (profiles.toDF(*[f"{c}_{x}" for c in ("doc", "n", "sig", "map")]) for x in "ab")
-    d = edges.join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b")).select("a", "b", "n_a", "n_b", "sig_a", "sig_b", "map_a", "map_b")
+def meet(edges: DataFrame, sides: DataFrame, columns: list[str], test: Callable[[tuple, tuple], bool]) -> DataFrame:
+    """Those of ``edges(a, b)`` for which ``test`` holds of the ``columns`` that ``sides(doc, ...)`` has of a and of b.
+
+    The edges of one ``a`` are dealt over tiles of about TILE; a tile gets a's row once, and then b's rows go past it. So a document
+    with very many edges is no hot key, and its row isn't sent with every edge.
+    """
+    tiles = F.coalesce("tiles", F.lit(1))
+    many = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("_a"), F.ceil(F.col("n") / TILE).alias("tiles"))
+    right = edges.join(many.filter("tiles > 1"), F.col("a") == F.col("_a"), "left").select("a", F.pmod(F.xxhash64("b"), tiles).alias("tile"), "b")
+    right = right.join(sides, F.col("b") == F.col("doc")).select("a", "tile", F.lit(1).alias("side"), "doc", *columns)
+    left = many.select(F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tiles") - 1)).alias("tile"))
+    left = left.join(sides, F.col("a") == F.col("doc")).select("a", "tile", F.lit(0).alias("side"), "doc", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leads = None, []
         for batch in batches:
-            keep = []
-            for i, (n_a, n_b, s, t, x, y) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(2, 8)), strict=True)):
-                if (np.frombuffer(s, "<u2") != np.frombuffer(t, "<u2")).sum() <= radius and may_link(n_a, n_b, x, y, percent):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            found: tuple[list, list] = ([], [])
+            fixed = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for (a, tile, side, doc), row in zip(fixed, zip(*batch.columns[4:], strict=True), strict=True):
+                if (a, tile) != group:
+                    group, leads = (a, tile), []
+                if not side:
+                    leads.append(row)
+                elif any(test(x, row) for x in leads):
+                    found[0].append(a)
+                    found[1].append(doc)
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    return left.union(right).repartition("a", "tile").sortWithinPartitions("a", "tile", "side").mapInArrow(frugal(run), "a bigint, b bigint")
+
+
+def plausible(edges: DataFrame, profiles: DataFrame, radius: int, percent: int) -> DataFrame:
+    """Those of ``edges(a, b)`` within the signature radius that sizes and bitmaps don't rule out."""
+
+    def test(a: tuple, b: tuple) -> bool:
+        (n, s, x), (m, t, y) = a, b
+        far = int((np.frombuffer(s.as_buffer(), "<u2") != np.frombuffer(t.as_buffer(), "<u2")).sum())
+        return far <= radius and may_link(n.as_py(), m.as_py(), x.as_buffer(), y.as_buffer(), percent)
 
-    return d.mapInArrow(frugal(run), "a bigint, b bigint")
+    return meet(edges, profiles, ["n", "signature", "bitmap"], test)
 
 
 def confirm(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -176,81 +202,81 @@ def confirm(edges: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.record_batch([pa.array([doc_ids[i] for i in full], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "items"])
 
     sets = materialize(chosen.mapInArrow(frugal(shingle), "doc bigint, items binary"), "sets")
-    left, right = (sets.toDF(f"doc_{x}", f"set_{x}") for x in "ab")
-    d = edges.join(left, F.col("a") == F.col("doc_a")).join(right, F.col("b") == F.col("doc_b")).select("a", "b", "set_a", "set_b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                a, b = np.frombuffer(x.as_buffer(), U8), np.frombuffer(y.as_buffer(), U8)
-                both = np.sort(np.concatenate([a, b]))
-                common = int((both[1:] == both[:-1]).sum())
-                if (100 + percent) * common >= percent * (len(a) + len(b)):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return d.mapInArrow(frugal(run), "a bigint, b bigint")
-
-
-def _tile_pairs(key: int, tile: tuple[int, int], rows: list[tuple], radius: int, percent: int) -> tuple[list[int], list[int]]:
-    """Plausible pairs of different components in one tile of a key's documents, each reported under the first key it shares."""
-    a = [r for r in rows if r[0] == tile[0]]
-    b = a if tile[0] == tile[1] else [r for r in rows if r[0] == tile[1]]
-    sig = [np.stack([np.frombuffer(r[4], "<u2") for r in x]) if x else np.zeros((0, 1), "<u2") for x in (a, b)]
-    comp = [np.array([r[2] for r in x]) for x in (a, b)]
-    n = [np.array([r[3] for r in x]) for x in (a, b)]
-    if not len(sig[0]) or not len(sig[1]):
-        return [], []
-    keys = [chunk_keys(s) for s in sig]
+    def test(x: tuple, y: tuple) -> bool:
+        a, b = np.frombuffer(x[0].as_buffer(), U8), np.frombuffer(y[0].as_buffer(), U8)
+        both = np.sort(np.concatenate([a, b]))
+        common = int((both[1:] == both[:-1]).sum())
+        return (100 + percent) * common >= percent * (len(a) + len(b))
+
+    return meet(edges, sets, ["items"], test)
+
+
+def _tile_pairs(key: int, rows: list[tuple], radius: int, percent: int) -> tuple[list[int], list[int]]:
+    """Plausible pairs of different components in one tile of a key's documents, each reported under the first key it shares.
+
+    ``rows`` are (role, doc, comp, minor, n, signature, bitmap): those of role 0, none of the key's main component, are tried against those of
+    role 1; a pair of two of the former is seen from its smaller document only.
+    """
+    a, b = ([r for r in rows if r[0] == role] for role in (0, 1))
     out: tuple[list[int], list[int]] = ([], [])
-    for i in range(len(a)):
-        js = np.arange(i + 1 if b is a else 0, len(b))
-        js = js[comp[1][js] != comp[0][i]]
-        js = js[(100 + percent) * np.minimum(n[1][js], n[0][i]) >= percent * (n[1][js] + n[0][i])]
+    if not a or not b:
+        return out
+    sig = [np.stack([np.frombuffer(r[5], "<u2") for r in x]) for x in (a, b)]
+    doc, comp, minor, n = (np.array([r[i] for r in b]) for i in (1, 2, 3, 4))
+    keys = [chunk_keys(s) for s in sig]
+    for i, (_, own, own_comp, _, own_n, _, own_map) in enumerate(a):
+        js = np.flatnonzero((comp != own_comp) & ~(minor & (doc < own)) & ((100 + percent) * np.minimum(n, own_n) >= percent * (n + own_n)))
         js = js[(sig[1][js] != sig[0][i]).sum(1) <= radius]
         if len(js):
             shared = keys[1][js] == keys[0][i]
             js = js[keys[0][i][shared.argmax(1)] == key]
         for j in js.tolist():
-            if may_link(a[i][3], b[j][3], a[i][5], b[j][5], percent):
-                out[0].append(min(a[i][1], b[j][1]))
-                out[1].append(max(a[i][1], b[j][1]))
+            if may_link(own_n, b[j][4], own_map, b[j][6], percent):
+                out[0].append(min(own, b[j][1]))
+                out[1].append(max(own, b[j][1]))
     return out
 
 
 def cross_pairs(shared: DataFrame, profiles: DataFrame, parts: DataFrame, radius: int, percent: int) -> DataFrame:
     """Plausible pairs (a, b) that share a key but not yet a component.
 
-    ``shared(key, doc)`` are the index entries of keys with several documents, ``parts(node, component)`` what is connected so far. A
-    key's documents are dealt over tiles of about TILE, and each pair of tiles is one small group, so that a key with very many documents never meets in one task.
+    ``shared(key, doc)`` are the index entries of keys with several documents, ``parts(node, component)`` what is connected so far. Of a key,
+    only documents outside its largest component are tried, against all others: both are dealt over tiles of about TILE, and each pair of
+    tiles is one small group. So a key with very many documents never meets in one task, and m documents outside the main component
+    of n cost about 2 n m / TILE rows.
     """
     d = shared.join(parts, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed_keys = d.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo <> hi").select(F.col("key").alias("_key"), "rows")
-    d = d.join(mixed_keys, F.col("key") == F.col("_key")).join(profiles.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"))
-    tiles = F.ceil(F.col("rows") / TILE).cast("int")
-    d = d.withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    d = d.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "doc", "comp", "n", "signature", "bitmap")
+    sizes = d.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    main = F.max(F.struct("rows", "comp"))
+    per_key = sizes.groupBy("key").agg(main.alias("main"), F.sum("rows").alias("rows"))
+    per_key = per_key.filter("main.rows < rows").select(F.col("key").alias("_key"), F.col("main.comp").alias("main"), F.ceil((F.col("rows") - F.col("main.rows")) / TILE).alias("few"), F.ceil(F.col("rows") / TILE).alias("all"))
+    d = d.join(per_key, F.col("key") == F.col("_key")).withColumn("minor", F.col("comp") != F.col("main")).withColumn("h", F.xxhash64("doc"))
+    d = d.join(profiles.withColumnRenamed("doc", "_doc"), F.col("doc") == F.col("_doc"))
+    own = ["doc", "comp", "minor", "n", "signature", "bitmap"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    tried = d.filter("minor").select("key", F.pmod("h", "few").alias("i"), every("all").alias("j"), F.lit(0).alias("role"), *own)
+    against = d.select("key", every("few").alias("i"), F.pmod("h", "all").alias("j"), F.lit(1).alias("role"), *own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
 
         def done():
-            a, b = _tile_pairs(group[0], group[1:], rows, radius, percent) if len(rows) > 1 else ([], [])
+            a, b = _tile_pairs(group[0], rows, radius, percent)
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(9)]
+            cols = [batch.column(i).to_pylist() for i in range(10)]
             for at, this in enumerate(zip(*cols[:3], strict=True)):
                 if this != group:
-                    if len(rows) > 1:
+                    if group is not None:
                         yield done()
                     group, rows = this, []
                 rows.append(tuple(c[at] for c in cols[3:]))
         if group is not None:
             yield done()
 
-    return d.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(run), "a bigint, b bigint")
+    return tried.union(against).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(frugal(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
