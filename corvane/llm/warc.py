@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -68,28 +69,50 @@ def members(stream, chunk: int = 1 << 18) -> Iterator[tuple[int, bytes]]:
         data = data or stream.read(chunk)
 
 
+def parse_fields(head: bytes) -> dict[str, str]:
+    """Header fields after the first line, names in lower case. Values may be empty or go on in lines that begin with white space; lines without a colon are passed over."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").splitlines()[1:]:
+        if line[:1] in " \t" and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    return {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+
+
+def split_head(raw: bytes) -> tuple[bytes, bytes]:
+    """What stands before the first empty line, and after it; lines may end in CR LF or LF."""
+    ends = [(i, n) for n in (4, 2) if (i := raw.find(b"\r\n\r\n" if n == 4 else b"\n\n")) >= 0]
+    at, n = min(ends, default=(len(raw), 0))
+    return raw[:at], raw[at + n :]
+
+
 def parse_record(raw: bytes) -> dict:
-    """Header fields in lower case, ``http`` header fields, and ``payload``."""
-    head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    http, _, payload = rest[: int(fields["content-length"])].partition(b"\r\n\r\n")
-    fields["http"] = {k.lower(): v for k, v in (x.split(": ", 1) for x in http.decode().split("\r\n")[1:])}
-    fields["payload"] = payload
+    """Header fields in lower case, ``http`` header fields, and ``payload``: the HTTP body, or the whole block of records that aren't HTTP messages."""
+    head, rest = split_head(raw)
+    fields: dict = parse_fields(head)
+    block = rest[: int(fields.get("content-length") or len(rest))]
+    fields["http"], fields["payload"] = {}, block
+    if fields.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+        http, fields["payload"] = split_head(block)
+        fields["http"] = parse_fields(http)
     return fields
 
 
 def capture(fields: dict, file: str, position: int) -> tuple:
-    """The row of the capture index; a response's digest and length are those of the payload as read."""
-    kind, number = fields["warc-type"], lambda k: int(fields[k]) if k in fields else None
-    if kind == "response":
+    """The row of the capture index; digest and length are those of the payload as read, a revisit's those it names (null if it names none)."""
+    kind, number = fields.get("warc-type", ""), lambda x: int(x) if x and x.strip().lstrip("-").isdigit() else None
+    named = fields.get("warc-payload-digest", "")
+    if kind == "revisit":
+        size, digest = number(fields["http"].get("content-length")), named.rpartition(":")[2] or None
+    else:
         size, digest = len(fields["payload"]), base64.b32encode(hashlib.sha1(fields["payload"], usedforsecurity=False).digest()).decode()
-        if digest != fields["warc-payload-digest"].removeprefix("sha1:"):
+        # other tools may write other digests, in hexadecimal, or of a body before its transfer encoding was undone
+        if "page-id" in fields and named.startswith("sha1:") and digest != named.removeprefix("sha1:"):
             raise ValueError(f"{file}: payload of the record at byte {position} doesn't match its digest")
-    else:
-        size, digest = int(fields["http"]["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
     url = fields.get("warc-target-uri")
-    return (number("page-id"), url, url_key(url), fields["warc-date"], size, digest, kind, number("refers-to-page-id"), file, position)
+    url = url[1:-1] if url and url[0] == "<" and url[-1] == ">" else url
+    return (number(fields.get("page-id")), url, url_key(url), fields.get("warc-date"), size, digest, kind, number(fields.get("refers-to-page-id")), file, position)
 
 
 class LoserTree:
@@ -98,7 +121,7 @@ class LoserTree:
     Leaves are the sequences' heads; an inner node keeps the loser of its match, the overall winner stands above the root.
     """
 
-    def __init__(self, runs: Sequence[Sequence[tuple]], key):
+    def __init__(self, runs: Sequence[Sequence], key):
         self.runs, self.key, self.at = runs, key, [0] * len(runs)
         k = max(1, len(runs))
         self.heads = [self._head(i) for i in range(len(runs))] + [None] * (k - len(runs))
@@ -124,7 +147,7 @@ class LoserTree:
             node //= 2
         self.tree[0] = i if k else -1
 
-    def __iter__(self) -> Iterator[tuple]:
+    def __iter__(self) -> Iterator:
         while self.runs and self.heads[i := self.tree[0]] is not None:
             yield self.runs[i][self.at[i]]
             self.at[i] += 1
@@ -187,8 +210,12 @@ def _sorted_run(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch(arrays, names=[*names, "run", "pos"])
 
 
+def _key(urlkey: str | None, captured_at: str | None, page_id: int | None, file: str | None, position: int) -> tuple:
+    return (urlkey or "", captured_at or "", page_id is None, page_id or 0, file or "", position)
+
+
 def _order(row: tuple) -> tuple:
-    return (row[2], row[3], row[0] is None, row[0] or 0, row[8] or "", row[9])
+    return _key(row[2], row[3], row[0], row[8], row[9])
 
 
 def read_runs(manifest: DataFrame, path: str, most: int = 100_000) -> DataFrame:
@@ -213,7 +240,11 @@ def read_runs(manifest: DataFrame, path: str, most: int = 100_000) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of archives that lie anywhere Spark can read: captures plus ``payload`` (revisits: empty)."""
+    """The records of gzipped archives (one member a record) that lie anywhere Spark can read: captures plus ``payload`` (revisits: empty).
+
+    Records of all types and of other tools are returned, with ``record_type`` as in the archive: page_id is null where a record has none, and so are the
+    length and digest of a revisit that doesn't name them. Spark hands over a file as a whole, so one can have 2 GB at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import io
@@ -232,22 +263,21 @@ def merge_runs(runs: DataFrame, parts: int) -> DataFrame:
     """Merge sorted runs into one globally ordered index.
 
     Captures go by range of (urlkey, captured_at, page_id) to ``parts`` tasks, so that even one URL with very
-    many captures is split; a task puts its slices of the runs in order and merges them by a loser tree. Partition after
+    many captures is split; a task gets its slices of the runs in order, one after another, and a loser tree over their
+    heads gives the order in which it returns them, some thousands at a time. Partition after
     partition, the rows are the capture histories of all URLs. ``runs`` is read twice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        names = table.column_names
-        slices: dict[str, list[tuple]] = {}
-        for row in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            slices.setdefault(row[-2], []).append(row)
-        merged = list(LoserTree(list(slices.values()), _order))
-        for i in range(0, len(merged), 10_000):
-            cols = list(zip(*merged[i : i + 10_000], strict=True))
-            yield pa.record_batch([pa.array(c, table.schema.field(n).type) for c, n in zip(cols, names, strict=True)], names=names).select(names[:-2])
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = [table.column(n).to_pylist() for n in ("urlkey", "captured_at", "page_id", "file", "position")]
+        heads = [0, *(i for i, (a, b) in enumerate(itertools.pairwise(table.column("run").to_pylist()), 1) if a != b), table.num_rows]
+        tree = iter(LoserTree([range(a, b) for a, b in itertools.pairwise(heads)], lambda i: _key(*(k[i] for k in keys))))
+        while some := list(itertools.islice(tree, 10_000)):
+            yield from table.take(pa.array(some)).select(table.column_names[:-2]).to_batches()
 
     ranged = runs.repartitionByRange(parts, "urlkey", "captured_at", "page_id").sortWithinPartitions("run", "pos")
     return ranged.mapInArrow(frugal(run), CAPTURE)
@@ -258,7 +288,7 @@ def archive_pages(pages: DataFrame, least: int = 0, rows_per_part: int = 100_000
 
     Returns one row per page: page_id, url, urlkey, captured_at, payload_bytes, payload_digest (base32 SHA-1), record_type,
     refers_to, file, position; bytes and digest are those of the full payload (null html: empty). Null URLs have an
-    empty host in their key; null ids are kept; empty tables give an empty index. Other columns are ignored.
+    empty host in their key; null ids are kept; rows that repeat an id are records of their own; empty tables give an empty index. Other columns are ignored.
     """
     path = work_path(pages.sparkSession, "warc")
     manifest = write_warc(pages, path, least)
