@@ -25,14 +25,20 @@ class Lists:
 
     centroids: np.ndarray
     neighbours: np.ndarray
-    longest: float  # of the squared norms
+    longest: float  # of the squared norms, of scaled vectors
+    scale: float = 1.0  # vectors are divided by this, which is a power of two, so that squares neither overflow nor vanish
     floor: float = 0.0  # the mean distance of queries to their nearest centroid; a query that is nearer counts as so far
 
     def augment(self, x: np.ndarray) -> np.ndarray:
         """With sqrt(longest - |x|^2) appended, the largest inner product is the smallest distance."""
+        x = x / self.scale
         rest = np.maximum(0, self.longest - (x * x).sum(1))
         return np.concatenate([x, np.sqrt(rest)[:, None]], 1)
 
+    def asked(self, q: np.ndarray) -> np.ndarray:
+        """Queries get a zero for the component that vectors get."""
+        return np.concatenate([q / self.scale, np.zeros((len(q), 1))], 1)
+
     def search(self, q: np.ndarray, ratio: float, sizes: np.ndarray, least: int) -> list[int]:
         """Lists in order of distance, as far as ``ratio`` times the nearest one's (or ``floor``), and on until they hold ``least`` entries.
 
@@ -76,11 +82,9 @@ def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1) - 2 * (x @ c.T)))
 
 
-def fit_lists(sample: np.ndarray, lists: int, degree: int = 24, rounds: int = 10, seed: int = 3) -> Lists:
-    """Balanced k-means on ``sample``: after each round, clusters above twice the mean size give half of themselves to the smallest ones."""
-    longest = float((sample * sample).sum(1).max())
-    fitted = Lists(sample, np.zeros((0, 0), int), longest)
-    x = fitted.augment(sample)
+def fit_lists(sample: np.ndarray, lists: int, longest: float, scale: float = 1.0, degree: int = 24, rounds: int = 10, seed: int = 3) -> Lists:
+    """Balanced k-means on ``sample``: after each round, clusters above twice the mean size give half of themselves to the smallest ones. ``longest`` is that of all vectors."""
+    x = Lists(sample, np.zeros((0, 0), int), longest, scale).augment(sample)
     rng = np.random.default_rng(seed)
     lists = max(1, min(lists, len(x)))
     c = x[np.sort(rng.choice(len(x), lists, replace=False))].copy()
@@ -117,7 +121,28 @@ def fit_lists(sample: np.ndarray, lists: int, degree: int = 24, rounds: int = 10
                 todo += links[i]
     width = max(map(len, links))
     graph = np.array([[*r, *([i] * (width - len(r)))] for i, r in enumerate(map(sorted, links))])
-    return Lists(c, graph, longest)
+    return Lists(c, graph, longest, scale)
+
+
+def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision; one that isn't a number (infinite terms of both signs) counts as the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = (q * x).sum(-1)
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All inner products of rows of ``q`` and ``x``, to within ``slack`` of the exact ones."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ x.T
+    return np.where(np.isnan(s), -np.inf, s)
+
+
+def slack(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Twice the most by which two ways to sum a row's products can differ, by the largest components; infinite where products overflow."""
+    most = np.abs(q).max(1) * (np.abs(x).max() if x.size else 0.0) if q.size else np.zeros(len(q))
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(most * q.shape[1] ** 2, nan=np.inf, posinf=np.inf) * 1e-15
 
 
 def exact_neighbours(base: DataFrame, asked: Sequence[tuple[int, Sequence[float]]], k: int) -> dict[int, list[int]]:
@@ -130,12 +155,13 @@ def exact_neighbours(base: DataFrame, asked: Sequence[tuple[int, Sequence[float]
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x, own = _rows(part, 1), part.column(0).to_numpy()
-                s = q @ x.T
+                s = products(q, x)
                 s[ids[:, None] == own] = -np.inf
                 least = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                least -= slack(q, x)
                 for i in range(len(ids)):
-                    near = np.flatnonzero((s[i] >= least[i] - 1e-9) & (s[i] > -np.inf))
-                    found = np.concatenate([best[i][0], own[near]]), np.concatenate([best[i][1], (q[i] * x[near]).sum(1)])
+                    near = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
+                    found = np.concatenate([best[i][0], own[near]]), np.concatenate([best[i][1], exact(q[i], x[near])])
                     top = np.lexsort((found[0], -found[1]))[:k]
                     best[i] = found[0][top], found[1][top]
         yield pa.record_batch([pa.array(np.repeat(ids, [len(b[0]) for b in best])), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], names=["query_id", "vec_id", "score"])
@@ -197,7 +223,10 @@ def nearest_neighbours(
     find ``recall`` of their neighbours by brute force over all vectors: a fixed ratio would find fewer the larger the table. Lists have no cap: they are dealt over groups of about ``group_rows`` entries, and long ones over several groups.
     Equal vectors are ordered by id and the first k + 1 can be results; the others, which can't, are left out before lists are made.
 
-    Vectors that are null, zero, or hold a null or non-finite component, or are not of the most common length, take no part. Rows
+    A group's entries are held by one task while all queries that read it pass by, so nothing is copied for them.
+
+    Vectors that are null, zero, or hold a null or non-finite component, or are not of the most common length, take no part. Very large components
+    are scaled down to find lists; scores are those of the original vectors, where a product that overflows is infinite and one that isn't a number counts as minus infinity. Rows
     with the same id and vector count once; rows with the query's id are never its results. Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. No rows if fewer than two vectors take part.
     """
     spark = table.sparkSession
@@ -212,9 +241,10 @@ def nearest_neighbours(
     share = min(1.0, sample_rows / rows)
     drawn = base.filter((F.col("_copy") == 1) & (F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30))).select("vec_id", "v").toPandas().sort_values("vec_id")
     sample = np.stack(drawn.v.to_numpy() if len(drawn) else [np.array(base.first()["v"])])
-    longest = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    index = fit_lists(sample, min(most_lists, -(-rows // list_rows) if rows > list_rows else 1 + rows // 32))
-    index.longest = max(index.longest, longest)
+    largest = base.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scale = float(np.ldexp(1.0, int(np.frexp(largest)[1])))
+    longest = base.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / scale) * (x / scale)))).first()[0]
+    index = fit_lists(sample, min(most_lists, -(-rows // list_rows) if rows > list_rows else 1 + rows // 32), longest, scale)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,14 +281,12 @@ def nearest_neighbours(
     trial = [(i, v) for i, v in trial if i in truth]
     if trial:
         x = np.array([v for _, v in trial])
-        ratio = least_ratio(index, np.concatenate([x, np.zeros((len(x), 1))], 1), [[held[v] for v in truth[i]] for i, _ in trial], recall, ratio, sizes, 4 * (k + 1))
-    turns = -(-n_queries // 16_384)  # queries of one group go in turns that fit a task
-
+        ratio = least_ratio(index, index.asked(x), [[held[v] for v in truth[i]] for i, _ in trial], recall, ratio, sizes, 4 * (k + 1))
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _rows(batch, 1) if batch.num_rows else np.zeros((0, 1))
             out: list[list] = [[], [], []]
-            for i, x in enumerate(np.concatenate([q, np.zeros((len(q), 1))], 1)):
+            for i, x in enumerate(index.asked(q)):
                 groups: dict[int, list[int]] = {}
                 for c in index.search(x, ratio, sizes, 4 * (k + 1)):
                     for b in range(int(blocks[c])):
@@ -269,33 +297,29 @@ def nearest_neighbours(
             yield pa.record_batch([pa.array(out[0], pa.int64()), batch.column(0).take(pa.array(out[2], pa.int64())), batch.column(1).take(pa.array(out[2], pa.int64())), pa.array(out[1], pa.list_(pa.int64()))], names=["group", "query_id", "q", "lists"])
 
     asked = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
-    asked = asked.mapInArrow(frugal(probe), "group bigint, query_id bigint, q array<double>, lists array<bigint>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)))
+    asked = asked.mapInArrow(frugal(probe), "group bigint, query_id bigint, q array<double>, lists array<bigint>")
+    asked = asked.select("group", F.lit(1).alias("side"), "query_id", "q", "lists")
     home_of = F.array(*[F.lit(int(x)) for x in home])
     blocks_of = F.array(*[F.lit(int(x)) for x in blocks])
     group = F.get(home_of, F.col("list").cast("int")) + F.pmod(F.xxhash64("vec_id"), F.get(blocks_of, F.col("list").cast("int")).cast("bigint"))
-    stored = posted.withColumn("group", group.cast("bigint")).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(turns - 1).cast("bigint"))))
+    stored = posted.select(group.cast("bigint").alias("group"), F.lit(0).alias("side"), "vec_id", "v", F.array("list"))
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(lists: np.ndarray, ids: np.ndarray, x: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        """The best of one group's entries, sorted by list, for each of some queries."""
         found: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            order = np.argsort(left["list"].to_numpy(), kind="stable")
-            lists, ids = left["list"].to_numpy()[order], left["vec_id"].to_numpy()[order]
-            x = np.stack(left["v"].combine_chunks().flatten().to_numpy().reshape(left.num_rows, -1)[order])
-            q = right["q"].combine_chunks().flatten().to_numpy().reshape(right.num_rows, -1)
-            asked_lists = right["lists"].combine_chunks()
-            who = np.repeat(np.arange(right.num_rows), np.diff(asked_lists.offsets.to_numpy()))
-            flat = asked_lists.flatten().to_numpy()
-            by = np.argsort(flat, kind="stable")
-            names, begin = np.unique(flat[by], return_index=True)
-            for name, w in zip(names.tolist(), np.split(who[by], begin[1:]), strict=True):
-                lo, hi = np.searchsorted(lists, [name, name + 1])
-                if lo == hi:
-                    continue
-                s = q[w] @ x[lo:hi].T
-                least = np.partition(s, -k - 1, 1)[:, -k - 1] if hi - lo > k + 1 else s.min(1)
-                row, col = np.nonzero(s >= least[:, None] - 1e-9)
-                found.append((w[row], ids[lo + col], (q[w[row]] * x[lo + col]).sum(1)))
-        qid = right["query_id"].to_numpy() if right.num_rows else np.zeros(0, np.int64)
+        q, qid = _rows(part, 3), part.column(2).to_numpy()
+        asked_lists = part.column(4)
+        who, flat = np.repeat(np.arange(len(q)), asked_lists.value_lengths().to_numpy()), asked_lists.flatten().to_numpy()
+        by = np.argsort(flat, kind="stable")
+        names, begin = np.unique(flat[by], return_index=True)
+        for name, w in zip(names.tolist(), np.split(who[by], begin[1:]), strict=True):
+            lo, hi = np.searchsorted(lists, [name, name + 1])
+            if lo == hi:
+                continue
+            s = products(q[w], x[lo:hi])
+            least = np.partition(s, -k - 1, 1)[:, -k - 1] if hi - lo > k + 1 else np.full(len(s), -np.inf)
+            row, col = np.nonzero(s >= (least - slack(q[w], x[lo:hi]))[:, None])
+            found.append((w[row], ids[lo + col], exact(q[w[row]], x[lo + col])))
         w, v, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
         keep = qid[w] != v
         w, v, s = w[keep], v[keep], s[keep]
@@ -308,9 +332,30 @@ def nearest_neighbours(
         lead[1:] = w[1:] != w[:-1]
         place = np.arange(len(w)) - np.maximum.accumulate(np.where(lead, np.arange(len(w)), 0))
         top = place < k
-        return pa.table({"query_id": qid[w[top]], "vec_id": v[top], "score": s[top]})
-
-    hits = stored.groupBy("group", "turn").cogroup(asked.groupBy("group", "turn")).applyInArrow(score, "query_id bigint, vec_id bigint, score double")
+        return pa.record_batch([pa.array(qid[w[top]]), pa.array(v[top]), pa.array(s[top])], names=["query_id", "vec_id", "score"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A group's entries come first and are held; its queries pass by, some at a time."""
+        held, entries, current = [], None, None
+        for whole in batches:
+            groups, sides = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (groups[1:] != groups[:-1]) | (sides[1:] != sides[:-1])])) if len(groups) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(groups)], strict=True):
+                if groups[lo] != current:
+                    current, held, entries = groups[lo], [], None
+                if not sides[lo]:
+                    held.append((whole.column(4).slice(lo, hi - lo).flatten().to_numpy(), whole.column(2).slice(lo, hi - lo).to_numpy(), _rows(whole.slice(lo, hi - lo), 3)))
+                    continue
+                if held:
+                    lists, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(lists, kind="stable")
+                    entries, held = (lists[order], ids[order], x[order]), []
+                if entries:
+                    for i in range(lo, hi, 2048):
+                        yield score(*entries, whole.slice(i, min(2048, hi - i)))
+
+    both = stored.union(asked).toDF("group", "side", "id", "v", "lists")
+    hits = both.repartition("group").sortWithinPartitions("group", "side").mapInArrow(frugal(meet), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = hits.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,16 +36,37 @@ def work_path(spark: SparkSession, what: str) -> str:
     return f"{work_dir(spark)}/corvane-{what}-{uuid.uuid4().hex}"
 
 
+#: Tables written since the innermost ``scratch`` began.
+_made: list[str] = []
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The copy outlives any executor, so what is read from it later never recomputes the input.
     """
     path = work_path(df.sparkSession, what)
+    _made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that ``materialize`` writes inside are removed at the end, but for those that DataFrames put into the list given read."""
+    outer, keep = _made[:], []
+    _made.clear()
+    yield keep
+    kept = {file for df in keep for file in df.inputFiles()}
+    for path in _made:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in file for file in kept):
+            outer.append(path)
+        else:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[:] = outer
+
+
 def release_memory() -> None:
     """Give memory that Python has freed back to the system (with glibc), as workers are used again by later stages."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

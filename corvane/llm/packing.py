@@ -10,10 +10,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, materialize, rank_in_groups
+from .common import frugal, materialize
 
 SPECIAL = "<|endoftext|>"
 #: Up to here both tokenizer libraries class characters alike; other texts take the slower, reference library.
@@ -72,7 +73,10 @@ def cuts(n: int, most: int) -> list[tuple[int, int]]:
 
 
 def tokenize_pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document (null text: only ``end_id``)."""
+    """doc_id, piece, start, length, ids (little-endian unsigned 32-bit) of every document (null text: only ``end_id``).
+
+    ``part`` is the number of the task that made the piece, ``nth`` counts the task's pieces of the same length from 0.
+    """
     import public_tokenizers
 
     if vocabulary is None:
@@ -80,12 +84,13 @@ def tokenize_pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(vocabulary, ranks)
-        out: list[list] = [[], [], [], [], []]
+        part, seen = TaskContext.get().partitionId(), [0] * (most + 1)
+        out: list[list] = [[], [], [], [], [], [], []]
         held = 0
 
         def flush():
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            batch = pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
+            batch = pa.record_batch([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "part", "nth"])
             for x in out:
                 x.clear()
             return batch
@@ -94,15 +99,16 @@ def tokenize_pieces(docs: DataFrame, most: int = 1024, end_id: int = 2, vocabula
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 for piece, (start, length) in enumerate(cuts(len(ids), most)):
-                    for x, v in zip(out, (doc_id, piece, start, length, ids[start : start + length].tobytes()), strict=True):
+                    for x, v in zip(out, (doc_id, piece, start, length, ids[start : start + length].tobytes(), part, seen[length]), strict=True):
                         x.append(v)
+                    seen[length] += 1
                 held += len(ids)
                 if held > 1 << 21:
                     held = 0
                     yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id bigint, piece int, start bigint, length bigint, ids binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(frugal(run), "doc_id bigint, piece int, start bigint, length bigint, ids binary, part int, nth bigint")
 
 
 def plan_best_fit(histogram: Mapping[int, int], most: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -149,28 +155,32 @@ def plan_best_fit(histogram: Mapping[int, int], most: int) -> tuple[list[tuple[i
     return plan, opened
 
 
-def pack_pieces(pieces: DataFrame, most: int = 1024) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (doc_id, piece, length <= most, ...), filling few sequences.
+def pack_pieces(pieces: DataFrame, most: int = 1024, broadcast_rows: int = 500_000) -> DataFrame:
+    """Add sequence_id and offset to ``pieces`` (length <= most, part, nth, ...), filling few sequences.
 
-    ``pieces`` is read three times; pass a written table. Only the histogram of lengths, at most
-    ``most`` rows, reaches the driver; each piece takes the slot that the plan has for its rank
-    among the pieces of its length. A length with very many pieces is ranked over hash buckets.
+    ``pieces`` is read twice; pass a written table. Only the histogram of lengths, at most ``most`` rows, reaches the
+    driver; each piece takes the slot that the plan has for its rank among the pieces of its length. Its rank is ``nth`` plus the number of
+    such pieces in parts before its own, so pieces needn't move: the table of these numbers, at most ``most`` rows for each part, is
+    broadcast if it has no more than ``broadcast_rows`` (some 12 MB) and joined by a shuffle if it has.
     """
     spark = pieces.sparkSession
-    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    counts = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("_count")), "piece-counts")
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_count")).collect()}
     plan, _ = plan_best_fit(histogram, most)
     by: dict[int, list] = {}
     for length, rank, count, first, offset in plan:
         by.setdefault(length, []).append((rank, first, offset))
-    rows = [(n, histogram[n], sorted(x)) for n, x in by.items()]
-    slots = spark.createDataFrame(rows, "length bigint, _n bigint, _slots array<struct<rank:bigint,first:bigint,offset:bigint>>")
+    slots = spark.createDataFrame([(n, sorted(x)) for n, x in by.items()], "length bigint, _slots array<struct<rank:bigint,first:bigint,offset:bigint>>")
     slots = F.broadcast(slots) if len(plan) <= 100_000 else slots  # some MB at most; beyond, Spark decides
-    ranked = rank_in_groups(pieces.join(F.broadcast(slots.select("length", "_n")), "length"), ["length"], ["doc_id", "piece"], "_n").drop("_n")
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("part", "length", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
+    bases = F.broadcast(bases) if counts.count() <= broadcast_rows else bases
+    ranked = pieces.join(bases, ["part", "length"]).withColumn("rank", F.col("_base") + F.col("nth"))
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(map(len, by.values()), default=1).bit_length()))])
     at = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.size("_slots")) & (F.get("_slots", p + s - 1)["rank"] <= F.col("rank")), p + s).otherwise(p))
-    d = ranked.join(slots.drop("_n"), "length").withColumn("_slot", F.get("_slots", at - 1))
+    d = ranked.join(slots, "length").withColumn("_slot", F.get("_slots", at - 1))
     d = d.withColumn("sequence_id", F.col("_slot.first") + F.col("rank") - F.col("_slot.rank")).withColumn("offset", F.col("_slot.offset"))
-    return d.select(*pieces.columns, "sequence_id", "offset")
+    return d.select(*[c for c in pieces.columns if c not in ("part", "nth")], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, most: int = 1024, keep_ids: bool = True) -> DataFrame:

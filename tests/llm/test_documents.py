@@ -342,6 +342,16 @@ def test_neighbours_edge_cases(spark):
     assert ann.nearest_neighbours(d.filter("vec_id = -1")).count() == 0
 
 
+@pytest.mark.parametrize("huge", [1e160, 1e300])
+def test_neighbours_of_huge_vectors(spark, huge):
+    """One finite but huge vector: squares and products overflow, and every query still gets all others."""
+    rows = [(0, [1.0, 0.5]), (20, [0.2, 1.0]), (3, [huge, 1.0]), (4, [-huge, 1.0])]
+    got = defaultdict(list)
+    for r in ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == {0: [(3, huge + 0.5), (20, 0.7), (4, 0.5 - huge)], 20: [(3, 0.2 * huge + 1.0), (0, 0.7), (4, 1.0 - 0.2 * huge)]}
+
+
 def test_neighbours_count_ids_among_equal_vectors(spark):
     rows = [(1, [1.0, 0.0])] * 30 + [(i, [1.0, 0.0]) for i in (2, 3)] + [(20, [0.5, 0.0])]
     got = ann.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).orderBy("rank").collect()
