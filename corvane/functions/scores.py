@@ -95,3 +95,9 @@ def quality(symptom_tokens: Column, wrong: Column, correct: Column, symptom: Col
 
 def evidence_phase(tries: Column, ratio: Column) -> Column:
     return F.when(tries < 5, "new").when((ratio >= 0.25) & (ratio < 0.30), "latent").when(ratio < 0.25, "drain").otherwise("active")
+
+
+def pair_score(answer: Column) -> Column:
+    """Of a cross-encoder's array of (label, score): the score of LABEL_1, else 1 less that of LABEL_0, else the first one."""
+    of = lambda name: F.get(F.filter(answer, lambda x: x["label"] == name), F.lit(0))["score"]
+    return F.coalesce(of("LABEL_1"), 1 - of("LABEL_0"), F.get(answer, F.lit(0))["score"])

@@ -166,10 +166,38 @@ def safe_url(url: Column) -> Column:
 
 
 def heading_class(line: Column) -> Column:
+    """The section that a heading names; the first class with a word that it contains."""
+    # Classes in order, with their words.
+    classes = (
+        ("bugs", ("bug", "common mistake", "avoid", "pitfall", "error")),
+        ("rules", ("rule", "session", "best practice", "guideline", "principle")),
+        ("patterns", ("pattern", "technique", "method")),
+        ("gotchas", ("gotcha", "warning", "caution", "note")),
+        ("architecture", ("architecture", "map", "structure", "overview")),
+    )
     low, found = F.lower(line), F.lit(None).cast("string")
-    for name, words in (("architecture", ("architect", "structure")), ("gotchas", ("gotcha", "pitfall")), ("patterns", ("pattern",)), ("rules", ("rule", "convention")), ("bugs", ("bug", "issue", "fix"))):
+    for name, words in reversed(classes):
         test = F.lit(False)
         for w in words:
             test = test | F.contains(low, F.lit(w))
         found = F.when(test, name).otherwise(found)
     return found
+
+
+def capture_slug(text: Column, most: int = 60) -> Column:
+    """Punctuation dropped, blanks to underscores."""
+    return F.substring(F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", "")), " +", "_"), 1, most)
+
+
+def mechanical_summary(title: Column, symptom: Column) -> Column:
+    """The title and the symptom's first sentence, or the title alone."""
+    return F.when(symptom != "", F.concat(title, F.lit(": "), F.substring(F.substring_index(symptom, ".", 1), 1, 100))).otherwise(F.substring(title, 1, 120))
+
+
+def accepted_citation(confidence: Column, changed: Column, url: Column) -> Column:
+    return (confidence >= 0.7) & changed & F.coalesce(url.rlike("^https://"), F.lit(False))
+
+
+def provenance_chain(steps: Column) -> Column:
+    """``jar (date)`` of each step, joined by arrows."""
+    return F.array_join(F.transform(steps, lambda x: F.concat(x["jar"], F.lit(" ("), x["date"], F.lit(")"))), " → ")

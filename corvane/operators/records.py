@@ -90,24 +90,52 @@ def _kept(rule: str) -> Callable[[Column], Column]:
     return lambda m: ~_exempt(rule, m)
 
 
+# A text without one of these can't match the rule; None: the rule is always tried. Those of rules that ignore case are looked for in the lower-cased text.
+_NEEDED = {
+    "absolute_unix_path": ("/Users/", "/home/"),
+    "windows_user_path": ("C:\\Users\\",),
+    "internal_hostname": (".internal", ".corp", ".local", ".lan"),
+    "private_ip": ("10.", "192.168.", "172."),
+    "email_address": ("@",),
+    "company_specific_domain_guess": None,
+    "aws_style_secret": ("AKIA", "ASIA"),
+    "generic_bearer_or_key": ("key", "secret", "token", "bearer"),
+}
+
+
+def _matches(text: Column, rule: str, pattern: str) -> Column:
+    """All matches that aren't exempt; a plain search for what the rule needs comes before the expression."""
+    found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), _kept(rule))
+    if not (needed := _NEEDED[rule]):
+        return found
+    plain, test = F.lower(text) if pattern.startswith("(?i)") else text, F.lit(False)
+    for w in needed:
+        test = test | F.contains(plain, F.lit(w))
+    return F.when(test, found).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def _rules(capture_form: bool) -> list[tuple[str, str, str]]:
+    return [r for r in PRIVACY_RULES if not (capture_form and r[0] == "company_specific_domain_guess")]
+
+
 def privacy_findings(records: DataFrame, fields: Sequence[str], key: str = "id", capture_form: bool = False, most: int = 3) -> DataFrame:
     """One row for each (record, field, rule) with matches: severity, number of matches, the first ``most`` of them.
 
     The capture form leaves the company-name guess out.
     """
-    rules = [r for r in PRIVACY_RULES if not (capture_form and r[0] == "company_specific_domain_guess")]
     checks = []
     for field in fields:
-        for rule, severity, pattern in rules:
-            found = F.filter(F.regexp_extract_all(F.coalesce(F.col(field), F.lit("")), F.lit(pattern), F.lit(0)), _kept(rule))
+        for rule, severity, pattern in _rules(capture_form):
+            found = _matches(F.coalesce(F.col(field), F.lit("")), rule, pattern)
             checks.append(F.struct(F.lit(field).alias("field"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.size(found).alias("n_matches"), F.slice(found, 1, most).alias("matches")))
     return records.select(key, F.explode(F.array(*checks)).alias("f")).select(key, "f.*").filter("n_matches > 0")
 
 
-def blocking(records: DataFrame, fields: Sequence[str], key: str = "id") -> DataFrame:
-    """(key, blocking, findings) for every record: blocking if a finding is of high severity."""
-    by = privacy_findings(records, fields, key).groupBy(key).agg(F.bool_or(F.col("severity") == "high").alias("blocking"), F.count(F.lit(1)).alias("findings"))
-    return records.select(key).join(by, key, "left").select(key, F.coalesce("blocking", F.lit(False)).alias("blocking"), F.coalesce("findings", F.lit(0)).alias("findings"))
+def blocking(records: DataFrame, fields: Sequence[str], key: str = "id", capture_form: bool = False) -> DataFrame:
+    """(key, blocking, findings) for every row: blocking if a finding is of high severity. Each row is judged by itself, without a shuffle."""
+    hits = [F.struct((F.lit(severity) == "high").alias("high"), (F.size(_matches(F.coalesce(F.col(f), F.lit("")), rule, pattern)) > 0).alias("found")) for f in fields for rule, severity, pattern in _rules(capture_form)]
+    d = records.select(key, F.filter(F.array(*hits), lambda x: x["found"]).alias("_f"))
+    return d.select(key, F.exists("_f", lambda x: x["high"]).alias("blocking"), F.size("_f").cast("bigint").alias("findings"))
 
 
 def manifest(records: DataFrame) -> DataFrame:
@@ -117,6 +145,7 @@ def manifest(records: DataFrame) -> DataFrame:
 
 def reputation(stats: DataFrame) -> DataFrame:
     """0 to 100 from seven stepped components, and a grade, on a one-row table of corpus statistics."""
+    # The steps.
     c = F.col
     steps = lambda col, *rest: F.when(c(col) >= rest[0], rest[1]).when(c(col) >= rest[2], rest[3])
     score = (

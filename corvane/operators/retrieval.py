@@ -115,7 +115,12 @@ def fuse(ranked: DataFrame, lists: int, key: str = "doc_id", query: str = "query
     return ranked.groupBy(query, key).agg(round_to(F.sum(1 / (k + F.col("rank"))) / best, 6).alias("rrf"), *ranks)
 
 
-def penalised(scores: DataFrame, counts: DataFrame, key: str, score: str = "score") -> DataFrame:
+def alike(queries: DataFrame, vectors: DataFrame, least: float, query: str, doc: str) -> DataFrame:
+    """(query, doc) of a stated set of queries and all vectors whose inner product is ``least`` or more."""
+    return vectors.join(queries, F.lit(True)).filter(dot(F.col("q"), F.col("v")) >= least).select(query, doc)
+
+
+def penalised(scores: DataFrame, counts: DataFrame, key: str | list[str], score: str = "score") -> DataFrame:
     """Each past contradiction halves a score."""
     d = scores.join(counts, key, "left")
     return d.withColumn(score, F.col(score) * F.pow(F.lit(0.5), F.coalesce("contradictions", F.lit(0))))

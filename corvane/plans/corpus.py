@@ -198,16 +198,20 @@ def embedding_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {RECORDS}, band AS (SELECT tag FROM (SELECT tag, count(*) AS df FROM (SELECT doc_id, unnest(tags) AS tag FROM rec) GROUP BY tag) WHERE df >= 3 AND df <= 0.4 * (SELECT count(*) FROM rec)),
     pos AS (SELECT doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS p FROM rec),
-    first AS (SELECT doc_id, arg_min(tag, p) AS tag FROM pos JOIN band USING (tag) GROUP BY doc_id)
-    SELECT coalesce(tag, stack) AS cluster, count(*) AS members, min(rec.doc_id) AS first_member FROM rec LEFT JOIN first USING (doc_id) GROUP BY 1 HAVING count(*) >= 3""")
+    first AS (SELECT doc_id, arg_min(tag, p) AS tag FROM pos JOIN band USING (tag) GROUP BY doc_id),
+    named AS (SELECT rec.doc_id, stack, coalesce(tag, stack) AS c FROM rec LEFT JOIN first USING (doc_id)), sized AS (SELECT *, count(*) OVER (PARTITION BY c) AS n, first_value(stack) OVER (PARTITION BY c ORDER BY doc_id) AS home FROM named)
+    SELECT CASE WHEN n < 3 THEN home ELSE c END AS cluster, count(*) AS members, min(doc_id) AS first_member FROM sized GROUP BY 1""")
 def tag_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The fallback clustering: the first tag of middling frequency, else the stack."""
+    """The fallback clustering: the first tag of middling frequency, else the stack; clusters under three go to their first member's stack."""
     rec = records(spark, sf).select("doc_id", "stack", "tags")
     tags = rec.select("doc_id", F.posexplode("tags").alias("p", "tag"))
     n = rec.agg(F.count(F.lit(1)).alias("n"))
     band = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).filter("df >= 3 and df <= 0.4 * n").select("tag")
     first = tags.join(band, "tag").groupBy("doc_id").agg(F.min_by("tag", "p").alias("tag"))
-    return rec.join(first, "doc_id", "left").groupBy(F.coalesce("tag", "stack").alias("cluster")).agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first_member")).filter("members >= 3")
+    named = rec.join(first, "doc_id", "left").select("doc_id", "stack", F.coalesce("tag", "stack").alias("cluster"))
+    sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("doc_id", "stack")).alias("head"))
+    merged = sizes.select(F.when(F.col("members") < 3, F.col("head.stack")).otherwise(F.col("cluster")).alias("cluster"), "members", F.col("head.doc_id").alias("first_member"))
+    return merged.groupBy("cluster").agg(F.sum("members").alias("members"), F.min("first_member").alias("first_member"))
 
 
 @query(f"""WITH {RECORDS}, q AS (SELECT id, stack, {SEVERITY_RANK} AS sev, row_number() OVER (PARTITION BY stack ORDER BY {SEVERITY_RANK}, doc_id)::INT AS rank, count(*) OVER () AS total FROM rec),

@@ -265,17 +265,20 @@ def cluster_boost(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("query_id", "doc_id", T.round_to(F.least(F.lit(1.0), F.col("score") + 0.15 * F.coalesce("s", F.lit(0.0))), 6).alias("boosted"))
 
 
-@query(f"""WITH {VEC}, d AS ({knn_sql(10)}), past AS (SELECT doc_id AS sid, v FROM e), near AS (SELECT a.doc_id AS query_id, sid FROM e a, past WHERE a.doc_id % 50 = 0 AND list_inner_product(a.v, past.v) >= 0.2),
-    n AS (SELECT query_id, e.doc_id, count(*) AS n FROM near JOIN e ON e.doc_id BETWEEN sid + 1 AND sid + 3 GROUP BY ALL) SELECT d.query_id, d.doc_id, {r('score * pow(0.5, coalesce(n, 0))')} AS score FROM d LEFT JOIN n USING (query_id, doc_id)""")
+@query(f"""WITH {VEC}, d AS ({knn_sql(10)}), m AS (SELECT count(*) AS m FROM e), past AS (SELECT DISTINCT l_orderkey AS session, l_orderkey % m AS vec, l_partkey % m AS doc_id FROM lineitem, m WHERE l_returnflag = 'R'),
+    near AS (SELECT a.doc_id AS query_id, b.doc_id AS vec FROM e a, e b WHERE a.doc_id % 50 = 0 AND list_inner_product(a.v, b.v) >= 0.85), n AS (SELECT query_id, past.doc_id, count(*) AS n FROM near JOIN past USING (vec) GROUP BY ALL),
+    s AS (SELECT d.query_id, d.doc_id, coalesce(n, 0) AS contradictions, {r('score * pow(0.5, coalesce(n, 0))', 9)} AS score FROM d LEFT JOIN n USING (query_id, doc_id)) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s""")
 def negative_penalty(spark: SparkSession, sf: str) -> DataFrame:
-    """Past queries like this one contradicted some documents; each such time halves their score."""
+    """Sessions (orders) whose query was like this one contradicted some documents (returned lines); each halves their score, and they are ranked anew."""
     v = _vectors(spark, sf)
-    past = v.select(F.col("doc_id").alias("sid"), "v")
-    near = past.join(_asked(spark, sf), F.lit(True)).filter(V.dot(F.col("q"), F.col("v")) >= 0.2).select("query_id", "sid")
-    hit = near.select("query_id", F.explode(F.sequence(F.col("sid") + 1, F.col("sid") + 3)).alias("doc_id"))
-    n = hit.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("contradictions"))
-    d = dense_knn(spark, sf).join(n, ["query_id", "doc_id"], "left")
-    return d.select("query_id", "doc_id", T.round_to(F.col("score") * F.pow(F.lit(0.5), F.coalesce("contradictions", F.lit(0))), 6).alias("score"))
+    m = v.count()
+    lines = table(spark, sf, "lineitem").filter("l_returnflag = 'R'")
+    past = lines.select(F.col("l_orderkey").alias("session"), (F.col("l_orderkey") % m).alias("vec"), (F.col("l_partkey") % m).alias("doc_id")).distinct()
+    near = X.alike(_asked(spark, sf), v.select(F.col("doc_id").alias("vec"), "v"), 0.85, "query_id", "vec")
+    n = near.join(past, "vec").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("contradictions"))
+    d = X.penalised(dense_knn(spark, sf).drop("rank"), n, ["query_id", "doc_id"]).withColumn("score", T.round_to(F.col("score"), 9))
+    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    return d.select("query_id", "doc_id", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), "score", "rank")
 
 
 @query(f"""WITH {VEC}, q AS (SELECT doc_id // 4 AS query_id, doc_id AS i, v FROM e WHERE (doc_id // 4) % 50 = 0), t AS (SELECT doc_id // 4 AS grp, doc_id AS j, v FROM e),
