@@ -62,8 +62,9 @@ def similar_pairs(sets: DataFrame, key: str, least: float, block: str | None = N
     """(a, b, shared, similarity) of ids a < b with Jaccard similarity ``least`` (above 0) or more, of equal ``block`` and unequal ``differ``.
 
     Two such sets share one of their first n - ceil(least n) + 1 tokens when both are ordered by one rule, so only those
-    are joined; ordered by frequency they leave the frequent tokens out. Candidates are confirmed on whole sets.
+    are joined; ordered by frequency they leave the frequent tokens out. Candidates are confirmed on whole sets. Tokens are told apart by 64-bit hashes.
     """
+    sets = sets.withColumn("tokens", F.transform("tokens", lambda t: F.xxhash64(t)))
     n = F.size("tokens")
     kept = [c for c in (block, differ) if c]
     heads = sets.select(key, *kept, n.alias("n"), F.explode(F.slice("tokens", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("token"))
@@ -127,7 +128,7 @@ def penalised(scores: DataFrame, counts: DataFrame, key: str | list[str], score:
 
 
 def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_together: int = 2, least_pmi: float = 1.5, most: int = 5) -> DataFrame:
-    """(stack, term, synonym, pmi, rank): terms that occur together in a stack's documents more than by chance."""
+    """(stack, term, synonym, pmi, rank): terms that occur together in a stack's documents more than by chance. Pairs are counted by 64-bit hashes of their terms."""
     n = pairs.groupBy(stack).agg(F.count_distinct(doc).alias("n")).filter(F.col("n") >= least_docs)
     d = pairs.join(n, stack)
     df = d.groupBy(stack, "token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= least_together)
@@ -135,13 +136,16 @@ def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_
     if least_pmi > 0:  # together <= df, so a term this frequent reaches the threshold with none
         d = d.filter(F.col("df") * math.exp(least_pmi) <= F.col("n") * 1.000001)
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced: rows are few, their pairs many
-    t = d.select(stack, doc, F.col("token").alias("term")).repartition(parts, stack, doc)
+    named, df = df.select(stack, F.xxhash64("token").alias("_id"), "token"), df.select(stack, F.xxhash64("token").alias("token"), "df")
+    t = d.select(stack, doc, F.xxhash64("token").alias("term")).repartition(parts, stack, doc)
     once = t.join(t.withColumnRenamed("term", "synonym"), [stack, doc]).filter(F.col("term") < F.col("synonym")).groupBy(stack, "term", "synonym").agg(F.count(F.lit(1)).alias("together"))
     once = once.filter(F.col("together") >= least_together).join(df.withColumnRenamed("token", "term"), [stack, "term"])
     once = once.join(df.select(stack, F.col("token").alias("synonym"), F.col("df").alias("df2")), [stack, "synonym"]).join(n, stack)
     ways = F.array(F.struct("term", "synonym"), F.struct(F.col("synonym").alias("term"), F.col("term").alias("synonym")))
     both = once.withColumn("_way", F.explode(ways)).select(stack, "_way.*", "n", "df", "df2", "together")  # PMI has no direction
     scored = both.withColumn("pmi", round_to(pmi(F.col("together"), F.col("n"), F.col("df"), F.col("df2")), 6)).filter((F.col("together") >= least_together) & (F.col("pmi") >= least_pmi))
+    for c in ("term", "synonym"):
+        scored = scored.withColumnRenamed(c, "_id").join(named.withColumnRenamed("token", c), [stack, "_id"]).drop("_id")
     return top(scored, [stack, "term"], [F.desc("pmi"), "synonym"], most).select(stack, "term", "synonym", "pmi", "rank")
 
 

@@ -227,3 +227,38 @@ def test_synonyms_against_brute_force(spark):
             want |= {(s, a, b, k + 1) for k, (_, b) in enumerate(sorted(scored)[:5])}
     got = {(r.stack, r.term, r.synonym, r["rank"]) for r in retrieval.synonyms(pairs, "stack", "doc", least_pmi=0.3).collect()}
     assert got == want
+
+
+def test_heading_classes_follow_the_order_of_the_rules(spark):
+    from corvane.functions import text as T
+    from pyspark.sql import functions as F
+
+    rows = [("Bug history", "bugs"), ("Avoid this method", "bugs"), ("Session rules", "rules"), ("Pitfalls", "bugs"), ("Methods", "patterns"), ("A note", "gotchas"), ("Code map", "architecture"), ("Zebra", None)]
+    d = spark.createDataFrame(rows, "h string, want string").withColumn("got", T.heading_class(F.col("h")))
+    assert all(r.got == r.want for r in d.collect())
+
+
+def test_components_that_do_not_settle_raise(spark):
+    import pytest
+    from corvane.operators import graphs as G
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a int, b int")
+    with pytest.raises(RuntimeError):
+        G.components(e, lambda d: d.cache(), rounds=1)
+
+
+def test_publishing_refuses_blocking_findings(spark):
+    import pytest
+    from corvane.operators import reports as P
+
+    d = spark.createDataFrame([(1, "clean text"), (2, "write to someone@company-mail.io")], "id int, text string")
+    assert P.publishable(d.filter("id = 1"), ["text"], "id").count() == 1 and len(P.publishable(d, ["text"], "id", override=True).collect()) == 2
+    with pytest.raises(Exception, match="blocking privacy finding"):
+        P.publishable(d, ["text"], "id").collect()
+
+
+def test_repeated_ids_keep_one_row_each_when_judged(spark):
+    from corvane.operators import records as R
+
+    d = spark.createDataFrame([(1, "a@company-mail.io"), (1, "nothing"), (2, None)], "id int, text string")
+    assert sorted((r.id, r.blocking, r.findings) for r in R.blocking(d, ["text"], "id").collect()) == [(1, False, 0), (1, True, 1), (2, False, 0)]
