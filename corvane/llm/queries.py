@@ -124,4 +124,29 @@ SQL = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM hits
         )
         SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 10""",
+    "op7_suffix_repeats": r"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), parts AS (
+            SELECT doc_id, base, substr(h, 2 * base + 1, 2 * 1099) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99, 1000)) AS base FROM d)
+        ), win AS (
+            SELECT doc_id, base + i AS s, md5_number(substr(h, 2 * i + 1, 200)) AS x FROM (SELECT doc_id, base, h, unnest(range(0, len(h) // 2 - 99)) AS i FROM parts)
+        ), firsts AS (
+            SELECT x, min(doc_id * 100000000 + s) AS earliest FROM win GROUP BY x
+        ), removed AS (
+            SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, true) AS fresh FROM win JOIN firsts USING (x) WHERE doc_id * 100000000 + s > earliest
+        ), numbered AS (
+            SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM removed
+        ), spans AS (
+            SELECT doc_id, min(s) AS lo, max(s) + 100 AS hi FROM numbered GROUP BY doc_id, span
+        ), gaps AS (
+            SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo, lo AS hi FROM spans
+            UNION ALL SELECT doc_id, coalesce(max(spans.hi), 0), max(len(h)) // 2 FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo, hi) AS t FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+        ), gone AS (
+            SELECT doc_id, count(*) AS n, sum(hi - lo) AS bytes FROM spans GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
 }
