@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, details, relations, search, sessions  # noqa: F401  they register their queries
+from . import briefs, corpus, details, relations, search, sessions  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 
