@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import round_to
 from ..functions.vectors import dot, normalised
 from .graphs import undirected
+from .retrieval import knn
 
 
 def seeds_by_distance(vectors: DataFrame, k: int, key: str, vector: str = "v", sample_rows: int = 16_384, seed: int = 7) -> list[list[float]]:
@@ -92,11 +93,10 @@ def merge_tiny(members: DataFrame, key: str, least: int = 4) -> DataFrame:
 def search_communities(queries: DataFrame, communities: DataFrame, query: str = "query_id", most: int = 5, context: int = 2, least: float = 0.35) -> DataFrame:
     """(query, rank, community, similarity, in_context): the communities nearest to each query; the first ``context`` of them serve as context, if similar enough.
 
-    ``queries`` has (query, q), ``communities`` (community, v). Communities are few beside records: they are joined in as the smaller side.
+    ``queries`` has (query, q), ``communities`` (community, v).
     """
-    d = queries.join(communities, F.lit(True)).withColumn("similarity", round_to(dot(F.col("q"), F.col("v")), 6))
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), "community"))).filter(F.col("rank") <= most)
-    return d.select(query, "rank", "community", "similarity", ((F.col("rank") <= context) & (F.col("similarity") >= least)).alias("in_context"))
+    d = knn(queries, communities, most, query, "community")
+    return d.select(query, "rank", "community", F.col("score").alias("similarity"), ((F.col("rank") <= context) & (F.col("score") >= least)).alias("in_context"))
 
 
 def described(members: DataFrame, group: str, order: str, title: str, most_tags: int = 6, most_titles: int = 5) -> DataFrame:

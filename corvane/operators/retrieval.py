@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scores import idf, pmi
 from ..functions.text import round_to, tokens
-from ..functions.vectors import dot
 
 
 def doc_tokens(docs: DataFrame, key: str, *texts: str, keep: tuple[str, ...] = (), tokenizer=tokens) -> DataFrame:
@@ -103,10 +107,53 @@ def share_known(candidates: DataFrame, known: DataFrame, key: str, item: str) ->
     return d.groupBy(key).agg(F.avg(F.coalesce("_known", F.lit(0.0))).alias("share"))
 
 
+def scored_in_blocks(queries: DataFrame, vectors: DataFrame, pick: Callable[[np.ndarray], np.ndarray], query: str, doc: str, query_rows: int = 2048, vector_rows: int = 32_768) -> DataFrame:
+    """(query, doc, score): of a stated set of ``queries(query, q)`` and all ``vectors(doc, v)``, the pairs whose inner product ``pick`` marks within a block.
+
+    Queries are dealt over blocks of about ``query_rows`` and vectors over blocks of about ``vector_rows``; a task multiplies one of each, so neither side is broadcast and no
+    pair becomes a row before ``pick`` has seen it. ``pick`` gets scores, rounded half up to six places, of queries by vectors in the order of their ids, and returns a mask.
+    Null vectors, and vectors whose length is not that of the longest query, take no part.
+    """
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("q"))).first()
+    over, across = max(1, math.ceil(n / query_rows)), max(1, math.ceil(vectors.count() / vector_rows))
+    fits = lambda c: F.col(c).isNotNull() & (F.size(c) == F.lit(width or 0))
+    home = lambda i, v, blocks: F.pmod(F.xxhash64(i, v), F.lit(blocks)).cast("int")
+    all_of = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = queries.filter(fits("q")).select(query, F.col("q").cast("array<double>").alias("q"), home(query, "q", over).alias("_a"), all_of(across).alias("_b"))
+    b = vectors.filter(fits("v")).select(doc, F.col("v").cast("array<double>").alias("v"), all_of(over).alias("_a"), home(doc, "v", across).alias("_b"))
+    kind = {query: queries.schema[query].dataType, doc: vectors.schema[doc].dataType}
+
+    def rows(t: pa.Table, column: str) -> np.ndarray:
+        c = t.column(column).combine_chunks()
+        return np.asarray(pc.list_flatten(c)).reshape(len(c), -1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [(doc, "ascending")]))
+        found: list[tuple] = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        if left.num_rows and right.num_rows:
+            q, v = rows(left, "q"), rows(right, "v")
+            for at in range(0, len(q), 256):
+                s = np.floor(q[at : at + 256] @ v.T * 1e6 + 0.5) / 1e6
+                r, c = np.nonzero(pick(s))
+                found.append((at + r, c, s[r, c]))
+        r, c, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({query: left.column(query).take(pa.array(r)), doc: right.column(doc).take(pa.array(c)), "score": s})
+
+    schema = StructType([StructField(query, kind[query]), StructField(doc, kind[doc]), StructField("score", DoubleType())])
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """Exact cosine neighbours of a stated set of queries, which is joined in as the smaller side."""
-    d = vectors.join(queries, F.lit(True)).withColumn("score", round_to(dot(F.col("q"), F.col("v")), 6))
-    return top(d, [query], [F.desc("score"), doc], k).select(query, "rank", doc, "score")
+    """Exact neighbours by inner product of a stated set of queries: the best of each block, then of all; ties to the smaller id."""
+
+    def best(s: np.ndarray) -> np.ndarray:
+        if s.shape[1] <= k:
+            return np.ones(s.shape, bool)
+        least = np.partition(s, -k, 1)[:, -k, None]
+        above, equal = s > least, s == least
+        return above | (equal & (np.cumsum(equal, 1) <= k - above.sum(1, keepdims=True)))  # ids ascend along a row
+
+    return top(scored_in_blocks(queries, vectors, best, query, doc), [query], [F.desc("score"), doc], k).select(query, "rank", doc, "score")
 
 
 def fuse(ranked: DataFrame, lists: int, key: str = "doc_id", query: str = "query_id", k: int = 60) -> DataFrame:
@@ -117,8 +164,8 @@ def fuse(ranked: DataFrame, lists: int, key: str = "doc_id", query: str = "query
 
 
 def alike(queries: DataFrame, vectors: DataFrame, least: float, query: str, doc: str) -> DataFrame:
-    """(query, doc) of a stated set of queries and all vectors whose inner product is ``least`` or more."""
-    return vectors.join(queries, F.lit(True)).filter(dot(F.col("q"), F.col("v")) >= least).select(query, doc)
+    """(query, doc) of a stated set of queries and all vectors whose inner product, rounded to six places, is ``least`` or more."""
+    return scored_in_blocks(queries, vectors, lambda s: s >= least, query, doc).select(query, doc)
 
 
 def penalised(scores: DataFrame, counts: DataFrame, key: str | list[str], score: str = "score") -> DataFrame:

@@ -213,10 +213,9 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CENT}, s AS (SELECT doc_id, c.label, {r('list_inner_product(v, c)')} AS s FROM e, c) SELECT doc_id, label, s AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS k FROM s) WHERE k = 1")
 def kmeans_assign_once(spark: SparkSession, sf: str) -> DataFrame:
-    c = V.mean_vectors(_vectors(spark, sf), "label", "v").select("label", "centroid")
-    d = _vectors(spark, sf).drop("label").join(F.broadcast(c)).withColumn("similarity", T.round_to(V.dot(F.col("v"), F.col("centroid")), 6))
-    best = d.groupBy("doc_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "label")).alias("b"))
-    return best.select("doc_id", F.col("b.label").alias("label"), (-F.col("b.s")).alias("similarity"))
+    c = V.mean_vectors(_vectors(spark, sf), "label", "v").select("label", F.col("centroid").alias("v"))
+    d = X.knn(_vectors(spark, sf).select("doc_id", F.col("v").alias("q")), c, 1, "doc_id", "label")
+    return d.select("doc_id", "label", F.col("score").alias("similarity"))
 
 
 CONTEXT = f"{CENT}, k AS (SELECT e.doc_id AS query_id, c.label, {r('list_inner_product(v, c)')} AS s FROM e, c WHERE e.doc_id % 50 = 0), ctx AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label)::INT AS rank FROM k) WHERE rank <= 3)"
@@ -281,14 +280,19 @@ def negative_penalty(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("query_id", "doc_id", F.coalesce("contradictions", F.lit(0)).alias("contradictions"), "score", "rank")
 
 
-@query(f"""WITH {VEC}, q AS (SELECT doc_id // 4 AS query_id, doc_id AS i, v FROM e WHERE (doc_id // 4) % 50 = 0), t AS (SELECT doc_id // 4 AS grp, doc_id AS j, v FROM e),
-    b AS (SELECT query_id, grp, i, max(list_inner_product(q.v, t.v)) AS m FROM q, t GROUP BY ALL) SELECT query_id, grp, {r('avg(m)')} AS score FROM b GROUP BY ALL""")
+@query(f"""WITH {VEC}, q AS (SELECT doc_id // 4 AS query_id, doc_id AS i, v FROM e WHERE (doc_id // 4) % 50 = 0), t AS (SELECT doc_id // 4 AS grp, doc_id AS j, v FROM e), f AS (SELECT doc_id // 4 AS grp, v FROM e WHERE doc_id % 4 = 0),
+    k AS (SELECT query_id, grp FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, grp) AS rank FROM (SELECT a.grp AS query_id, b.grp, {r("list_inner_product(a.v, b.v)")} AS s FROM f a, f b WHERE a.grp % 50 = 0)) WHERE rank <= 20),
+    b AS (SELECT query_id, grp, i, max(list_inner_product(q.v, t.v)) AS m FROM k JOIN q USING (query_id) JOIN t USING (grp) GROUP BY ALL), s AS (SELECT query_id, grp, {r('avg(m)')} AS score FROM b GROUP BY ALL)
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, grp)::INT AS rank FROM s""")
 def maxsim(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of four vectors stand for the token vectors of documents; every 50th is a query against all."""
+    """Groups of four vectors stand for the token vectors of documents. For every 50th, the 20 groups nearest by their first vectors are ranked anew by all of them."""
     g = _vectors(spark, sf).withColumn("g", F.floor(F.col("doc_id") / 4))
-    q = g.filter("g % 50 = 0").groupBy(F.col("g").alias("query_id")).agg(F.collect_list("v").alias("q"))
-    t = g.groupBy(F.col("g").alias("grp")).agg(F.collect_list("v").alias("d"))
-    return q.join(t, F.lit(True)).select("query_id", "grp", T.round_to(V.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
+    first = g.filter("doc_id % 4 = 0").select(F.col("g").alias("grp"), "v")
+    near = X.knn(first.filter("grp % 50 = 0").select(F.col("grp").alias("query_id"), F.col("v").alias("q")), first, 20, doc="grp").select("query_id", "grp")
+    sets = g.groupBy(F.col("g").alias("grp")).agg(F.collect_list("v").alias("d"))
+    d = near.join(sets, "grp").join(sets.select(F.col("grp").alias("query_id"), F.col("d").alias("q")), "query_id")
+    d = d.select("query_id", "grp", T.round_to(V.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "grp")))
 
 
 @query(f"""WITH tw AS (SELECT doc_id, token, ln(1 + count(*)) AS w FROM (SELECT doc_id, unnest({tok('text')}) AS token FROM documents) GROUP BY ALL), qw AS (SELECT item_id AS query_id, token, ln(1 + count(*)) AS w FROM (SELECT item_id, unnest({tok('text')}) AS token FROM benchmark) GROUP BY ALL),

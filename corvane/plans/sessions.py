@@ -45,7 +45,7 @@ def co_occurrence(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("a", "b", "together", T.round_to(0.5 * j + 0.5 * least, 6).alias("confidence"))
 
 
-BORRO = f"""{ITEMS}, d AS (SELECT DISTINCT session, item % 40 AS item FROM it), n AS (SELECT item, count(*) AS n FROM d GROUP BY item), p AS (SELECT a.item AS a, b.item AS b, count(*) AS k FROM d a JOIN d b ON a.session = b.session AND a.item < b.item GROUP BY ALL),
+BORRO = """d AS (SELECT DISTINCT l_orderkey AS session, l_suppkey AS item FROM lineitem), n AS (SELECT item, count(*) AS n FROM d GROUP BY item), p AS (SELECT a.item AS a, b.item AS b, count(*) AS k FROM d a JOIN d b ON a.session = b.session AND a.item < b.item GROUP BY ALL),
     t AS (SELECT a.item AS a, b.item AS b, c.item AS c, count(*) AS k FROM d a JOIN d b ON a.session = b.session AND a.item < b.item JOIN d c ON c.session = b.session AND b.item < c.item GROUP BY ALL HAVING k >= 3)"""
 
 
@@ -53,10 +53,10 @@ BORRO = f"""{ITEMS}, d AS (SELECT DISTINCT session, item % 40 AS item FROM it),
     FROM t JOIN n x ON x.item = t.a JOIN n y ON y.item = t.b JOIN n z ON z.item = t.c JOIN p ab ON ab.a = t.a AND ab.b = t.b JOIN p ac ON ac.a = t.a AND ac.b = t.c JOIN p bc ON bc.a = t.b AND bc.b = t.c)
     SELECT a, b, c, k AS together, {r("j3 / j2")} AS ratio, CASE WHEN {r("j3 / j2")} > 2 THEN 'strong' WHEN {r("j3 / j2")} > 1.2 THEN 'weak' ELSE 'none' END AS kind FROM s""")
 def borromean(spark: SparkSession, sf: str) -> DataFrame:
-    """Triples of items that occur together more than their pairs explain."""
-    d = _items(spark, sf).select("session", (F.col("item") % 40).alias("item"))
+    """Triples of items that occur together more than their pairs explain; the suppliers of an order's lines are its items."""
+    d = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("session"), F.col("l_suppkey").alias("item"))
     t = G.triple_occurrence(d, "session", "item", 3)
-    p = G.co_occurrence(d, "session", "item", 1)
+    p = G.co_occurrence(d, "session", "item", 3)  # the pairs of a triple are seen as often as it is
     pair = lambda x, y: p.select(F.col("a").alias(x), F.col("b").alias(y), F.col("together").alias(f"k_{x}{y}"), F.col("n_a").alias(f"n_{x}_{x}{y}"), F.col("n_b").alias(f"n_{y}_{x}{y}"))
     d = t.join(pair("a", "b"), ["a", "b"]).join(pair("a", "c"), ["a", "c"]).join(pair("b", "c"), ["b", "c"])
     na, nb, nc = F.col("n_a_ab"), F.col("n_b_ab"), F.col("n_c_ac")
@@ -118,11 +118,6 @@ def kl_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("g").agg(T.round_to(F.sum(F.col("p") * F.log(F.greatest(F.col("p"), F.lit(1e-10)) / F.greatest(F.col("q"), F.lit(1e-10)))), 6).alias("divergence"))
 
 
-@query(f"""SELECT g, {r("avg(value)")} AS mean, {r("stddev_pop(value)")} AS spread FROM (SELECT user_id % 10 AS g, value FROM events) GROUP BY g""")
-def divergence_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("g")).agg(T.round_to(F.avg("value"), 6).alias("mean"), T.round_to(F.stddev_pop("value"), 6).alias("spread"))
-
-
 SAV = "least(sim * 0.35 * f * 1800, greatest(0, 200000 - used) * 0.3)"
 THR = "140 * (1 + 2 * pow(used / 200000, 2))"
 SMOOTH = "least(ln(1 + sim * exp(1)) / ln(1 + exp(1)) * 0.35 * f * 1800 * sqrt(greatest(0.05, 0.5)), greatest(0, 200000 - used) * 0.3)"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,14 +42,22 @@ def unseen(events: DataFrame, time: str, key: str, late: str = "1 hour") -> Data
 def upkeep(stream: DataFrame, store: str, checkpoint: str, build: Callable[[DataFrame], DataFrame], key: str = "id"):
     """Start a query that builds rows for new content only and appends them to the table at ``store``.
 
-    Batches are idempotent: rows whose (key, hash) is in the store already are left out, so a batch that is run again adds nothing.
+    A batch has its own partition, ``batch``, of the store, which it replaces, so one that failed half-way and is run again leaves no row twice; rows whose
+    (key, hash) is in another batch are left out. Batches are named after the checkpoint too, so a new one doesn't replace the batches of an old one.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.parquet(store).select(key, "hash") if spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(store)) else None
+    run = f"c{zlib.crc32(checkpoint.encode()):08x}"
+
+    def add(batch: DataFrame, number: int) -> None:
+        name = f"{run}-{number}"
         fresh = batch.dropDuplicates([key, "hash"])
-        fresh = fresh if done is None else fresh.join(done, [key, "hash"], "left_anti")
-        build(fresh).write.mode("append").parquet(store)
+        try:
+            done = batch.sparkSession.read.parquet(store)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            fresh = fresh.join(done.filter(F.col("batch") != name).select(key, "hash"), [key, "hash"], "left_anti")
+        build(fresh).write.mode("overwrite").parquet(f"{store}/batch={name}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import briefs as B
 from corvane.operators import communities as C
+from corvane.operators import retrieval
 from corvane.sources import stores
 
 
@@ -117,3 +118,19 @@ def test_exports_need_path_and_body(spark, tmp_path):
     assert tuple(spark.read.parquet(str(tmp_path / "out")).first()) == ("a.md", "text")
     with pytest.raises(ValueError, match="body"):
         stores.export(d, lambda r: r.select(F.col("id").alias("path")), str(tmp_path / "out"))
+
+
+def test_blocks_of_vectors_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(120)] + [(3, [2.0, 2.0, 2.0, 2.0]), (500, None), (501, [1.0]), (None, [2.0, 2.0, 2.0, 1.0])]
+    v = spark.createDataFrame(rows, "doc_id int, v array<double>")
+    q = v.filter("doc_id % 20 = 0 and size(v) = 4").select(v.doc_id.alias("query_id"), v.v.alias("q"))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    scores = {i: [(dot(x, y), j) for j, y in rows if y and len(y) == 4] for i, x in rows if i is not None and i % 20 == 0 and x and len(x) == 4}
+    best = retrieval.knn(q, v.filter("doc_id is not null"), 7)
+    want = {(i, r + 1, j, s) for i, all_of in scores.items() for r, (s, j) in enumerate(sorted((x for x in all_of if x[1] is not None), key=lambda x: (-x[0], x[1]))[:7])}
+    assert {tuple(r) for r in best.collect()} == want
+    small = retrieval.scored_in_blocks(q, v, lambda s: s >= 6, "query_id", "doc_id", query_rows=2, vector_rows=10)
+    key = lambda r: (r[0], -1 if r[1] is None else r[1], r[2])
+    assert sorted(map(tuple, small.collect()), key=key) == sorted(((i, j, s) for i, all_of in scores.items() for s, j in all_of if s >= 6), key=key)
+    assert retrieval.knn(q.limit(0), v, 3).count() == retrieval.knn(q, v.limit(0), 3).count() == 0

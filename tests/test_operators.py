@@ -1,6 +1,7 @@
 """Micro-fixtures with known answers."""
 
 import datetime
+import itertools
 import json
 import math
 import random
@@ -174,7 +175,38 @@ def test_streaming(spark, sf, tmp_path):
     for i in range(2):
         s = spark.readStream.schema("id string, hash string").option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
         counters.upkeep(s, f"{tmp_path}/store", f"{tmp_path}/cp{i}", lambda d: d.withColumn("v", F.length("hash"))).awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/store").count() == 2
+        assert spark.read.parquet(f"{tmp_path}/store").count() == 2
+    spark.createDataFrame([("b", "h3"), ("a", "h1")], "id string, hash string").coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    counters.upkeep(s, f"{tmp_path}/store", f"{tmp_path}/cp1", lambda d: d.withColumn("v", F.length("hash"))).awaitTermination(120)
+    assert sorted((r.id, r.hash) for r in spark.read.parquet(f"{tmp_path}/store").collect()) == [("a", "h1"), ("b", "h2"), ("b", "h3")]
+
+
+def test_windows_and_sessions_in_append_mode(spark, tmp_path):
+    """Only what the watermark has closed comes out, and each window or session once."""
+    at = lambda h: f"2026-01-01T{h:02d}:00:00" if h < 24 else f"2026-01-0{1 + h // 24}T{h % 24:02d}:00:00"
+    for n, hours in enumerate([(1, 2, 12), (30,), (100,)]):
+        spark.createDataFrame([("k", at(h)) for h in hours], "key string, ts string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("key string, ts string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/in")
+
+    def run(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name)
+
+    days = run(counters.tumbling_counts(stream, "ts", "key"), "days")
+    assert sorted((r.start.day, r.n) for r in days.collect()) == [(1, 3), (2, 1)]
+    sessions = run(counters.gap_sessions(stream, "ts", "key"), "gaps")
+    assert sorted((r.start.day, r.start.hour, r.events) for r in sessions.collect()) == [(1, 1, 2), (1, 12, 1), (2, 6, 1)]
+
+
+def test_triples_against_brute_force(spark):
+    draw = random.Random(6)
+    sets = {i: set(draw.sample(range(9), draw.randrange(1, 6))) for i in range(60)}
+    d = spark.createDataFrame([(s, x) for s, items in sets.items() for x in items] * 2, "session int, item int")
+    want = {}
+    for items in sets.values():
+        for t in itertools.combinations(sorted(items), 3):
+            want[t] = want.get(t, 0) + 1
+    assert {(r.a, r.b, r.c): r.together for r in graphs.triple_occurrence(d, "session", "item", 3).collect()} == {t: n for t, n in want.items() if n >= 3}
 
 
 def _brute_pairs(rows, least):
