@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +10,8 @@ from ..functions import vectors as V
 from ..operators import briefs as B
 from ..operators import communities as C
 from ..operators import graphs as G
+from ..operators import hooks as H
+from ..sources import payloads, readers
 from . import search as Q
 from .base import RECORDS, SEVERITY_RANK, query, r, records, table, tok
 from .details import KEYS
@@ -184,3 +186,55 @@ def supplemented_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {RECORDS}, t AS (SELECT DISTINCT doc_id, domain AS stack, unnest(tags) AS tag FROM rec), n AS (SELECT domain AS stack, count(*) AS n FROM rec GROUP BY domain) SELECT stack, tag, {r('count(*) / any_value(n)')} AS share FROM t JOIN n USING (stack) GROUP BY stack, tag HAVING count(*) > 0.1 * any_value(n)""")
 def tag_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return B.tag_alerts(records(spark, sf).drop("stack").withColumnRenamed("domain", "stack"), "doc_id", share=0.1)
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_suppkey % 50 AS term, max(l_quantity::DOUBLE / 10 - 2.5) AS x FROM lineitem GROUP BY ALL) SELECT l_orderkey, term, floor(ln(1 + greatest(0, x)) * 1000 + 0.5) / 1000 AS weight FROM l WHERE ln(1 + greatest(0, x)) > 0.001""")
+def sparse_activations(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines stand for positions, their quantities for logits."""
+    d = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 50).alias("term"), (F.col("l_quantity").cast("double") / 10 - 2.5).alias("x"))
+    return H.activations(d, "l_orderkey", "term", "x")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, value, CASE WHEN value / 100.0 >= 0.30 THEN 1 WHEN value / 100.0 < 0.25 THEN 0 END AS m FROM events) SELECT event_id, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) = 1 AS active FROM e""")
+def held_phases(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", H.held_phase(F.col("value") / 100.0, "user_id", "event_id").alias("active"))
+
+
+@query("""WITH RECURSIVE x AS (SELECT s_nationkey AS a, (s_nationkey + s_suppkey) % 25 AS b, min(s_suppkey % 97) / 97.0::DOUBLE AS c FROM supplier WHERE s_suppkey % 25 > 0 GROUP BY ALL), t AS (SELECT 1 - i / 20.0::DOUBLE AS th, i FROM range(0, 21) r(i)), n AS (SELECT a AS v FROM x UNION SELECT b FROM x),
+    k AS (SELECT DISTINCT i, least(a, b) AS a, greatest(a, b) AS b FROM x, t WHERE c >= th - 1e-12), reach AS (SELECT i, v, v AS u FROM n, t UNION SELECT r.i, r.v, CASE WHEN k.a = r.u THEN k.b ELSE k.a END FROM reach r JOIN k ON k.i = r.i AND (k.a = r.u OR k.b = r.u)),
+    b AS (SELECT i, count(DISTINCT m) AS b0 FROM (SELECT i, v, min(u) AS m FROM reach GROUP BY ALL) GROUP BY i), e AS (SELECT i, count(*) AS e FROM k GROUP BY i)
+    SELECT floor(th * 100 + 0.5) / 100 AS threshold, coalesce(e, 0) AS edges, b0, coalesce(e, 0) - (SELECT count(*) FROM n) + b0 AS b1 FROM t JOIN b USING (i) LEFT JOIN e USING (i)""")
+def filtration_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations that suppliers join to others: a graph of 25 nodes at any scale."""
+    b = (F.col("s_nationkey") + F.col("s_suppkey")) % 25
+    e = table(spark, sf, "supplier").filter("s_suppkey % 25 > 0").groupBy(F.col("s_nationkey").cast("long").alias("a"), b.cast("long").alias("b")).agg((F.min(F.col("s_suppkey") % 97) / 97.0).alias("confidence"))
+    return H.filtration(e).withColumn("threshold", T.round_to(F.col("threshold"), 2))
+
+
+@query(f"""WITH {RECORDS}, t AS (SELECT stack, tag, min(doc_id * 10 + i) AS pos FROM (SELECT stack, doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM rec) GROUP BY ALL),
+    g AS (SELECT stack, array_to_string(list(tag ORDER BY pos)[1:5], ',') AS tags FROM t GROUP BY stack) SELECT stack, count(*) AS records, any_value(coalesce(g.tags, '')) AS tags FROM rec LEFT JOIN g USING (stack) GROUP BY stack""")
+def stack_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.stack_listing(records(spark, sf), "doc_id").select("stack", "records", F.array_join("tags", ",").alias("tags"))
+
+
+@query(f"""WITH {RECORDS} SELECT coalesce(CASE WHEN doc_id % 7 > 0 THEN domain END, 'unclassified') AS domain, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(CASE WHEN doc_id % 7 > 0 THEN domain END, 'unclassified'))::INT AS rank FROM rec GROUP BY 1 QUALIFY rank <= 10""")
+def top_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten largest domains; records without one are unclassified (every seventh here)."""
+    d = F.coalesce(F.when(F.col("doc_id") % 7 > 0, F.col("domain")), F.lit("unclassified"))
+    n = records(spark, sf).groupBy(d.alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    return n.orderBy(F.desc("n"), "domain").limit(10).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "domain")))
+
+
+@query(f"""WITH {RECORDS} SELECT coalesce(CASE WHEN quality IS NOT NULL THEN blast_radius END, 'unset') AS blast_radius, count(*) AS n, {r("avg((confidence IS NOT NULL AND deprecated)::INT)")} AS grafted_ratio FROM rec GROUP BY 1""")
+def blast_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    """Severities with those unset (records without a label here), and the share of grafted records (deprecated ones with a confidence)."""
+    d = records(spark, sf).withColumn("s", F.coalesce(F.when(F.col("quality").isNotNull(), F.col("blast_radius")), F.lit("unset")))
+    grafted = (F.col("confidence").isNotNull() & F.col("deprecated")).cast("int")
+    return d.groupBy(F.col("s").alias("blast_radius")).agg(F.count(F.lit(1)).alias("n"), T.round_to(F.avg(grafted), 6).alias("grafted_ratio"))
+
+
+@query("""SELECT doc_id, md5('{"q":' || to_json(coalesce(text, ''))::VARCHAR || ',"k":5}') AS body FROM documents""")
+def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of requests that ask for whole documents."""
+    body = payloads.request_body('{"q":"{{query}}","k":{{top_k}}}', F.col("text"), 5)
+    return table(spark, sf, "documents").select("doc_id", F.md5(body.cast("binary")).alias("body"))

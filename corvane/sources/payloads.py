@@ -27,3 +27,9 @@ def parse_results(answers: DataFrame, key: str, json: str = "json", list_path: s
     text = F.coalesce(*[dig(F.col("item"), p) for p in ([text_path] if text_path else TEXTS)])
     score = F.coalesce(*[dig(F.col("item"), p) for p in ([score_path] if score_path else SCORES)]).cast("double")
     return d.select(key, "ordinal", text.alias("text"), normalised_score(score).alias("score")).filter("text is not null")
+
+
+def request_body(template: str, query: Column, top_k: int) -> Column:
+    """The JSON body of a request: ``{{query}}`` becomes the escaped text of the query, ``{{top_k}}`` the number of results. A null query counts as empty."""
+    escaped = F.regexp_extract(F.to_json(F.struct(F.coalesce(query, F.lit("")).alias("q"))), r'(?s)^\{"q":"(.*)"\}$', 1)
+    return F.replace(F.replace(F.lit(template), F.lit("{{top_k}}"), F.lit(str(top_k))), F.lit("{{query}}"), escaped)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -78,3 +79,34 @@ def read_jars(spark: SparkSession, root: str, version: int) -> DataFrame:
     d = spark.read.schema(RECORD).option("multiLine", True).json(f"{root}/*/seeds/*.json").withColumn("_path", F.input_file_name())
     d = d.withColumns({"jar": F.regexp_extract("_path", r"([^/]+__[^/]+)/seeds/", 1), "stack": F.regexp_extract("_path", r"([^/]+)\.json$", 1)})
     return d.filter(F.col("id").isNotNull()).join(m, "jar").drop("_path", "_corrupt_record").withColumn("jar", F.replace("jar", F.lit("__"), F.lit("/")))
+
+
+def read_stack(spark: SparkSession, root: str, stack: str) -> DataFrame | None:
+    """The records of one stack; None if it has no file, or none that can be parsed."""
+    try:
+        d = spark.read.schema(RECORD).option("multiLine", True).json(f"{root}/seeds/{stack}.json")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    d = d.filter(F.col("id").isNotNull()).drop("_corrupt_record").withColumn("stack", F.lit(stack))
+    return None if d.isEmpty() else d
+
+
+def stack_listing(records: DataFrame, key: str = "id", most: int = 5) -> DataFrame:
+    """(stack, records, tags): how many records each stack has, and its first distinct tags by record and place."""
+    t = records.select("stack", key, F.posexplode("tags").alias("_p", "_tag")).groupBy("stack", "_tag").agg(F.min(F.struct(key, "_p")).alias("_at"))
+    t = t.withColumn("_k", F.row_number().over(Window.partitionBy("stack").orderBy("_at"))).filter(F.col("_k") <= most)
+    t = t.groupBy("stack").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_tag"))), lambda x: x["_tag"]).alias("tags"))
+    n = records.groupBy("stack").agg(F.count(F.lit(1)).alias("records"))
+    return n.join(t, "stack", "left").withColumn("tags", F.coalesce("tags", F.expr("cast(array() as array<string>)")))
+
+
+def jar_skips(spark: SparkSession, root: str, version: int) -> DataFrame:
+    """(jar, skip): why each federated library under ``root``/{owner}__{repo} is left out, or null if it is read: no JSON, a field that is missing or wrong, or another version."""
+    m = spark.read.option("wholetext", True).text(f"{root}/*/*manifest*.json").select(F.regexp_extract(F.input_file_name(), r"([^/]+__[^/]+)/[^/]+$", 1).alias("_jar"), F.col("value").alias("_v"))
+    field = lambda name: F.get_json_object("_v", f"$.{name}")
+    names = ("schema_version", "jar_name", "seed_count", "stacks", "last_updated")
+    missing = F.concat_ws("; ", *[F.when(field(n).isNull(), f"{n} is missing") for n in names], F.when(~F.coalesce(field("seed_count").try_cast("long") >= 0, F.lit(True)), "seed_count is negative"), F.when(~field("stacks").startswith("["), "stacks is no list"))
+    skip = F.when(F.try_parse_json("_v").isNull(), "no JSON").when(missing != "", F.concat(F.lit("malformed manifest: "), missing)).when(~F.coalesce(T.compatible_version(field("schema_version"), version), F.lit(False)), F.concat(F.lit("incompatible schema_version "), field("schema_version")))
+    return m.select(F.replace("_jar", F.lit("__"), F.lit("/")).alias("jar"), skip.alias("skip"))
