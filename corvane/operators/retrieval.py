@@ -183,16 +183,17 @@ def synonyms(pairs: DataFrame, stack: str, doc: str, least_docs: int = 8, least_
     if least_pmi > 0:  # together <= df, so a term this frequent reaches the threshold with none
         d = d.filter(F.col("df") * math.exp(least_pmi) <= F.col("n") * 1.000001)
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number isn't coalesced: rows are few, their pairs many
-    named, df = df.select(stack, F.xxhash64("token").alias("_id"), "token"), df.select(stack, F.xxhash64("token").alias("token"), "df")
-    t = d.select(stack, doc, F.xxhash64("token").alias("term")).repartition(parts, stack, doc)
-    once = t.join(t.withColumnRenamed("term", "synonym"), [stack, doc]).filter(F.col("term") < F.col("synonym")).groupBy(stack, "term", "synonym").agg(F.count(F.lit(1)).alias("together"))
-    once = once.filter(F.col("together") >= least_together).join(df.withColumnRenamed("token", "term"), [stack, "term"])
-    once = once.join(df.select(stack, F.col("token").alias("synonym"), F.col("df").alias("df2")), [stack, "synonym"]).join(n, stack)
+    code = F.xxhash64(stack, "token")  # tells stacks apart too, so that pairs are counted by two numbers
+    named = df.select(code.alias("_id"), stack, "token", "df")
+    own = d.select(stack, doc, code.alias("term")).repartition(parts, stack, doc).groupBy(stack, doc).agg(F.sort_array(F.collect_list("term")).alias("_all"))  # no longer than the document
+    t = own.select(F.posexplode("_all").alias("_i", "term"), "_all").select("term", F.explode(F.slice("_all", F.col("_i") + 2, F.size("_all"))).alias("synonym"))
+    once = t.groupBy("term", "synonym").agg(F.count(F.lit(1)).alias("together")).filter(F.col("together") >= least_together)
+    once = once.join(named.select(F.col("_id").alias("term"), stack, "df"), "term").join(named.select(F.col("_id").alias("synonym"), F.col("df").alias("df2")), "synonym").join(n, stack)
     ways = F.array(F.struct("term", "synonym"), F.struct(F.col("synonym").alias("term"), F.col("term").alias("synonym")))
     both = once.withColumn("_way", F.explode(ways)).select(stack, "_way.*", "n", "df", "df2", "together")  # PMI has no direction
     scored = both.withColumn("pmi", round_to(pmi(F.col("together"), F.col("n"), F.col("df"), F.col("df2")), 6)).filter((F.col("together") >= least_together) & (F.col("pmi") >= least_pmi))
     for c in ("term", "synonym"):
-        scored = scored.withColumnRenamed(c, "_id").join(named.withColumnRenamed("token", c), [stack, "_id"]).drop("_id")
+        scored = scored.withColumnRenamed(c, "_id").join(named.select("_id", F.col("token").alias(c)), "_id").drop("_id")
     return top(scored, [stack, "term"], [F.desc("pmi"), "synonym"], most).select(stack, "term", "synonym", "pmi", "rank")
 
 
