@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import round_to
 from ..functions.vectors import dot, normalised
 from .graphs import undirected
-from .retrieval import knn
+from .retrieval import knn, pairs_sharing
 
 
 def seeds_by_distance(vectors: DataFrame, k: int, key: str, vector: str = "v", sample_rows: int = 16_384, seed: int = 7) -> list[list[float]]:
@@ -63,13 +63,8 @@ def spherical_kmeans(vectors: DataFrame, key: str, seeds: Sequence[Sequence[floa
 
 
 def tag_graph(records: DataFrame, key: str, edges: DataFrame | None = None) -> DataFrame:
-    """(a, b) with a < b: records that share two tags or more, or are joined by an edge (src, dst).
-
-    Two records share two tags if they share a pair of tags, so pairs of tags are joined: they are far rarer than tags. ``tags`` are few for each record.
-    """
-    own = records.select(key, F.array_sort(F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))).alias("_t"))
-    pairs = own.select(key, F.explode(F.flatten(F.transform("_t", lambda x, i: F.transform(F.slice("_t", i + 2, F.size("_t")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("_p"))
-    both = pairs.select(F.col(key).alias("a"), "_p").join(pairs.select(F.col(key).alias("b"), "_p"), "_p").filter("a < b").select("a", "b").distinct()
+    """(a, b) with a < b: records that share two tags or more, or are joined by an edge (src, dst)."""
+    both = pairs_sharing(records, key, 2).select("a", "b")
     return both if edges is None else undirected(both.union(edges.select("src", "dst")))
 
 

@@ -56,6 +56,23 @@ def jaccard_pairs(pairs: DataFrame, key: str, block: str | None = None, least_sh
     return both.withColumn("similarity", similarity).filter((F.col("shared") >= least_shared) & (F.col("similarity") >= least)).select("a", "b", "shared", "similarity")
 
 
+def pairs_sharing(records: DataFrame, key: str, least: int, block: str | None = None, tags: str = "tags") -> DataFrame:
+    """(a, b, shared) of ids a < b that share at least ``least`` tags, within blocks if ``block`` is given.
+
+    Such ids share a combination of ``least`` tags, so combinations are joined: a tag of very many records meets itself only where others agree too.
+    For short lists of tags: n tags have n over ``least`` combinations.
+    """
+    kept = [block] if block else []
+    own = records.select(key, *kept, F.array_sort(F.array_distinct(F.filter(tags, lambda t: t.isNotNull()))).alias("_t"))
+    t = F.col("_t")
+    found = F.transform(t, lambda x, i: F.struct(F.array(x).alias("c"), i.alias("i")))
+    for _ in range(least - 1):
+        found = F.flatten(F.transform(found, lambda s: F.transform(F.slice(t, s["i"] + 2, F.size(t)), lambda y, j: F.struct(F.concat(s["c"], F.array(y)).alias("c"), (s["i"] + 1 + j).alias("i")))))
+    d = own.select(key, *kept, "_t", F.explode(F.transform(found, lambda s: s["c"])).alias("_c"))
+    both = d.withColumnsRenamed({key: "a", "_t": "_x"}).join(d.withColumnsRenamed({key: "b", "_t": "_y"}), ["_c", *kept]).filter("a < b")
+    return both.select("a", "b", F.size(F.array_intersect("_x", "_y")).cast("bigint").alias("shared")).distinct()
+
+
 def ordered_sets(pairs: DataFrame, key: str, *keep: str) -> DataFrame:
     """(key, [keep], tokens): the tokens of each id, those of the fewest ids first. ``pairs`` has (key, [keep], token), distinct."""
     ranked = pairs.join(document_frequency(pairs.select(key, "token")), "token")

@@ -84,8 +84,7 @@ def see_also_cross(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {RECORDS}, t AS (SELECT DISTINCT doc_id, stack, blast_radius, unnest(tags) AS tag FROM rec), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.stack = b.stack AND a.tag = b.tag AND a.doc_id < b.doc_id GROUP BY ALL)
     SELECT a, b, n AS shared_tags, {r("least(0.8, 0.4 + 0.1 * n)")} AS confidence FROM p WHERE n >= 3""")
 def shared_tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    t = records(spark, sf).select("doc_id", "stack", F.explode("tags").alias("token"))
-    p = X.jaccard_pairs(t, "doc_id", "stack", least_shared=3)
+    p = X.pairs_sharing(records(spark, sf), "doc_id", 3, "stack")
     return p.select("a", "b", F.col("shared").alias("shared_tags"), T.round_to(F.least(F.lit(0.8), 0.4 + 0.1 * F.col("shared")), 6).alias("confidence"))
 
 

@@ -51,6 +51,9 @@ def test_tag_graph_against_brute_force(spark):
     sets = {i: {t for t in tags or [] if t} for i, tags in rows}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 2}
     assert {tuple(r) for r in C.tag_graph(df, "id").collect()} == want
+    blocks = df.withColumn("half", F.col("id") % 2)
+    want3 = {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and a % 2 == b % 2 and len(sets[a] & sets[b]) >= 3}
+    assert want3 and {tuple(r) for r in retrieval.pairs_sharing(blocks, "id", 3, "half").collect()} == want3
     edges = spark.createDataFrame([(41, 40), (3, 3)], "src int, dst int")
     assert {tuple(r) for r in C.tag_graph(df, "id", edges).collect()} == want | {(40, 41)}
 
