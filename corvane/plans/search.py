@@ -95,10 +95,9 @@ def shared_tag_pairs(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a, b, {r("least(0.85, 0.5 + 0.08 * o + 0.05 * h)")} AS confidence FROM o JOIN h USING (a, b) WHERE o >= 2 AND h >= 2""")
 def escalation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     v = records(spark, sf).withColumn("sev", 3 - S.by_severity(F.col("blast_radius"), S.SEVERITY_RANK))
-    g = v.select("doc_id", "stack", "sev", F.explode("tags").alias("token"))
-    y = g.toDF("b", "stack", "sev_b", "token")
-    h = g.withColumnRenamed("doc_id", "a").join(y, ["stack", "token"]).filter("sev < sev_b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("h")).filter("h >= 2")
-    h = h.join(v.select(F.col("doc_id").alias("a"), T.distinct_tokens(F.col("wrong")).alias("w")), "a").join(v.select(F.col("doc_id").alias("b"), T.distinct_tokens(F.col("symptom")).alias("s")), "b")
+    p = X.pairs_sharing(v, "doc_id", 2, "stack")
+    h = p.select("a", "b", F.col("shared").alias("h")).union(p.select("b", "a", "shared"))
+    h = h.join(v.select(F.col("doc_id").alias("a"), "sev", T.distinct_tokens(F.col("wrong")).alias("w")), "a").join(v.select(F.col("doc_id").alias("b"), F.col("sev").alias("sev_b"), T.distinct_tokens(F.col("symptom")).alias("s")), "b").filter("sev < sev_b")
     return h.withColumn("o", F.size(F.array_intersect("w", "s"))).filter("o >= 2").select("a", "b", T.round_to(F.least(F.lit(0.85), 0.5 + 0.08 * F.col("o") + 0.05 * F.col("h")), 6).alias("confidence"))
 
 
