@@ -13,12 +13,42 @@ from .common import frugal, materialize, release_memory, work_path
 from .superkmers import PrefixHash, mixed, ragged
 
 U8 = np.uint64
-BLOCK_DOCS = 8
+BLOCK_DOCS = 256
 FEED = 2 << 20
-STEP = 8  # frequent terms that are added before documents are dropped again
+QUERIES = 256  # in a batch
+CELLS = 16 << 20  # of a shard's frequent terms and documents at most
+SUMS = 2 << 20  # of queries and documents at most that are held at once
 #: Scores are compared after rounding to six places; pruning leaves this much room for it.
 SLACK = 2e-6
 INDEX = "terms binary, starts binary, ords binary, tfs binary, ids binary, lengths binary"
+#: A batch of queries: their ids, starts of their terms, places of these among the batch's distinct terms (ascending), those with their idf, and a score
+#: that each query's k-th best reaches.
+BATCH = "ids binary, starts binary, places binary, terms binary, idf binary, least binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split(" ")[0] for x in schema.split(", ")]
+
+
+def _order(starts: np.ndarray, ords: np.ndarray, lengths: np.ndarray, groups: int = 8, rounds: int = 6) -> np.ndarray:
+    """Documents ordered by k-means over the commonest terms and by length, so that a block's maxima fit all of it."""
+    size = np.diff(starts)
+    common = np.argsort(-size, kind="stable")[: min(128, CELLS // max(1, len(lengths)))]
+    x = np.zeros((len(lengths), len(common)), np.float32)
+    for i, t in enumerate(common):
+        x[ords[starts[t] : starts[t + 1]], i] = np.log1p(len(lengths) / size[t])
+    norm = np.linalg.norm(x, axis=1)
+    x /= np.where(norm > 0, norm, 1)[:, None]
+    some = np.flatnonzero(norm)
+    if not len(some):
+        return np.argsort(lengths, kind="stable")
+    centres = x[some[np.linspace(0, len(some) - 1, groups).astype(int)]]
+    for _ in range(rounds):
+        group = (x @ centres.T).argmax(1)
+        for g in range(groups):
+            centre = x[group == g].sum(0)
+            centres[g] = centre / max(float(np.linalg.norm(centre)), 1e-9)
+    return np.lexsort((lengths, group))
 
 
 def _terms(texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -60,18 +90,18 @@ def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            # Documents with the same commonest term and of similar length are neighbours, so that a block's maxima fit all of it.
-            key = sorted(range(len(ids)), key=lambda i: (int(parts[i][0][parts[i][1].argmax()]) if lengths[i] else 0, lengths[i]))
-            ids[:], lengths[:], parts[:] = [ids[i] for i in key], [lengths[i] for i in key], [parts[i] for i in key]
             terms = np.concatenate([t for t, _ in parts])
             tfs = np.concatenate([c for _, c in parts]).astype(np.int32)
             ords = np.repeat(np.arange(len(parts), dtype=np.int32), [len(t) for t, _ in parts])
             order = np.argsort(terms, kind="stable")
-            terms = terms[order]
+            terms, ords = terms[order], ords[order]
             first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
             starts = np.append(first, len(terms)).astype(np.int64)
-            row = [terms[first], starts, ords[order], tfs[order], np.array(ids, np.int64), np.array(lengths, np.int64)]
-            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in row], names=[x.split(" ")[0] for x in INDEX.split(", ")])
+            key = _order(starts, ords, np.array(lengths, np.int64))
+            place = np.empty(len(key), np.int32)
+            place[key] = np.arange(len(key), dtype=np.int32)
+            row = [terms[first], starts, place[ords], tfs[order], np.array(ids, np.int64)[key], np.array(lengths, np.int64)[key]]
+            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in row], names=_names(INDEX))
 
         for some, texts in _documents(batches):
             ids += some
@@ -92,67 +122,141 @@ def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
 
 
 class Shard:
-    """An inverted index with the weights of its postings: those of BM25 but for the idf."""
+    """An inverted index with the weights of its postings: those of BM25 but for the idf.
+
+    Frequent terms (in more than max(64, documents / 32) documents, the commonest first as far as ``CELLS`` allows) also have
+    their maximum in each block of documents, and each block a matrix of the weights of those that it has.
+    """
 
     def __init__(self, row: dict, mean: float, k1: float, b: float):
         get = lambda name, kind: np.frombuffer(row[name], kind)
         self.terms, self.starts, self.ords, self.ids = get("terms", U8), get("starts", np.int64), get("ords", np.int32), get("ids", np.int64)
-        tfs, norm = get("tfs", np.int32), k1 * (1 - b + b * get("lengths", np.int64) / mean)
-        below = norm[self.ords]
+        tfs, self.norm, self.scale = get("tfs", np.int32), k1 * (1 - b + b * get("lengths", np.int64) / mean), k1 + 1
+        below = self.norm[self.ords]
         below += tfs
         self.weights = np.divide(tfs, below, out=below)
-        self.weights *= k1 + 1
+        self.weights *= self.scale
         self.docs = len(self.ids)
         self.size = np.diff(self.starts)
-        self.frequent = np.flatnonzero(self.size > max(64, self.docs // 8))
+        frequent = np.flatnonzero(self.size > max(64, self.docs // 32))
+        frequent = frequent[np.argsort(-self.size[frequent], kind="stable")[: CELLS // max(1, self.docs)]]
         self.column = np.full(len(self.terms), -1)
-        self.column[self.frequent] = np.arange(len(self.frequent))
+        self.column[frequent] = np.arange(len(frequent))
+        self.scaled = self.column >= 0  # infrequent terms' weights are multiplied by their idf when a query first has them
         blocks = -(-self.docs // BLOCK_DOCS)
-        self.dense = np.zeros((len(self.frequent), blocks * BLOCK_DOCS))
-        for i, t in enumerate(self.frequent):
-            lo, hi = self.starts[t], self.starts[t + 1]
-            self.dense[i, self.ords[lo:hi]] = self.weights[lo:hi]
-        self.block_max = self.dense.reshape(len(self.frequent), blocks, BLOCK_DOCS).max(2)
-        self.most = self.block_max.max(1, initial=0)
-        self.blocks_read = self.blocks_skipped = 0  # of frequent terms
+        self.block_max = np.zeros((len(frequent), blocks))
+        index = ragged(self.starts[frequent], self.size[frequent])
+        block = (self.ords[index] // BLOCK_DOCS).astype(np.min_scalar_type(blocks))
+        order = np.argsort(block, kind="stable")
+        index = index[order]
+        column = np.repeat(np.arange(len(frequent), dtype=np.int32), self.size[frequent])[order]
+        cut = np.append(0, np.cumsum(np.bincount(block, minlength=blocks)))
+        del block, order
+        kind = np.min_scalar_type(tfs.max(initial=0))
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # columns; counts and weights in single precision by document and column
+        for i in range(blocks):
+            own, at = column[cut[i] : cut[i + 1]], index[cut[i] : cut[i + 1]]
+            there = np.zeros(len(frequent), bool)
+            there[own] = True
+            columns = np.flatnonzero(there)
+            place = self.ords[at] - i * BLOCK_DOCS, (np.cumsum(there) - 1)[own]
+            counts, weights = np.zeros((BLOCK_DOCS, len(columns)), kind), np.zeros((BLOCK_DOCS, len(columns)))
+            counts[place], weights[place] = tfs[at], self.weights[at]
+            self.block_max[columns, i] = weights.max(0)
+            self.blocks.append((columns, counts, weights.astype(np.float32)))
+        self.blocks_read = self.blocks_skipped = 0  # by a query each
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of documents that may be among the ``k`` best: all that reach ``least`` and the k-th best score here.
+        """(ids, scores) of documents that may be among the ``k`` best of one query: all that reach ``least`` and the k-th best score here."""
+        _, ids, scores = self.search(np.array([0, len(terms)]), np.arange(len(terms)), terms, idf, k, np.array([least]))
+        return ids, scores
 
-        Postings of infrequent terms are added up. Frequent terms only bound each block, by the sum of their block maxima. The documents
-        with the best bounds are scored and set the threshold; then the frequent terms, those that can add most first, are added
-        for documents whose sum and remaining bound reach it, and after each step fewer remain.
+    def search(self, starts: np.ndarray, places: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of documents that may be among the ``k`` best of a batch's queries: all that reach the query's ``least`` and its k-th best score here.
+
+        Query i has the terms at ``places[starts[i]:starts[i + 1]]`` of ``terms``, which are distinct and ascending. A term's idf must be the same in all calls.
         """
         at = np.searchsorted(self.terms, terms)
-        hit = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(0, np.int64)
-        at, idf = at[hit], idf[hit]
-        often = self.column[at] >= 0
-        rare, size = at[~often], self.size[at[~often]]
-        index = ragged(self.starts[rare], size)
-        sums = np.bincount(self.ords[index], self.weights[index] * np.repeat(idf[~often], size), self.docs) if len(index) else np.zeros(self.docs)
-        columns, idf = self.column[at[often]], idf[often]
-        order = np.argsort(-idf * self.most[columns], kind="stable")
-        columns, idf = columns[order], idf[order]
-        cuts = range(0, len(columns), STEP)
-        rest = [np.zeros(self.block_max.shape[1])]
-        for i in reversed(cuts):
-            rest.append(rest[-1] + idf[i : i + STEP] @ self.block_max[columns[i : i + STEP]])
-        bound = sums + np.repeat(rest.pop(), BLOCK_DOCS)[: self.docs]
-        if self.docs > 4 * k:
-            best = np.argpartition(bound, -4 * k)[-4 * k :]
-            exact = sums[best] + idf @ self.dense[columns[:, None], best]
-            least = max(least, float(np.partition(exact, -k)[-k]))
-        some = np.flatnonzero((bound >= least - SLACK) & (bound > 0))
-        scores, block = sums[some], some // BLOCK_DOCS
-        read = len(columns) * len(np.unique(block))
-        self.blocks_read, self.blocks_skipped = self.blocks_read + read, self.blocks_skipped + len(columns) * self.block_max.shape[1] - read
-        for i in cuts:
-            for c, w in zip(columns[i : i + STEP].tolist(), idf[i : i + STEP].tolist(), strict=True):
-                scores = scores + w * self.dense[c][some]
-            keep = scores + rest.pop()[block] >= least - SLACK
-            some, scores, block = some[keep], scores[keep], block[keep]
-        keep = (scores >= least - SLACK) & (scores > 0)
-        return self.ids[some[keep]], scores[keep]
+        at[at == len(self.terms)] = 0
+        at[self.terms[at] != terms if len(self.terms) else slice(None)] = -1
+        new = np.flatnonzero(at >= 0)
+        new = new[~self.scaled[at[new]]]
+        self.scaled[at[new]] = True
+        self.weights[ragged(self.starts[at[new]], self.size[at[new]])] *= np.repeat(idf[new], self.size[at[new]])
+        step = max(1, SUMS // max(1, len(self.blocks) * BLOCK_DOCS, len(self.block_max)))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for i in range(0, len(starts) - 1, step) if self.docs else ():
+            some = starts[i : i + step + 1]
+            own = places[some[0] : some[-1]]
+            query, scores = np.repeat(np.arange(len(some) - 1), np.diff(some)), idf[own]
+            hit = at[own] >= 0
+            for rows, ids, exact in self._search(len(some) - 1, query[hit], at[own][hit], scores[hit], k, least[i : i + step].astype(float)):
+                found.append((rows + i, ids, exact))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _search(self, n: int, query: np.ndarray, term: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Postings of infrequent terms are added up. Frequent terms only bound each block, by the sum of their block maxima. Each query's block with the best
+        bound sets its threshold; then blocks whose bound reaches it are scored for the queries that need them, by a product of matrices in single precision,
+        and those documents again in double precision that reach the threshold within the error of that.
+        """
+        column = self.column[term]
+        often = column >= 0
+        asked = np.zeros((n, len(self.block_max)))
+        asked[query[often], column[often]] = idf[often]
+        single = asked.astype(np.float32)
+        rare = term[~often]
+        start, size = self.starts[rare], self.size[rare]
+        cut, ends = np.searchsorted(query[~often], np.arange(n + 1)), np.append(0, np.cumsum(size))
+        start = start - ends[:-1]
+        sums = np.empty((n, len(self.blocks) * BLOCK_DOCS))
+        for i in range(n):
+            own = slice(cut[i], cut[i + 1])
+            index = np.repeat(start[own], size[own])
+            index += np.arange(ends[cut[i]], ends[cut[i + 1]])
+            sums[i] = np.bincount(self.ords.take(index), self.weights.take(index), sums.shape[1])
+        bound = sums.reshape(n, -1, BLOCK_DOCS).max(2)
+        bound += asked @ self.block_max
+        sums_single = sums.astype(np.float32)
+        # A sum of m numbers that aren't negative is off by less than m times the precision.
+        near = 1 - (len(self.block_max) + 16) * 2.0**-23
+        best = np.zeros((n, k))
+
+        def score(rows: np.ndarray, b: int) -> np.ndarray:
+            columns, _, weights = self.blocks[b]
+            scores = single[rows].take(columns, 1) @ weights.T
+            scores += sums_single[rows, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
+            return scores
+
+        fresh = np.flatnonzero(least <= 0)
+        first = bound[fresh].argmax(1)
+        for b in np.unique(first) if k <= BLOCK_DOCS else ():
+            rows = fresh[first == b]
+            least[rows] = np.partition(score(rows, b), -k, 1)[:, -k] * near
+        hits = []
+        for b in range(len(self.blocks)):
+            rows = np.flatnonzero((bound[:, b] >= least - SLACK) & (bound[:, b] > 0))
+            self.blocks_read, self.blocks_skipped = self.blocks_read + len(rows), self.blocks_skipped + n - len(rows)
+            if not len(rows):
+                continue
+            scores = score(rows, b)
+            new = np.flatnonzero(scores.max(1) >= (least[rows] - SLACK) * near)
+            rows, scores = rows[new], scores[new]
+            row, doc = np.nonzero((scores >= ((least[rows] - SLACK) * near)[:, None]) & (scores > 0))
+            hits.append((b, rows[row], doc, scores[row, doc]))
+            best[rows] = np.partition(np.concatenate([best[rows], scores], 1), -k, 1)[:, -k:]
+            least[rows] = np.maximum(least[rows], best[rows].min(1) * near)
+        for b, rows, doc, scores in hits:
+            keep = scores >= (least[rows] - SLACK) * near
+            rows, doc = rows[keep], doc[keep]
+            columns, counts, _ = self.blocks[b]
+            for i in range(0, len(rows), 1000):
+                r, d = rows[i : i + 1000], doc[i : i + 1000]
+                at = b * BLOCK_DOCS + d
+                weights = counts[d].astype(float)
+                weights /= weights + self.norm[at, None]
+                exact = np.einsum("ij,ij->i", asked[r].take(columns, 1), weights) * self.scale + sums[r, at]
+                keep = (exact >= least[r] - SLACK) & (exact > 0)
+                yield r[keep], self.ids[at[keep]], exact[keep]
 
 
 def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
@@ -166,11 +270,27 @@ def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
             for i in range(rows.num_rows):
                 yield Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b)
                 release_memory()
+            del rows
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -np.floor(scores * 1e6 + 0.5)))[:k]
-    return ids[order], scores[order]
+    return _best_of_each(np.zeros(len(ids), np.int64), ids, scores, k)[1:]
+
+
+def _best_of_each(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best of each query, best first, by ascending query."""
+    order = np.lexsort((ids, -np.floor(scores * 1e6 + 0.5), query))
+    query = query[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[order[keep]], scores[order[keep]]
+
+
+def _least(best: tuple[np.ndarray, np.ndarray, np.ndarray], n: int, k: int) -> np.ndarray:
+    """The ``k``-th best score of each of ``n`` queries, 0 for those with fewer."""
+    full = np.flatnonzero(np.bincount(best[0], minlength=n) == k)
+    least = np.zeros(n)
+    least[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+    return least
 
 
 def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.2, b: float = 0.75, task_bytes: int = 64 << 20, block_queries: int = 100_000) -> DataFrame:
@@ -178,8 +298,8 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
 
     Terms are words (runs of bytes other than space and 0x09-0x0D) with A-Z lower-cased, told apart by 64-bit hashes; a query
     is the set of its document's terms. A term's idf is ln(1 + (N - df + 0.5) / (df + 0.5)); N, df and the mean length are
-    those of all documents. Each task reads the indexes of about ``task_bytes`` of text from the shared folder, one after another, for ``block_queries``
-    queries at a time, which it streams from there, and returns its best ``k``; the best of these are exactly the best of all.
+    those of all documents. Each task reads the indexes of about ``task_bytes`` of text from the shared folder, one after another, for about ``block_queries``
+    queries at a time, which it streams from there in batches, and returns its best ``k``; the best of these are exactly the best of all.
 
     Null ids take no part; null texts and texts without words match nothing; rows with the same id are documents of their own.
     Returns query_id, rank (from 1), doc_id, score (rounded to six places); ties go to the smaller doc_id. Fewer rows if fewer documents share a term.
@@ -217,8 +337,24 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
     asked = docs.filter(F.pmod("doc_id", F.lit(every)) == 0).mapInArrow(frugal(ask), "query_id bigint, term bigint").distinct()
     known = asked.join(counted.filter("term is not null"), "term").withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     path = work_path(spark, "asked")
-    known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf")).write.parquet(path)
+    grouped = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf"))
     mean = words / n
+    stored = index.inputFiles()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of ``QUERIES`` queries, which are searched in one index, so that no task begins without a threshold."""
+        shard = None
+        for whole in batches:
+            for i in range(0, whole.num_rows, QUERIES):
+                batch = whole.slice(i, QUERIES)
+                terms, first, places = np.unique(batch["terms"].flatten().to_numpy().astype(U8), return_index=True, return_inverse=True)
+                starts = np.append(0, np.cumsum(np.diff(batch["terms"].offsets.to_numpy()))).astype(np.int64)
+                asked = starts, places.astype(np.int32), terms, batch["idf"].flatten().to_numpy()[first]
+                shard = shard or next(s for f in stored for s in _shards(f, mean, k1, b))
+                least = _least(_best_of_each(*shard.search(*asked, k, np.zeros(batch.num_rows)), k), batch.num_rows, k)
+                yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (batch["query_id"].to_numpy(), *asked, least)], names=_names(BATCH))
+
+    grouped.mapInArrow(frugal(pack), BATCH).write.parquet(path)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.dataset
@@ -231,27 +367,27 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
         held = 0
         for fragment in pyarrow.dataset.dataset(folder, filesystem=fs, format="parquet").get_fragments() if files else ():
             blocks[-1].append(fragment)
-            if (held := held + fragment.count_rows()) >= block_queries:
+            if (held := held + fragment.count_rows() * QUERIES) >= block_queries:
                 blocks.append([])
                 held = 0
         for block in filter(None, blocks):
-            best: dict[int, tuple] = {}
-            for shard in (s for f in files for s in _shards(f, mean, k1, b)):
-                for batch in (x for fragment in block for x in fragment.to_batches(batch_size=512, use_threads=False)):
-                    for query_id, terms, idf in zip(batch["query_id"].to_pylist(), batch["terms"], batch["idf"], strict=True):
-                        t, w = terms.values.to_numpy().astype(U8), idf.values.to_numpy()
-                        order = np.argsort(t)
-                        ids, scores = best.get(query_id, (np.zeros(0, np.int64), np.zeros(0)))
-                        i, s = shard.top(t[order], w[order], k, float(scores[-1]) if len(scores) == k else 0.0)
-                        best[query_id] = _best(np.concatenate([ids, i]), np.concatenate([scores, s]), k)
-            found = list(best.items())
-            for i in range(0, len(found), 2000):
-                part = found[i : i + 2000]
-                cols = (np.repeat([q for q, _ in part], [len(x) for _, (x, _) in part]), np.concatenate([x for _, (x, _) in part]), np.concatenate([x for _, (_, x) in part]))
-                yield pa.record_batch([pa.array(c) for c in cols], names=["query_id", "doc_id", "score"])
+            best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each batch: queries by their place, ids, scores
+            names: list[np.ndarray] = []
+            for file in files:
+                for shard in _shards(file, mean, k1, b):
+                    for j, row in enumerate(r for fragment in block for x in fragment.to_batches(batch_size=4, use_threads=False) for r in x.to_pylist()):
+                        queries, *batch, least = (np.frombuffer(row[c], kind) for c, kind in zip(_names(BATCH), (np.int64, np.int64, np.int32, U8, np.float64, np.float64), strict=True))
+                        if j == len(best):
+                            best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                            names.append(queries)
+                        found = shard.search(*batch, k, np.maximum(least, _least(best[j], len(queries), k)))
+                        best[j] = _best_of_each(*(np.concatenate(x) for x in zip(best[j], found, strict=True)), k)
+                    del shard  # before the next is made
+            for own, (query, ids, scores) in zip(names, best, strict=True):
+                yield pa.record_batch([pa.array(own[query]), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string").repartition(max(1, -(-size // task_bytes)))
+    files = spark.createDataFrame([(f,) for f in stored], "file string").repartition(max(1, -(-size // task_bytes)))
     hits = files.mapInArrow(frugal(search), "query_id bigint, doc_id bigint, score double")
     hits = hits.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

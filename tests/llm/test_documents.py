@@ -426,5 +426,32 @@ def test_blocks_are_skipped_and_results_are_exact():
     assert shard.blocks_skipped > 0 and shard.blocks_read > 0
 
 
+def test_a_batch_of_queries_is_searched_at_once():
+    """Queries in one batch get what brute force finds, also where scores are nearer than single precision tells; blocks are skipped query by query."""
+    rng = np.random.default_rng(9)
+    n, words = 1500, np.arange(400, dtype=np.uint64)
+    tfs = np.where(rng.random((n, 400)) < np.where(np.arange(400) % 3 == (np.arange(n) * 3 // n)[:, None], 0.3, 0.002), rng.integers(1, 4, (n, 400)), 0)
+    tfs[1::50] = tfs[::50]  # copies tie
+    tfs[2::50] = tfs[::50]
+    lengths = tfs.sum(1)
+    lengths[2::50] += 10_000
+    lengths[3::50], tfs[3::50] = lengths[2::50] + 1, tfs[2::50]  # one word in 10,000 more: nearly the same score
+    t, d = np.nonzero(tfs.T)
+    row = {"terms": words, "starts": np.append(0, np.cumsum((tfs > 0).sum(0))), "ords": d.astype(np.int32), "tfs": tfs[d, t].astype(np.int32), "ids": np.arange(n), "lengths": lengths}
+    mean = float(lengths.mean())
+    shard = bm25.Shard({k: v.tobytes() for k, v in row.items()}, mean, 1.2, 0.75)
+    idf = np.log1p((n - (tfs > 0).sum(0) + 0.5) / ((tfs > 0).sum(0) + 0.5))
+    asked = [np.flatnonzero(tfs[q]) for q in range(0, n, 50)] + [np.zeros(0, np.int64)]
+    exact = np.array([(idf * tfs * 2.2 / (tfs + 1.2 * (0.25 + 0.75 * lengths / mean)[:, None]))[:, a].sum(1) for a in asked])
+    want = [np.lexsort((np.arange(n), -np.floor(s * 1e6 + 0.5)))[: 10 * bool(s.any())] for s in exact]
+    starts = np.append(0, np.cumsum([len(a) for a in asked]))
+    for known in (False, True):
+        least = np.array([s[w[-1]] if known and len(w) else 0.0 for s, w in zip(exact, want, strict=True)])
+        query, ids, scores = bm25._best_of_each(*shard.search(starts, np.concatenate(asked), words, idf, 10, least), 10)
+        assert [ids[query == q].tolist() for q in range(len(asked))] == [w.tolist() for w in want]
+        assert np.allclose(scores, exact[query, ids], rtol=1e-12)
+    assert shard.blocks_skipped > 0 and shard.blocks_read > 0
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
