@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,14 @@ from .superkmers import PrefixHash, mixed, ragged
 U8 = np.uint64
 BLOCK_DOCS = 256
 FEED = 2 << 20
+WORDS = 1 << 15  # hashed at once; a worker keeps 16 bytes for each of their bytes
 QUERIES = 256  # in a batch
 CELLS = 16 << 20  # of a shard's frequent terms and documents at most
 SUMS = 2 << 20  # of queries and documents at most that are held at once
 #: Scores are compared after rounding to six places; pruning leaves this much room for it.
 SLACK = 2e-6
 INDEX = "terms binary, starts binary, ords binary, tfs binary, ids binary, lengths binary"
+MANIFEST = "file string, documents bigint, words bigint"
 #: A batch of queries: their ids, starts of their terms, places of these among the batch's distinct terms (ascending), those with their idf, and a score
 #: that each query's k-th best reaches.
 BATCH = "ids binary, starts binary, places binary, terms binary, idf binary, least binary"
@@ -56,9 +59,12 @@ def _terms(texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
     full = [t for t in texts if t]
     out: list[tuple[np.ndarray, np.ndarray]] = []
     if full:
-        data = np.frombuffer(b" ".join(b" ".join(t) for t in full), np.uint8)
-        stop = np.append(np.flatnonzero(data == 32), len(data))
-        words = mixed(PrefixHash(data)(np.append(0, stop[:-1] + 1), stop))
+        flat, hashes = [w for t in full for w in t], []
+        for i in range(0, len(flat), WORDS):
+            data = np.frombuffer(b" ".join(flat[i : i + WORDS]), np.uint8)
+            stop = np.append(np.flatnonzero(data == 32), len(data))
+            hashes.append(mixed(PrefixHash(data)(np.append(0, stop[:-1] + 1), stop)))
+        words = np.concatenate(hashes)
         sizes = np.array([len(t) for t in full])
         out = [np.unique(x, return_counts=True) for x in np.split(words, np.cumsum(sizes)[:-1])]
     found = iter(out)
@@ -80,90 +86,120 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], l
         yield ids, texts
 
 
-def build_index(docs: DataFrame, postings: int = 4_000_000) -> DataFrame:
-    """Inverted indexes of about ``postings`` postings each: sorted term hashes, starts of their postings, ordinals and counts, ids and lengths."""
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: list[int], lengths: list[int]) -> list[np.ndarray]:
+    """The columns of an index of documents whose terms, counts and numbers of terms are in ``parts``, which is emptied."""
+    ords = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate([n for _, _, n in parts]))
+    terms, tfs = np.concatenate([t for t, _, _ in parts]), np.concatenate([c for _, c, _ in parts])
+    parts.clear()
+    order = np.argsort(terms, kind="stable")
+    ords, tfs, terms = ords[order], tfs[order], terms[order]
+    del order
+    first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
+    starts = np.append(first, len(terms)).astype(np.int64)
+    terms = terms[first]
+    key = _order(starts, ords, np.array(lengths, np.int64))
+    place = np.empty(len(key), np.int32)
+    place[key] = np.arange(len(key), dtype=np.int32)
+    return [terms, starts, place[ords], tfs, np.array(ids, np.int64)[key], np.array(lengths, np.int64)[key]]
+
+
+def write_index(docs: DataFrame, path: str, postings: int = 4_000_000) -> DataFrame:
+    """Write inverted indexes of about ``postings`` postings each under ``path``; return the manifest (file, documents, words).
+
+    An index is a file of one row: sorted term hashes, starts of their postings, ordinals and counts, ids and lengths. Its columns are large, so Python writes
+    and reads them and Spark's heap never holds one. A task names its files by a fresh uuid, so a repeated task can't harm another's; only files in the manifest count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(folder, recursive=True)
         ids: list[int] = []
         lengths: list[int] = []
         parts: list[tuple] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            terms = np.concatenate([t for t, _ in parts])
-            tfs = np.concatenate([c for _, c in parts]).astype(np.int32)
-            ords = np.repeat(np.arange(len(parts), dtype=np.int32), [len(t) for t, _ in parts])
-            order = np.argsort(terms, kind="stable")
-            terms, ords = terms[order], ords[order]
-            first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-            starts = np.append(first, len(terms)).astype(np.int64)
-            key = _order(starts, ords, np.array(lengths, np.int64))
-            place = np.empty(len(key), np.int32)
-            place[key] = np.arange(len(key), dtype=np.int32)
-            row = [terms[first], starts, place[ords], tfs[order], np.array(ids, np.int64)[key], np.array(lengths, np.int64)[key]]
-            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in row], names=_names(INDEX))
+            cells = [pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)]) for x in _merged(parts, ids, lengths)]
+            row = pa.record_batch(cells, names=_names(INDEX))
+            name = f"{uuid.uuid4().hex}.arrow"
+            options = pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+            with fs.open_output_stream(f"{folder}/{name}", compression=None) as out, pa.ipc.new_file(out, row.schema, options=options) as writer:
+                writer.write_batch(row)
+            return pa.RecordBatch.from_pydict({"file": [f"{path}/{name}"], "documents": [len(ids)], "words": [sum(lengths)]})
 
         for some, texts in _documents(batches):
             ids += some
             lengths += [len(t) for t in texts]
             found = _terms(texts)
-            parts += found
-            held += sum(len(t) for t, _ in found)
+            parts.append((np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found]).astype(np.int32), np.array([len(t) for t, _ in found])))
+            held += len(parts[-1][0])
+            del texts, found
             if held >= postings:
                 yield flush()
-                ids, lengths, parts, held = [], [], [], 0
+                ids, lengths, held = [], [], 0
                 release_memory()
         if ids:
             yield flush()
-        ids, lengths, parts = [], [], []
-        release_memory()
 
-    return docs.mapInArrow(frugal(run), INDEX)
+    return materialize(docs.mapInArrow(frugal(run), MANIFEST), "index-manifest")
+
+
+def _read_index(uri: str, names: Sequence[str]) -> dict[str, pa.Buffer]:
+    """Columns of the index in one file."""
+    import pyarrow.fs
+
+    fs, file = pyarrow.fs.FileSystem.from_uri(uri)
+    options = pa.ipc.IpcReadOptions(use_threads=False, included_fields=[_names(INDEX).index(n) for n in names])
+    with fs.open_input_file(file) as f:
+        row = pa.ipc.open_file(f, options=options, memory_pool=pa.system_memory_pool()).get_batch(0)
+    return {n: row.column(n)[0].as_buffer() for n in names}
 
 
 class Shard:
     """An inverted index with the weights of its postings: those of BM25 but for the idf.
 
     Frequent terms (in more than max(64, documents / 32) documents, the commonest first as far as ``CELLS`` allows) also have
-    their maximum in each block of documents, and each block a matrix of the weights of those that it has.
+    their maximum in each block of documents, and each block a matrix of the weights of those that it has; they keep no postings.
     """
 
     def __init__(self, row: dict, mean: float, k1: float, b: float):
         get = lambda name, kind: np.frombuffer(row[name], kind)
-        self.terms, self.starts, self.ords, self.ids = get("terms", U8), get("starts", np.int64), get("ords", np.int32), get("ids", np.int64)
-        tfs, self.norm, self.scale = get("tfs", np.int32), k1 * (1 - b + b * get("lengths", np.int64) / mean), k1 + 1
-        below = self.norm[self.ords]
-        below += tfs
-        self.weights = np.divide(tfs, below, out=below)
-        self.weights *= self.scale
+        self.terms, starts, ords, tfs, self.ids = get("terms", U8), get("starts", np.int64), get("ords", np.int32), get("tfs", np.int32), get("ids", np.int64)
+        self.norm, self.scale = k1 * (1 - b + b * get("lengths", np.int64) / mean), k1 + 1
         self.docs = len(self.ids)
-        self.size = np.diff(self.starts)
-        frequent = np.flatnonzero(self.size > max(64, self.docs // 32))
-        frequent = frequent[np.argsort(-self.size[frequent], kind="stable")[: CELLS // max(1, self.docs)]]
-        self.column = np.full(len(self.terms), -1)
+        size = np.diff(starts)
+        frequent = np.flatnonzero(size > max(64, self.docs // 32))
+        frequent = frequent[np.argsort(-size[frequent], kind="stable")[: CELLS // max(1, self.docs)]]
+        self.column = np.full(len(self.terms), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
         self.scaled = self.column >= 0  # infrequent terms' weights are multiplied by their idf when a query first has them
         blocks = -(-self.docs // BLOCK_DOCS)
         self.block_max = np.zeros((len(frequent), blocks))
-        index = ragged(self.starts[frequent], self.size[frequent])
-        block = (self.ords[index] // BLOCK_DOCS).astype(np.min_scalar_type(blocks))
-        order = np.argsort(block, kind="stable")
-        index = index[order]
-        column = np.repeat(np.arange(len(frequent), dtype=np.int32), self.size[frequent])[order]
-        cut = np.append(0, np.cumsum(np.bincount(block, minlength=blocks)))
-        del block, order
-        kind = np.min_scalar_type(tfs.max(initial=0))
-        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # columns; counts and weights in single precision by document and column
+        self.counts = np.zeros((blocks * BLOCK_DOCS, len(frequent)), np.min_scalar_type(tfs.max(initial=0)))  # of frequent terms by document
+        for i, t in enumerate(frequent):
+            self.counts[ords[starts[t] : starts[t + 1]], i] = tfs[starts[t] : starts[t + 1]]
+        self.blocks: list[tuple[np.ndarray, np.ndarray]] = []  # columns; weights in single precision by document and column
         for i in range(blocks):
-            own, at = column[cut[i] : cut[i + 1]], index[cut[i] : cut[i + 1]]
-            there = np.zeros(len(frequent), bool)
-            there[own] = True
-            columns = np.flatnonzero(there)
-            place = self.ords[at] - i * BLOCK_DOCS, (np.cumsum(there) - 1)[own]
-            counts, weights = np.zeros((BLOCK_DOCS, len(columns)), kind), np.zeros((BLOCK_DOCS, len(columns)))
-            counts[place], weights[place] = tfs[at], self.weights[at]
+            own = slice(i * BLOCK_DOCS, min((i + 1) * BLOCK_DOCS, self.docs))
+            columns = np.flatnonzero(self.counts[own].any(0))
+            weights = np.zeros((BLOCK_DOCS, len(columns)))
+            there = weights[: own.stop - own.start]
+            there[:] = self.counts[own].take(columns, 1)
+            np.divide(there, there + self.norm[own, None], out=there, where=there > 0)
+            there *= self.scale
             self.block_max[columns, i] = weights.max(0)
-            self.blocks.append((columns, counts, weights.astype(np.float32)))
+            self.blocks.append((columns, weights.astype(np.float32)))
+        # The postings of the other terms are kept as they are.
+        kept = np.repeat(~self.scaled, size)
+        self.ords, tfs = ords[kept], tfs[kept]
+        below = self.norm[self.ords]
+        below += tfs
+        self.weights = np.divide(tfs, below, out=below)
+        self.weights *= self.scale
+        self.size = np.where(self.scaled, 0, size)
+        self.starts = np.append(0, np.cumsum(self.size))
         self.blocks_read = self.blocks_skipped = 0  # by a query each
 
     def top(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,15 +252,14 @@ class Shard:
             sums[i] = np.bincount(self.ords.take(index), self.weights.take(index), sums.shape[1])
         bound = sums.reshape(n, -1, BLOCK_DOCS).max(2)
         bound += asked @ self.block_max
-        sums_single = sums.astype(np.float32)
         # A sum of m numbers that aren't negative is off by less than m times the precision.
         near = 1 - (len(self.block_max) + 16) * 2.0**-23
         best = np.zeros((n, k))
 
         def score(rows: np.ndarray, b: int) -> np.ndarray:
-            columns, _, weights = self.blocks[b]
+            columns, weights = self.blocks[b]
             scores = single[rows].take(columns, 1) @ weights.T
-            scores += sums_single[rows, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
+            scores += sums[rows, b * BLOCK_DOCS : (b + 1) * BLOCK_DOCS]
             return scores
 
         fresh = np.flatnonzero(least <= 0)
@@ -248,29 +283,22 @@ class Shard:
         for b, rows, doc, scores in hits:
             keep = scores >= (least[rows] - SLACK) * near
             rows, doc = rows[keep], doc[keep]
-            columns, counts, _ = self.blocks[b]
+            columns = self.blocks[b][0]
             for i in range(0, len(rows), 1000):
                 r, d = rows[i : i + 1000], doc[i : i + 1000]
                 at = b * BLOCK_DOCS + d
-                weights = counts[d].astype(float)
+                weights = self.counts[at].take(columns, 1).astype(float)
                 weights /= weights + self.norm[at, None]
                 exact = np.einsum("ij,ij->i", asked[r].take(columns, 1), weights) * self.scale + sums[r, at]
                 keep = (exact >= least[r] - SLACK) & (exact > 0)
                 yield r[keep], self.ids[at[keep]], exact[keep]
 
 
-def _shards(uri: str, mean: float, k1: float, b: float) -> Iterator[Shard]:
-    """The indexes of one file, one after another."""
-    import pyarrow.fs
-    import pyarrow.parquet
-
-    fs, file = pyarrow.fs.FileSystem.from_uri(uri)
-    with fs.open_input_file(file) as f:
-        for rows in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=1, use_threads=False):
-            for i in range(rows.num_rows):
-                yield Shard({n: rows.column(n)[i].as_buffer() for n in rows.schema.names}, mean, k1, b)
-                release_memory()
-            del rows
+def _shards(files: Sequence[str], mean: float, k1: float, b: float) -> Iterator[Shard]:
+    """The indexes, one after another."""
+    for file in files:
+        yield Shard(_read_index(file, _names(INDEX)), mean, k1, b)
+        release_memory()
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -306,40 +334,32 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
     """
     spark = docs.sparkSession
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    index = materialize(build_index(docs), "index")
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                starts, lengths, terms = (np.frombuffer(batch.column(n)[row].as_buffer(), np.int64) for n in ("starts", "lengths", "terms"))
-                for i in range(0, len(terms), 100_000):
-                    yield pa.record_batch([pa.array(terms[i : i + 100_000]), pa.array(np.diff(starts)[i : i + 100_000])], names=["term", "df"])
-                # the null term counts documents
-                yield pa.record_batch([pa.array([None], pa.int64()), pa.array([len(lengths)])], names=["term", "df"])
-
-    counted = materialize(index.select("terms", "starts", "lengths").mapInArrow(frugal(frequencies), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "df")
-    n = counted.filter("term is null").agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = sum(int(np.frombuffer(x.as_buffer(), np.int64).sum()) for batch in batches for x in batch.column(0))
-        yield pa.RecordBatch.from_pydict({"words": [total]})
-
-    words = index.select("lengths").mapInArrow(frugal(count_words), "words bigint").agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    index = write_index(docs, work_path(spark, "index"))
+    n, words = index.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     schema = "query_id bigint, rank int, doc_id bigint, score double"
     if not words:
         return spark.createDataFrame([], schema)
 
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for file in (f for batch in batches for f in batch.column(0).to_pylist()):
+            starts, terms = (np.frombuffer(x, np.int64) for x in _read_index(file, ("starts", "terms")).values())
+            for i in range(0, len(terms), 100_000):
+                yield pa.record_batch([pa.array(terms[i : i + 100_000]), pa.array(np.diff(starts[i : i + 100_001]))], names=["term", "df"])
+
+    stored = [f for (f,) in index.select("file").collect()]
+    listed = spark.createDataFrame([(f,) for f in stored], "file string")
+    counted = materialize(listed.repartition(len(stored)).mapInArrow(frugal(frequencies), "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")), "df")
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _documents(batches):
             found = [t for t, _ in _terms(texts)]
             yield pa.record_batch([pa.array(np.repeat(ids, [len(t) for t in found]).astype(np.int64)), pa.array(np.concatenate(found).astype(np.int64))], names=["query_id", "term"])
 
     asked = docs.filter(F.pmod("doc_id", F.lit(every)) == 0).mapInArrow(frugal(ask), "query_id bigint, term bigint").distinct()
-    known = asked.join(counted.filter("term is not null"), "term").withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    known = asked.join(counted, "term").withColumn("idf", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     path = work_path(spark, "asked")
     grouped = known.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "idf"))).alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf"))
     mean = words / n
-    stored = index.inputFiles()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches of ``QUERIES`` queries, which are searched in one index, so that no task begins without a threshold."""
@@ -350,7 +370,7 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
                 terms, first, places = np.unique(batch["terms"].flatten().to_numpy().astype(U8), return_index=True, return_inverse=True)
                 starts = np.append(0, np.cumsum(np.diff(batch["terms"].offsets.to_numpy()))).astype(np.int64)
                 asked = starts, places.astype(np.int32), terms, batch["idf"].flatten().to_numpy()[first]
-                shard = shard or next(s for f in stored for s in _shards(f, mean, k1, b))
+                shard = shard or next(_shards(stored, mean, k1, b))
                 least = _least(_best_of_each(*shard.search(*asked, k, np.zeros(batch.num_rows)), k), batch.num_rows, k)
                 yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in (batch["query_id"].to_numpy(), *asked, least)], names=_names(BATCH))
 
@@ -373,21 +393,20 @@ def search_similar(docs: DataFrame, k: int = 10, every: int = 50, k1: float = 1.
         for block in filter(None, blocks):
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of each batch: queries by their place, ids, scores
             names: list[np.ndarray] = []
-            for file in files:
-                for shard in _shards(file, mean, k1, b):
-                    for j, row in enumerate(r for fragment in block for x in fragment.to_batches(batch_size=4, use_threads=False) for r in x.to_pylist()):
-                        queries, *batch, least = (np.frombuffer(row[c], kind) for c, kind in zip(_names(BATCH), (np.int64, np.int64, np.int32, U8, np.float64, np.float64), strict=True))
-                        if j == len(best):
-                            best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-                            names.append(queries)
-                        found = shard.search(*batch, k, np.maximum(least, _least(best[j], len(queries), k)))
-                        best[j] = _best_of_each(*(np.concatenate(x) for x in zip(best[j], found, strict=True)), k)
-                    del shard  # before the next is made
+            for shard in _shards(files, mean, k1, b):
+                for j, row in enumerate(r for fragment in block for x in fragment.to_batches(batch_size=4, use_threads=False) for r in x.to_pylist()):
+                    queries, *batch, least = (np.frombuffer(row[c], kind) for c, kind in zip(_names(BATCH), (np.int64, np.int64, np.int32, U8, np.float64, np.float64), strict=True))
+                    if j == len(best):
+                        best.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                        names.append(queries)
+                    found = shard.search(*batch, k, np.maximum(least, _least(best[j], len(queries), k)))
+                    best[j] = _best_of_each(*(np.concatenate(x) for x in zip(best[j], found, strict=True)), k)
+                del shard  # before the next is made
             for own, (query, ids, scores) in zip(names, best, strict=True):
                 yield pa.record_batch([pa.array(own[query]), pa.array(ids), pa.array(scores)], names=["query_id", "doc_id", "score"])
 
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
-    files = spark.createDataFrame([(f,) for f in stored], "file string").repartition(max(1, -(-size // task_bytes)))
+    files = listed.repartition(max(1, -(-size // task_bytes)))
     hits = files.mapInArrow(frugal(search), "query_id bigint, doc_id bigint, score double")
     hits = hits.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

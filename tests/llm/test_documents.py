@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from corvane.llm import ann, bm25, langid, minhash, mixing, packing, queries, sharding, warc
+from corvane.llm import ann, bm25, langid, minhash, mixing, packing, queries, sharding, superkmers, warc
 from corvane.llm.components import connected_components
 
 
@@ -453,5 +454,41 @@ def test_a_batch_of_queries_is_searched_at_once():
     assert shard.blocks_skipped > 0 and shard.blocks_read > 0
 
 
+def test_indexes_stay_out_of_sparks_heap(docs, monkeypatch):
+    """Tables that Spark writes have no large columns: Python writes the indexes, every document in one of them."""
+    tables = []
+    write = bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, what: tables.append(write(df, what)) or tables[-1])
+    assert bm25.search_similar(docs, k=2, every=1).count() > 0
+    assert tables and not [t.schema.simpleString() for t in tables if "binary" in t.schema.simpleString()]
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.filter("doc_id is not null").collect()]
+    index = bm25.write_index(docs.filter("doc_id is not null").select("doc_id", "text").repartition(3), bm25.work_path(docs.sparkSession, "index")).collect()
+    assert len(index) > 1 and sum(r.documents for r in index) == len(rows) and sum(r.words for r in index) == sum(len(w) for _, w in rows)
+    read = [bm25._read_index(r.file, ("ids", "lengths", "tfs")) for r in index]
+    ids, lengths, tfs = (np.concatenate([np.frombuffer(x[n], kind) for x in read]) for n, kind in (("ids", np.int64), ("lengths", np.int64), ("tfs", np.int32)))
+    assert sorted(zip(ids.tolist(), lengths.tolist(), strict=True)) == sorted((i, len(w)) for i, w in rows) and tfs.sum() == lengths.sum()
+
+
+def test_an_index_in_memory_is_little_larger_than_its_matrices(monkeypatch):
+    """Postings of frequent terms aren't held beside their matrices, and a worker keeps no powers for a whole feed of text."""
+    rng = np.random.default_rng(10)
+    n, words = 4096, 400
+    tfs = rng.integers(0, 4, (n, words)) * (rng.random((n, words)) < np.where(np.arange(words) < 300, 0.6, 0.005))
+    t, d = np.nonzero(tfs.T)
+    row = {"terms": np.arange(words, dtype=np.uint64), "starts": np.append(0, np.cumsum((tfs > 0).sum(0))), "ords": d.astype(np.int32), "tfs": tfs[d, t].astype(np.int32), "ids": np.arange(n), "lengths": tfs.sum(1)}
+    row, mean = {k: v.tobytes() for k, v in row.items()}, float(tfs.sum(1).mean())
+    tracemalloc.start()
+    shard = bm25.Shard(row, mean, 1.2, 0.75)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    cells = n * shard.block_max.shape[0]  # a byte for the count and four for the weight
+    assert len(shard.block_max) == 300 and held < 6 * cells and most < 9 * cells
+    monkeypatch.setattr(superkmers, "POWERS", superkmers.Powers())
+    texts = [[b"w%d" % (i * i % 5003) for i in range(100_000)], [], [b"w1"], [b"long" * 50_000]]
+    terms = bm25._terms(texts)
+    assert superkmers.POWERS.up.nbytes < 4 << 20 and [len(x) for x, _ in terms] == [len(set(x)) for x in texts] and [c.sum() for _, c in terms] == [len(x) for x in texts]
+    assert terms[2][0][0] == bm25._terms([[b"w1"]])[0][0][0] and terms[2][0][0] in terms[0][0]
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
