@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bm25, langid, minhash, mixing, packing, sharding, suffixes, warc, windows
+from . import alignment, ann, bm25, langid, minhash, mixing, packing, runs, sharding, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_posting_lists, op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op6_bm25_block_max, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), keep_groups=False).drop("groups")
+
+
+def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.collapse_runs(runs.planted_runs(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_ann_posting_lists, op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op6_bm25_block_max, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing, op11_token_alignment, op13_lyndon_runs)}
+
+def _crc_table() -> str:
+    """The 256 steps of CRC-32, made from its polynomial, as an SQL list."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return str(table)
+
 
 SQL = {
     "op2_substring_windows": r"""
@@ -149,4 +167,33 @@ SQL = {
         )
         SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(bytes, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(t)) AS kept_sha256
         FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+    "op13_lyndon_runs": r"""
+        WITH h AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+                lambda s, c: xor(s >> 8, CAST(CRC AS BIGINT[])[1 + (xor(s, c) & 255)])) AS r FROM documents
+        ), g AS (
+            SELECT doc_id, w, len(w) AS n, xor(r, 4294967295) AS h, xor(r, 4294967295) // 10 AS g FROM h
+        ), a AS (
+            SELECT *, CASE WHEN n > 0 THEN g % n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM g
+        ), d AS (
+            SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM a
+        ), six AS (  -- a run of 12 words or more has at least six neighbouring words that its period repeats
+            SELECT doc_id, i, hash(w[i + 1:i + 6]) AS x FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d)
+        ), pairs AS (
+            SELECT x.doc_id, x.i, y.i - x.i AS q FROM six x JOIN six y ON x.doc_id = y.doc_id AND x.x = y.x AND x.i < y.i
+        ), marked AS (
+            SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM pairs
+        ), ends AS (
+            SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM marked GROUP BY doc_id, q, stretch HAVING count(*) + 5 + q >= greatest(12, 2 * q)
+        ), runs AS (
+            SELECT doc_id, start, length, min(q) AS period FROM ends GROUP BY ALL
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+        ), kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+        ), listed AS (
+            SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS r, arg_min(struct_pack(s := start, l := length, p := period), struct_pack(l := -length, s := start, p := period)) AS b FROM runs GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, b.s AS start, b.l AS length, b.p AS period, 1000 * b.l // b.p AS exponent_milli, sha256(coalesce(r, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""".replace("CRC", _crc_table()),
 }
