@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bm25, langid, minhash, mixing, packing, runs, sharding, suffixes, warc, windows
+from . import alignment, ann, bm25, langid, minhash, mixing, packing, quality, runs, sharding, suffixes, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,15 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"), keep_groups=False).drop("groups")
 
 
+def op12_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.collapse_runs(runs.planted_runs(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann_posting_lists, op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op6_bm25_block_max, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing, op11_token_alignment, op13_lyndon_runs)}
+QUERIES = {f.__name__: f for f in (op1_ann_posting_lists, op2_substring_windows, op3_minhash_hamming, op4_warc_index, op5_language_hd, op6_bm25_block_max, op7_suffix_repeats, op8_best_fit_packing, op9_histogram_sharding, op10_source_mixing, op11_token_alignment, op12_attention_quality, op13_lyndon_runs)}
 
 def _crc_table() -> str:
     """The 256 steps of CRC-32, made from its polynomial, as an SQL list."""
