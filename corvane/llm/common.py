@@ -67,6 +67,24 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
     _made[:] = outer
 
 
+def unused_name(columns: Sequence[str], name: str) -> str:
+    """``name``, with as many underscores behind it as make it none of ``columns`` (case doesn't tell names apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def set_aside(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns called like one of ``names`` renamed, and the columns that give back what ``df`` had."""
+    moved, columns = {}, list(df.columns)
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            moved[c] = unused_name([*columns, *names], f"_{c}")
+            columns.append(moved[c])
+    return df.withColumnsRenamed(moved), [F.col(f"`{moved.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def release_memory() -> None:
     """Give memory that Python has freed back to the system (with glibc), as workers are used again by later stages."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -297,9 +297,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with scratch(docs.sparkSession) as keep:
         sig = materialize(signatures(docs, chunks), "signatures")
         same_set = ["set_a", "set_b", "n_shingles"]
-        classes = materialize(sig.filter("doc_id is not null and n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "classes")
-        profiles = sig.join(classes.select("rep", *same_set), [*same_set]).filter("doc_id = rep").select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "signature", "bitmap")
-        profiles = materialize(profiles, "profiles")
+        kept = F.min_by(F.struct("signature", "bitmap"), "doc_id")  # equal sets have equal signatures, so one row of a class will do
+        classes = sig.filter("doc_id is not null and n_shingles > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep"), kept.alias("_kept"))
+        classes = materialize(classes.select("*", "_kept.*").drop("_kept"), "classes")
+        profiles = classes.select(F.col("rep").alias("doc"), F.col("n_shingles").alias("n"), "signature", "bitmap")
         keys = index_keys(profiles, chunks * WIDTH)
         several = keys.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("_last")).filter("lead <> _last").select(F.col("key").alias("_key"), "lead")
         shared = materialize(keys.join(several, F.col("key") == F.col("_key")).select("key", "doc", "lead"), "shared")
@@ -311,6 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         parts = connected_components(links)
         keep += [sig, classes, parts]
     of_class = classes.join(parts, F.col("rep") == F.col("node"), "left").select(*same_set, F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", *same_set).join(of_class, [*same_set], "left")
+    worded = sig.filter("doc_id is not null and n_shingles > 0").select("doc_id", *same_set).join(of_class, [*same_set], "left")
+    out = worded.drop(*same_set[:2]).unionByName(sig.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles"), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -155,18 +155,28 @@ class LoserTree:
             self._play(i)
 
 
+#: At most so many payloads can be that frequent.
+HOT_DIGESTS = 10_000
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files under ``path``; return the manifest (file, records, bytes).
 
     Of pages with equal payloads of at least ``least`` bytes the smallest page_id becomes the response and the
     others revisits of it (null ids stand after all others; rows that repeat the smallest id are
-    responses too). A task names its files by a fresh uuid, so a repeated task can't harm another's; only files in the manifest count.
+    responses too). Payloads that make up more than one in HOT_DIGESTS of all that repeat are joined by broadcast, so that no task gets all copies of one. A task names its files by a fresh uuid, so a repeated task can't harm another's; only files in the manifest count.
     """
     text = F.coalesce(F.col("html").cast("string"), F.lit(""))
     d = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
     d = d.withColumn("_digest", F.when(F.octet_length("html") >= least, F.sha2("html", 256)))
     first = d.filter("_digest is not null").groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    d = d.join(first.filter("_n > 1").drop("_n"), "_digest", "left")
+    first = materialize(first.filter("_n > 1"), "warc-first")
+    least_hot = (first.agg(F.sum("_n")).first()[0] or 0) / HOT_DIGESTS
+    hot = first.filter(F.col("_n") > least_hot).select("_digest", F.col("_first").alias("_hot"), F.lit(True).alias("_is_hot"))
+    d = d.join(F.broadcast(hot), "_digest", "left")
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id())  # matches nothing, and lies anywhere
+    d = d.withColumn("_digest", F.coalesce(F.when(F.col("_is_hot").isNull(), F.col("_digest")), alone))
+    d = d.join(first.filter(F.col("_n") <= least_hot).drop("_n"), "_digest", "left").withColumn("_first", F.coalesce("_hot", "_first"))
     d = d.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +272,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def merge_runs(runs: DataFrame, parts: int) -> DataFrame:
     """Merge sorted runs into one globally ordered index.
 
-    Captures go by range of (urlkey, captured_at, page_id) to ``parts`` tasks, so that even one URL with very
-    many captures is split; a task gets its slices of the runs in order, one after another, and a loser tree over their
+    Captures go by range of (urlkey, captured_at, page_id, file, position) to ``parts`` tasks, so that even one URL with very
+    many captures is split, also where their ids are null or repeat; a task holds its range and gets its slices of the runs in order, one after another, and a loser tree over their
     heads gives the order in which it returns them, some thousands at a time. Partition after
     partition, the rows are the capture histories of all URLs. ``runs`` is read twice.
     """
@@ -279,7 +289,7 @@ def merge_runs(runs: DataFrame, parts: int) -> DataFrame:
         while some := list(itertools.islice(tree, 10_000)):
             yield from table.take(pa.array(some)).select(table.column_names[:-2]).to_batches()
 
-    ranged = runs.repartitionByRange(parts, "urlkey", "captured_at", "page_id").sortWithinPartitions("run", "pos")
+    ranged = runs.repartitionByRange(parts, "urlkey", "captured_at", "page_id", "file", "position").sortWithinPartitions("run", "pos")
     return ranged.mapInArrow(frugal(run), CAPTURE)
 
 

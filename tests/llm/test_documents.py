@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import ann, bm25, langid, minhash, mixing, packing, queries, sharding, superkmers, warc
 from corvane.llm.components import connected_components
@@ -228,6 +229,31 @@ def test_subset_counts():
         assert all(0 <= k <= c for k, c in zip(take, counts, strict=True)) and budget - 3 < total <= budget
 
 
+def test_sharding_spreads_equal_keys(spark):
+    """One text without ids, or with one repeated id, is dealt over all shards, though nothing tells its rows apart."""
+    for doc_id in ("cast(null as bigint)", "7"):
+        d = spark.range(3200).selectExpr(f"{doc_id} AS doc_id", "'the same text' AS text", "id AS _key", "'x' AS _part", "id % 2 AS shard")
+        got = sharding.shard_documents(d, part_bytes=2000)
+        rows = got.collect()
+        assert max(Counter(r.shard for r in rows).values()) <= 215 and got.rdd.getNumPartitions() >= 16
+        assert sorted((r._key, r._part) for r in rows) == [(i, "x") for i in range(3200)]
+        for n in range(16):
+            assert sorted(r.slot for r in rows if r.shard == n) == list(range(sum(r.shard == n for r in rows)))
+
+
+def test_captures_with_equal_keys_are_split(spark, tmp_path):
+    """3,000 captures of one URL with null ids, or with one repeated id and one payload, fall to the stated number of ranges."""
+    for ids, html in (("cast(null as bigint)", "concat('page ', id)"), ("5", "'the same page'")):
+        d = spark.range(3000).selectExpr(f"{ids} AS page_id", "'http://a.b/c' AS url", f"{html} AS html")
+        got = warc.archive_pages(d, rows_per_part=300)
+        held = got.groupBy(F.spark_partition_id()).count().collect()
+        assert len(held) >= 8 and max(r[1] for r in held) < 700 and sum(r[1] for r in held) == 3000
+        rows = got.collect()
+        assert {r.record_type for r in rows} == {"response"}
+        keys = [(r.urlkey, r.captured_at, r.file, r.position) for r in rows]
+        assert keys == sorted(keys)
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet").unionByName(spark.createDataFrame([(901, None, None), (900, "http://A.b/x\ny", ""), (902, "::bad", "é" * 50), (None, "http://b.a/", "é" * 50), (903, "http://b.a/", "é" * 50)], "page_id bigint, url string, html string"))
     rows = {r.page_id: (r.html or "").encode() for r in pages.collect()}

@@ -7,9 +7,13 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from corvane.llm import langid, mixing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Columns that a stage, or the operator behind it, adds to documents under these names.
+CLASHING = "_gone _copy score lang_pred kept n_words n_removed _id doc times size source_size target n extra whole rank _text _draw component_id n_shingles key spans _spans LANG_PREDICTED".split()
 
 
 def words(t):
@@ -137,13 +141,18 @@ def check_packing(before, after):
 @pytest.mark.parametrize("which", ["docs", "small", "none"])
 def test_stages(spark, docs, small, which, tmp_path):
     """On edge cases, on a table of the tests' data, and on an empty one."""
-    d = {"docs": docs, "small": small.filter("doc_id < 90"), "none": docs.limit(0)}[which].select(*COLUMNS)
+    d = {"docs": docs, "small": small.filter("doc_id < 90"), "none": docs.limit(0)}[which]
+    d = d.select(*COLUMNS, *[F.struct(F.lit(c), "doc_id").alias(c) for c in CLASHING])
+    columns, types = d.columns, d.dtypes
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = d.collect()
+        before = d.select(*COLUMNS).collect()
         stage(spark, d, "").write.parquet(f"{tmp_path}/{i}")
         d = spark.read.parquet(f"{tmp_path}/{i}")
-        after = d.collect()
-        assert (d.columns == COLUMNS) == (i < 4)
+        after = d.select(*COLUMNS).collect() if i < 4 else d.collect()
+        assert (d.columns == columns and d.dtypes == types) == (i < 4)
+        if i < 4:
+            own = [f"{c}.col1 = '{c}' and {c}.doc_id <=> doc_id" for c in CLASHING]
+            assert d.filter(" and ".join(own)).count() == len(after)
         if name in ("language_id", "near_dedup", "substring_dedup"):
             assert Counter(map(tuple, after)) == {"language_id": after_language_id, "near_dedup": after_near_dedup, "substring_dedup": after_substring_dedup}[name](before)
         else:
