@@ -1,7 +1,8 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's documents. All but the last return the columns of documents; the last returns packed pieces with their token ids.
+next stage's documents. All but the last return the columns of documents, further columns included, whose values and types stay as they are
+whatever their names; the last returns packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import langid, minhash, mixing, packing, windows
-from corvane.llm.common import WORD, materialize, scratch
+from corvane.llm.common import WORD, materialize, scratch, set_aside, unused_name
 
 #: A text of SHORT words or more whose best cosine is below this is in none of the languages: three standard deviations of the cosine
 #: of unrelated vectors, 1 / sqrt(DIM). Shorter texts have too few trigrams to tell noise from language and stay.
@@ -24,9 +25,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document goes if its text is null, empty or without letters, or has SHORT words or more and a score below LEAST_SCORE; all go if no
     document has both a label and letters. Nulls in other columns don't matter, rows that repeat are judged each, alike. Empty tables stay empty.
     """
-    found = langid.predict_language(docs, langid.fit_prototypes(docs)).filter(F.col("lang_pred") != "und")
+    d, own = set_aside(docs, ["lang_pred", "score"])
+    found = langid.predict_language(d, langid.fit_prototypes(d)).filter(F.col("lang_pred") != "und")
     found = found.filter((F.col("score") >= LEAST_SCORE) | (F.regexp_count("text", F.lit(WORD)) < SHORT))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +38,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     together, repeated rows included. Empty tables stay empty.
     """
     with scratch(spark) as keep:
-        dropped = materialize(minhash.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+        gone = unused_name(docs.columns, "_gone")
+        dropped = materialize(minhash.near_duplicates(docs, percent=80).filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
         keep.append(dropped)
-    return docs.join(dropped, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +50,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     What is left of a cut text has its words joined by one space, and n_chars is set to its length. Null texts stay null; a null doc_id counts as
     the smallest; rows with the same doc_id lose the same word positions and none for being equal to each other, so repeated rows stay repeated. Empty tables stay empty.
     """
-    d = windows.remove_repeated_windows(docs)
+    d, own = set_aside(docs, ["kept", "n_words", "n_removed"])
+    d = windows.remove_repeated_windows(d)
     d = d.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
-    return d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return d.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*own)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +63,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     (null texts too) count no words and are taken as often as their whole source is. Empty tables stay empty.
     """
     d = mixing.mix_documents(docs, keep=True).filter("times > 0")
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*").select(*docs.columns)
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
