@@ -1,4 +1,4 @@
-"""Hooks for a user's models (embedding, pair scoring), activations of sparse models, phases with hysteresis, and small graphs."""
+"""Hooks for a user's models (embedding, pair scoring), activations of sparse models, and phases with hysteresis."""
 
 from __future__ import annotations
 
@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.text import round_to
-from . import graphs
 
 
 def _mapped(df: DataFrame, columns: Sequence[str], load: Callable[[], Callable], out: StructField, kind: pa.DataType, rows: int) -> DataFrame:
@@ -52,29 +51,3 @@ def held_phase(ratio: Column, key: str, *order: str, enter: float = 0.30, leave:
     mark = F.when(ratio >= enter, True).when(ratio < leave, False)
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(False))
-
-
-def small_graph(edges: DataFrame, *columns: str, most: int = 100_000) -> list[tuple]:
-    """The rows of a graph for the algorithms that work on one machine; a graph of more than ``most`` edges raises, none is cut."""
-    rows = edges.select(*columns).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the graph has more than {most} edges")
-    return [tuple(r) for r in rows]
-
-
-def filtration(edges: DataFrame, thresholds: int = 20) -> DataFrame:
-    """(threshold, edges, b0, b1) of a small graph of (a, b, confidence) as its edges are added by falling confidence."""
-    out = graphs.filtration(small_graph(edges, "a", "b", "confidence"), thresholds)
-    return edges.sparkSession.createDataFrame([(float(r["threshold"]), r["edges"], r["b0"], r["b1"]) for r in out], "threshold double, edges long, b0 long, b1 long")
-
-
-def cliques(edges: DataFrame, least: int = 3) -> DataFrame:
-    """(clique, node): maximal cliques of ``least`` nodes or more of a small graph of (a, b), numbered in the order of their nodes."""
-    rows = [(i, x) for i, c in enumerate(graphs.maximal_cliques(small_graph(edges, "a", "b"), least)) for x in c]
-    return edges.sparkSession.createDataFrame(rows, StructType([StructField("clique", IntegerType()), StructField("node", edges.schema["a"].dataType)]))
-
-
-def equilibrium(records: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(id, share): the shares of a small set of (key, confidence) that compete along (a, b, weight)."""
-    shares = graphs.fictitious_play(dict(small_graph(records, key, "confidence")), small_graph(edges, "a", "b", "weight"))
-    return records.sparkSession.createDataFrame(sorted(shares.items()), StructType([StructField("id", records.schema[key].dataType), StructField("share", DoubleType())]))

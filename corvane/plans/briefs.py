@@ -200,17 +200,6 @@ def held_phases(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", H.held_phase(F.col("value") / 100.0, "user_id", "event_id").alias("active"))
 
 
-@query("""WITH RECURSIVE x AS (SELECT s_nationkey AS a, (s_nationkey + s_suppkey) % 25 AS b, min(s_suppkey % 97) / 97.0::DOUBLE AS c FROM supplier WHERE s_suppkey % 25 > 0 GROUP BY ALL), t AS (SELECT 1 - i / 20.0::DOUBLE AS th, i FROM range(0, 21) r(i)), n AS (SELECT a AS v FROM x UNION SELECT b FROM x),
-    k AS (SELECT DISTINCT i, least(a, b) AS a, greatest(a, b) AS b FROM x, t WHERE c >= th - 1e-12), reach AS (SELECT i, v, v AS u FROM n, t UNION SELECT r.i, r.v, CASE WHEN k.a = r.u THEN k.b ELSE k.a END FROM reach r JOIN k ON k.i = r.i AND (k.a = r.u OR k.b = r.u)),
-    b AS (SELECT i, count(DISTINCT m) AS b0 FROM (SELECT i, v, min(u) AS m FROM reach GROUP BY ALL) GROUP BY i), e AS (SELECT i, count(*) AS e FROM k GROUP BY i)
-    SELECT floor(th * 100 + 0.5) / 100 AS threshold, coalesce(e, 0) AS edges, b0, coalesce(e, 0) - (SELECT count(*) FROM n) + b0 AS b1 FROM t JOIN b USING (i) LEFT JOIN e USING (i)""")
-def filtration_trace(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations that suppliers join to others: a graph of 25 nodes at any scale."""
-    b = (F.col("s_nationkey") + F.col("s_suppkey")) % 25
-    e = table(spark, sf, "supplier").filter("s_suppkey % 25 > 0").groupBy(F.col("s_nationkey").cast("long").alias("a"), b.cast("long").alias("b")).agg((F.min(F.col("s_suppkey") % 97) / 97.0).alias("confidence"))
-    return H.filtration(e).withColumn("threshold", T.round_to(F.col("threshold"), 2))
-
-
 @query(f"""WITH {RECORDS}, t AS (SELECT stack, tag, min(doc_id * 10 + i) AS pos FROM (SELECT stack, doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM rec) GROUP BY ALL),
     g AS (SELECT stack, array_to_string(list(tag ORDER BY pos)[1:5], ',') AS tags FROM t GROUP BY stack) SELECT stack, count(*) AS records, any_value(coalesce(g.tags, '')) AS tags FROM rec LEFT JOIN g USING (stack) GROUP BY stack""")
 def stack_listing(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,18 +47,6 @@ def test_activations(spark):
     assert [tuple(r) for r in H.activations(d, "id", "term", "x").collect()] == [("a", "t", 0.693)]
 
 
-def test_small_graphs(spark):
-    edges = spark.createDataFrame([(1, 2, 0.9, 0.5), (2, 3, 0.8, 0.5), (1, 3, 0.7, 0.5), (3, 4, 0.2, 0.5)], "a long, b long, confidence double, weight double")
-    assert sorted(map(tuple, H.cliques(edges).collect())) == [(0, 1), (0, 2), (0, 3)]
-    trace = {round(r.threshold, 2): (r.edges, r.b0, r.b1) for r in H.filtration(edges).collect()}
-    assert trace[1.0] == (0, 4, 0) and trace[0.75] == (2, 2, 0) and trace[0.7] == (3, 2, 1) and trace[0.0] == (4, 1, 1)
-    records = spark.createDataFrame([(i, 0.5 + i / 10) for i in range(1, 5)], "id long, confidence double")
-    shares = dict(H.equilibrium(records, edges, "id").collect())
-    assert abs(sum(shares.values()) - 1) < 1e-9 and set(shares) == {1, 2, 3, 4}
-    with pytest.raises(ValueError, match="more than 3 edges"):
-        H.small_graph(edges, "a", most=3)
-
-
 def test_stacks_and_jars(spark, tmp_path):
     (tmp_path / "seeds").mkdir()
     (tmp_path / "seeds" / "react.json").write_text(json.dumps([{"id": "a", "tags": ["x", "y", "x"]}, {"id": "b", "tags": ["z", "x", "p", "q", "r"]}, {"id": "c"}]))
