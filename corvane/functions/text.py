@@ -155,13 +155,15 @@ def safe_source_id(source_id: Column) -> Column:
 
 
 def url_host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    """The host in lower case; one in brackets (IPv6) keeps them."""
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
 
 
 def safe_url(url: Column) -> Column:
-    """http or https, and no loopback, private or link-local host."""
+    """http or https, and no loopback, private or link-local host, in IPv4, in IPv6, or in IPv4 written as IPv6."""
     host = url_host(url)
-    local = host.rlike(r"^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|169\.254\..*|0\.0\.0\.0|::1)$")
+    local = host.rlike(r"^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|169\.254\..*|0\.0\.0\.0)$")
+    local = local | host.rlike(r"^\[(::1?|(0+:)+0*1?|f[cd][0-9a-f]*:.*|fe[89ab][0-9a-f]:.*|.*:ffff:(7f.*|0?a[0-9a-f]{2}:.*|c0a8:.*|ac1[0-9a-f]:.*|a9fe:.*|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|169\.254\..*|0\.0\.0\.0))(%.*)?\]$")
     return F.coalesce(url.rlike("^https?://") & (host != "") & ~local, F.lit(False))
 
 

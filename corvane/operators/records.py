@@ -131,13 +131,22 @@ def privacy_findings(records: DataFrame, fields: Sequence[str], key: str = "id",
     return records.select(key, F.explode(F.array(*checks)).alias("f")).select(key, "f.*").filter("n_matches > 0")
 
 
+def _hits(fields: Sequence[str], capture_form: bool) -> Column:
+    hits = [F.struct((F.lit(severity) == "high").alias("high"), (F.size(_matches(F.coalesce(F.col(f), F.lit("")), rule, pattern)) > 0).alias("found")) for f in fields for rule, severity, pattern in _rules(capture_form)]
+    return F.filter(F.array(*hits), lambda x: x["found"])
+
+
 def blocking(records: DataFrame, fields: Sequence[str], key: str = "id", capture_form: bool = False) -> DataFrame:
     """(key, blocking, findings) for every row: blocking if a finding is of high severity. Each row is judged by itself, without a shuffle."""
-    hits = [F.struct((F.lit(severity) == "high").alias("high"), (F.size(_matches(F.coalesce(F.col(f), F.lit("")), rule, pattern)) > 0).alias("found")) for f in fields for rule, severity, pattern in _rules(capture_form)]
-    d = records.select(key, F.filter(F.array(*hits), lambda x: x["found"]).alias("_f"))
+    d = records.select(key, _hits(fields, capture_form).alias("_f"))
     return d.select(key, F.exists("_f", lambda x: x["high"]).alias("blocking"), F.size("_f").cast("bigint").alias("findings"))
 
 
+def with_blocking(records: DataFrame, fields: Sequence[str], capture_form: bool = False) -> DataFrame:
+    """``records`` with ``blocking``: whether a row has a finding of high severity."""
+    return records.withColumn("blocking", F.exists(_hits(fields, capture_form), lambda x: x["high"]))
+
+
 def manifest(records: DataFrame) -> DataFrame:
     sets = lambda c: F.array_sort(F.collect_set(c))
     return records.agg(F.count(F.lit(1)).alias("seed_count"), sets("stack").alias("stacks"), sets("domain").alias("domains"))

@@ -43,9 +43,8 @@ def needs_migration(columns: list[str]) -> Column:
 
 
 def validated(records: DataFrame, fields: list[str], key: str) -> DataFrame:
-    """(key, ok, all_ok): structurally sound and without blocking privacy findings; ``all_ok`` tells whether every record of the batch is."""
-    d = R.structural_lint(records).select(key, F.col("ok").alias("_sound")).join(R.blocking(records, fields, key).select(key, "blocking"), key)
-    d = d.select(key, (F.col("_sound") & ~F.col("blocking")).alias("ok"))
+    """(key, ok, all_ok): structurally sound and without blocking privacy findings, row by row; ``all_ok`` tells whether every record of the batch is."""
+    d = R.structural_lint(R.with_blocking(records, fields)).select(key, (F.col("ok") & ~F.col("blocking")).alias("ok"))
     return d.join(F.broadcast(d.agg(F.bool_and("ok").alias("all_ok"))))
 
 
@@ -53,9 +52,8 @@ def publishable(records: DataFrame, fields: list[str], key: str, override: bool
     """``records``; reading one with a blocking finding raises, unless ``override``."""
     if override:
         return records
-    bad = R.blocking(records, fields, key).filter("blocking").select(F.col(key).alias("_bad"))
-    d = records.join(bad, F.col(key) == F.col("_bad"), "left")
-    return d.filter(F.when(F.col("_bad").isNotNull(), F.raise_error(F.concat(F.lit("blocking privacy finding: "), F.col("_bad").cast("string"))).isNull()).otherwise(True)).drop("_bad")
+    d = R.with_blocking(records, fields)
+    return d.filter(F.when(F.col("blocking"), F.raise_error(F.concat(F.lit("blocking privacy finding: "), F.coalesce(F.col(key).cast("string"), F.lit("no id")))).isNull()).otherwise(True)).drop("blocking")
 
 
 def stacks_matching(records: DataFrame, word: str) -> DataFrame:

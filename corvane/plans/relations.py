@@ -36,35 +36,57 @@ def supersedes_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return L.supersedes(_pairs(spark, sf), _titled(spark, sf), "doc_id")
 
 
-WORDS = (("ed ", "al "), ("re ", "an "), ("a", "e"))
+#: Each record ends with one side of one of the opposing pairs, the same pair in a stack.
+_SIDES = {f"{i}{side}": w for i, pair in enumerate(L.OPPOSING) for side, w in enumerate(pair)}
+ADVICE = "lower(correct || ' ' || CASE ascii(right(coalesce(stack, 'x'), 1)) % 7 || '' || doc_id % 2 " + " ".join(f"WHEN '{k}' THEN '{w}'" for k, w in _SIDES.items()) + " END)"
 
 
-@query(f"""WITH {PAIRS}, c AS (SELECT doc_id, lower(correct) AS t FROM rec), j AS (SELECT a, b, x.t AS ta, y.t AS tb FROM tp JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b),
-    k AS (SELECT a, b, CASE {' '.join(f"WHEN (contains(ta, '{u}') AND contains(tb, '{v}')) OR (contains(ta, '{v}') AND contains(tb, '{u}')) THEN {i}" for i, (u, v) in enumerate(WORDS, 1))} END AS rule FROM j) SELECT * FROM k WHERE rule IS NOT NULL""")
+def _advised(spark: SparkSession, sf: str) -> DataFrame:
+    side = F.concat((F.ascii(F.right(F.coalesce("stack", F.lit("x")), F.lit(1))) % 7).cast("string"), (F.col("doc_id") % 2).cast("string"))
+    word = F.element_at(F.create_map(*[F.lit(x) for kv in _SIDES.items() for x in kv]), side)
+    return _titled(spark, sf).withColumn("correct", F.concat("correct", F.lit(" "), word))
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT doc_id, {ADVICE} AS t FROM rec), j AS (SELECT a, b, x.t AS ta, y.t AS tb FROM tp JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b),
+    k AS (SELECT a, b, CASE {' '.join(f"WHEN (contains(ta, '{u}') AND contains(tb, '{v}')) OR (contains(ta, '{v}') AND contains(tb, '{u}')) THEN {i}" for i, (u, v) in enumerate(L.OPPOSING, 1))} END AS rule FROM j) SELECT * FROM k WHERE rule IS NOT NULL""")
 def conflicts_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The driver's prose is invented, so pairs of its syllables stand for opposing words."""
-    return L.conflicts(_pairs(spark, sf), _titled(spark, sf), "doc_id", "correct", WORDS)
+    """The driver's prose is invented, so the opposing words are put behind its texts."""
+    return L.conflicts(_pairs(spark, sf), _advised(spark, sf), "doc_id", "correct")
+
+
+#: What is put before each record's own title so that it names a prerequisite or an earlier step, and what behind it.
+NEEDS = (("You must ", " before using it. "), ("Ensure ", " is configured first. "), ("Requires: ", ". "), ("", ""))
+STEPS = (("After ", ", then go on. "), ("Once ", " is complete. "), ("following ", "; "), ("", ""))
+PHRASE = "substr(wrong, 1, 40)"
+
+
+def _phrased(shapes, phrase: str = PHRASE) -> str:
+    return "CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN '{u}' || {phrase} || '{v}'" for i, (u, v) in enumerate(shapes)) + " END || correct"
 
 
-PHRASES = ("([a-z]{4,} [a-z]{3,} [a-z]{4,})", "([A-Z][a-z]{3,} [a-z]{4,})")
+def _phrasing(spark: SparkSession, sf: str, shapes) -> DataFrame:
+    d = _titled(spark, sf)
+    said = F.concat(F.get(F.array(*[F.lit(u) for u, _ in shapes]), (F.col("doc_id") % 4).cast("int")), F.substring("wrong", 1, 40), F.get(F.array(*[F.lit(v) for _, v in shapes]), (F.col("doc_id") % 4).cast("int")))
+    return d.withColumn("correct", F.concat(said, "correct"))
 
 
-def _phrase_sql(text: str, least: float) -> str:
-    legs = " UNION ALL ".join(f"SELECT doc_id AS src, stack, {i} AS pattern, list_distinct({tok(f'regexp_extract({text}, $${p}$$, 1)', T.STOP_RELATIONS)}) AS t FROM rec" for i, p in enumerate(PHRASES, 1))
+def _phrase_sql(text: str, least: float, patterns) -> str:
+    legs = " UNION ALL ".join(f"SELECT doc_id AS src, stack, {i} AS pattern, list_distinct({tok(f'regexp_extract({text}, $${p}$$, 1)', T.STOP_RELATIONS)}) AS t FROM rec" for i, p in enumerate(patterns, 1))
     return f"""{RECORDS}, ph AS ({legs}), p AS (SELECT src, stack, pattern, len(t) AS n, unnest(t) AS token FROM ph WHERE len(t) >= 2), tt AS (SELECT doc_id AS dst, stack, unnest({TT}) AS token FROM rec),
     h AS (SELECT src, pattern, n, dst, count(*) AS o FROM p JOIN tt USING (stack, token) WHERE src <> dst GROUP BY ALL HAVING o >= 2 AND o / n >= {least}), e AS (SELECT *, row_number() OVER (PARTITION BY src, pattern ORDER BY dst) AS k FROM h)"""
 
 
-@query(f"WITH {_phrase_sql('correct', 0.45)} SELECT src, dst, pattern, {r('least(0.9, 0.5 + o / n * 0.5)')} AS confidence FROM e WHERE k = 1")
+@query(f"WITH {_phrase_sql(_phrased(NEEDS), 0.45, L.REQUIRES)} SELECT src, dst, pattern, {r('least(0.9, 0.5 + o / n * 0.5)')} AS confidence FROM e WHERE k = 1")
 def requires_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs of words stand for the phrases that name a prerequisite."""
-    d = L.phrase_edges(_titled(spark, sf), "doc_id", F.col("correct"), F.col("title"), PHRASES, 0.45)
+    """Prerequisites that the corrections name, by the first forty characters of a title."""
+    d = L.phrase_edges(_phrasing(spark, sf, NEEDS), "doc_id", F.col("correct"), F.col("title"), L.REQUIRES, 0.45)
     return d.select("src", "dst", "pattern", T.round_to(F.least(F.lit(0.9), 0.5 + F.col("overlap") / F.col("n") * 0.5), 6).alias("confidence"))
 
 
-@query(f"WITH {_phrase_sql(f'concat_ws($$ $$, {TITLE}, correct)', 0.5)} SELECT dst AS before, src AS after, pattern, 0.65::DOUBLE AS confidence FROM e WHERE k = 1")
+@query(f"WITH {_phrase_sql(f'concat_ws($$ $$, {TITLE}, {_phrased(STEPS)})', 0.5, L.PRECEDES)} SELECT dst AS before, src AS after, pattern, 0.65::DOUBLE AS confidence FROM e WHERE k = 1")
 def temporal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    d = L.phrase_edges(_titled(spark, sf), "doc_id", F.concat_ws(" ", "title", "correct"), F.col("title"), PHRASES, 0.5)
+    """Earlier steps that titles and corrections name."""
+    d = L.phrase_edges(_phrasing(spark, sf, STEPS), "doc_id", F.concat_ws(" ", "title", "correct"), F.col("title"), L.PRECEDES, 0.5)
     return d.select(F.col("dst").alias("before"), F.col("src").alias("after"), "pattern", F.lit(0.65).alias("confidence"))
 
 
