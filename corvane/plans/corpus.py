@@ -9,7 +9,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import records as R
 from ..operators import retrieval as X
-from .base import RECORDS, SEVERITY_RANK, dtok, query, r, records, table, tok
+from .base import RECORDS, SQL, SEVERITY_RANK, dtok, query, r, records, table, tok
 
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT doc_id, unnest({dtok('text')}) AS token FROM documents) GROUP BY token")

@@ -11,6 +11,7 @@ from ..operators import exports as E
 from ..operators import graphs as G
 from ..operators import records as R
 from ..operators import reports as P
+from . import relations as R_
 from .base import RECORDS, SEVERITY_RANK, query, r, records, table, tok
 
 LISTS = {"multi": T.STOP_MULTI, "relations": T.STOP_RELATIONS, "cluster": T.STOP_CLUSTER, "compact": T.STOP_COMPACT, "project": T.STOP_PROJECT}
@@ -211,12 +212,10 @@ def migration_needed(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", P.needs_migration(d.columns).alias("needs"))
 
 
-@query(f"""WITH {RECORDS}, t AS (SELECT DISTINCT doc_id, stack, unnest(tags) AS tag FROM rec), p AS (SELECT a.stack, a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM t a JOIN t b ON a.stack = b.stack AND a.tag = b.tag AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) >= 3),
-    m AS (SELECT stack, a AS m FROM p UNION ALL SELECT stack, b FROM p) SELECT stack, count(DISTINCT m) AS members FROM m GROUP BY stack HAVING count(DISTINCT m) > 5""")
+@query(f"""WITH {R_.PAIRS}, p AS (SELECT stack, a, b FROM tp JOIN rec ON doc_id = a WHERE s > 0.6), m AS (SELECT stack, a AS m FROM p UNION ALL SELECT stack, b FROM p) SELECT stack, count(DISTINCT m) AS members FROM m GROUP BY stack HAVING count(DISTINCT m) > 5""")
 def saturated_stacks(spark: SparkSession, sf: str) -> DataFrame:
-    from .search import shared_tag_pairs
-
-    p = shared_tag_pairs(spark, sf).join(records(spark, sf).select(F.col("doc_id").alias("a"), "stack"), "a")
+    """Stacks with more than five records whose titles have a similarity above 0.6 to another."""
+    p = R_._pairs(spark, sf).filter("similarity > 0.6").join(records(spark, sf).select(F.col("doc_id").alias("a"), "stack"), "a")
     return P.saturated(p.select("stack", "a", "b"))
 
 
@@ -226,18 +225,18 @@ def concentration_holds(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("stack", "domain", (F.col("n") / F.sum("n").over(Window.partitionBy("stack")) > 0.2).alias("hold"))
 
 
-@query("""SELECT user_id, NOT (max(ts) > (SELECT max(ts) FROM events) - INTERVAL 3 DAY) AS stale FROM events GROUP BY user_id""")
+@query("""SELECT o_custkey, NOT (max(o_orderdate)::TIMESTAMP > (SELECT max(o_orderdate) FROM orders)::TIMESTAMP - INTERVAL 6 MONTH) AS stale FROM orders GROUP BY o_custkey""")
 def unconfirmed(spark: SparkSession, sf: str) -> DataFrame:
-    """Users without an event for three days stand for records that nobody confirmed lately."""
-    e = table(spark, sf, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    return e.groupBy("user_id").agg(F.max("ts").alias("seen")).join(F.broadcast(last)).select("user_id", (~(F.col("seen") > F.col("last") - F.expr("interval 3 days"))).alias("stale"))
+    """Customers without an order for six months stand for records that nobody confirmed lately."""
+    o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("timestamp").alias("at"))
+    last = o.agg(F.max("at").alias("last"))
+    return o.groupBy("o_custkey").agg(F.max("at").alias("seen")).join(F.broadcast(last)).select("o_custkey", (~(F.col("seen") > F.col("last") - F.expr("interval 6 months"))).alias("stale"))
 
 
-@query(f"""SELECT user_id, {r("ln(1 + count(*) / 20.0)")} AS weight, {r("2 * avg(value)")} AS fixation, count(*) < 10 AS few FROM events GROUP BY user_id""")
+@query(f"""SELECT user_id, {r("ln(1 + count(*) / 20.0)")} AS weight, {r("2 * avg(value)")} AS fixation, 2 * avg(value) > 0.5 AS ready, count(*) < 10 AS few FROM events GROUP BY user_id""")
 def update_weights(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count(F.lit(1))
-    return table(spark, sf, "events").groupBy("user_id").agg(T.round_to(F.log1p(n / 20.0), 6).alias("weight"), T.round_to(2 * F.avg("value"), 6).alias("fixation"), (n < 10).alias("few"))
+    return table(spark, sf, "events").groupBy("user_id").agg(T.round_to(F.log1p(n / 20.0), 6).alias("weight"), T.round_to(2 * F.avg("value"), 6).alias("fixation"), (2 * F.avg("value") > 0.5).alias("ready"), (n < 10).alias("few"))
 
 
 @query("""WITH x AS (SELECT o_orderkey, ['LABEL_0', 'LABEL_1', 'other'] AS n, (o_orderkey % 97) / 97.0::DOUBLE AS s, o_orderkey % 3 AS k FROM orders) SELECT o_orderkey, floor(CASE k WHEN 1 THEN s WHEN 0 THEN 1 - s ELSE s END * 1e6 + 0.5) / 1e6 AS score FROM x""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import briefs, corpus, details, files, networks, relations, search, sessions  # noqa: F401  they register their queries
+from . import briefs, corpus, details, files, networks, relations, search, sessions, tools  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 

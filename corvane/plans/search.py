@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import graphs as G
 from ..operators import retrieval as X
-from .base import RECORDS, dtok, query, r, records, table, tok
+from .base import RECORDS, SQL, dtok, query, r, records, table, tok
 
 LOOKUP = f"""{RECORDS}, q AS (SELECT item_id AS query_id, unnest({dtok('text')}) AS token FROM benchmark),
     dt AS (SELECT doc_id, unnest({dtok('text')}) AS token FROM documents), tg AS (SELECT DISTINCT doc_id, unnest(tags) AS token FROM rec),
@@ -132,11 +132,12 @@ def edge_max_conf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {EDGES}, u AS (SELECT src AS a, dst AS b FROM p WHERE src < dst), v AS (SELECT a AS x FROM u UNION SELECT b FROM u)
-    SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM u) AS edges, (SELECT count(*) FROM v) - (SELECT count(*) FROM u) AS euler, greatest(0, (SELECT count(*) FROM u) - (SELECT count(*) FROM v) + 1) AS b1""")
+    SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(*) FROM u) AS edges, (SELECT count(*) FROM v) - (SELECT count(*) FROM u) AS euler, {r("2 * (SELECT count(*) FROM u) / greatest(1, (SELECT count(*) FROM v) * ((SELECT count(*) FROM v) - 1))")} AS density, greatest(0, (SELECT count(*) FROM u) - (SELECT count(*) FROM v) + 1) AS b1""")
 def euler(spark: SparkSession, sf: str) -> DataFrame:
     e = shared_tag_pairs(spark, sf).select("a", "b")
     d = G.degrees(e).agg(F.count(F.lit(1)).alias("nodes"), (F.coalesce(F.sum("degree"), F.lit(0)) / 2).cast("bigint").alias("edges"))
-    return d.select("nodes", "edges", (F.col("nodes") - F.col("edges")).alias("euler"), F.greatest(F.lit(0), F.col("edges") - F.col("nodes") + 1).alias("b1"))
+    density = T.round_to(2 * F.col("edges") / F.greatest(F.lit(1), F.col("nodes") * (F.col("nodes") - 1)), 6)
+    return d.select("nodes", "edges", (F.col("nodes") - F.col("edges")).alias("euler"), density.alias("density"), F.greatest(F.lit(0), F.col("edges") - F.col("nodes") + 1).alias("b1"))
 
 
 @query(f"""WITH {EDGES}, u AS (SELECT src AS a, dst AS b FROM p WHERE src < dst) SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b""")

@@ -101,11 +101,11 @@ def laplace_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("injections"), good.alias("clean_after"), T.round_to(S.laplace(good, F.count(F.lit(1))), 6).alias("confidence"))
 
 
-@query(f"""WITH p AS (SELECT user_id, (sum((event_type = 'purchase')::INT) + 1) / (count(*) + 2) AS p FROM events GROUP BY user_id) SELECT count(*) AS n, {r("-avg(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)")} AS entropy FROM p WHERE p > 0.001 AND p < 0.999""")
+@query(f"""WITH p AS (SELECT user_id, (sum((event_type = 'purchase')::INT) + 1) / (count(*) + 2) AS p FROM events GROUP BY user_id) SELECT count(*) AS n, {r("-avg(p * ln(p) + (1 - p) * ln(1 - p)) / ln(2)")} AS entropy FROM p WHERE p > 0.001 AND p < 0.999 HAVING count(*) >= 15""")
 def bernoulli_entropy(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "events").groupBy("user_id").agg(S.laplace(F.count_if(F.col("event_type") == "purchase"), F.count(F.lit(1))).alias("p")).filter("p > 0.001 and p < 0.999")
     h = F.col("p") * F.log("p") + (1 - F.col("p")) * F.log1p(-F.col("p"))
-    return p.agg(F.count(F.lit(1)).alias("n"), T.round_to(-F.avg(h) / F.log(F.lit(2.0)), 6).alias("entropy"))
+    return p.agg(F.count(F.lit(1)).alias("n"), T.round_to(-F.avg(h) / F.log(F.lit(2.0)), 6).alias("entropy")).filter("n >= 15")
 
 
 @query(f"""WITH c AS (SELECT user_id % 10 AS g, event_type, count(*)::DOUBLE AS n FROM events GROUP BY ALL), t AS (SELECT event_type, sum(n) / (SELECT sum(n) FROM c) AS q FROM c GROUP BY event_type), s AS (SELECT g, event_type, n / sum(n) OVER (PARTITION BY g) AS p FROM c)
