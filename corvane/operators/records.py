@@ -188,6 +188,18 @@ def enriched(records: DataFrame) -> DataFrame:
     return d.withColumn("summary", F.coalesce(old("summary"), F.concat(F.col("title"), F.lit(": "), F.substring(F.substring_index("symptom", ".", 1), 1, 100))))
 
 
+def training_pairs(records: DataFrame, key: str = "id") -> DataFrame:
+    """(key, kind, left, right): what a record says of itself in two ways, for models of similarity: symptom and wrong section, symptom and title (200 characters), tags and symptom.
+
+    Records without a symptom give none, and a side that is null or empty gives no pair.
+    """
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("left"), b.alias("right"))
+    symptom, title = F.col("symptom"), F.substring("title", 1, 200)
+    pairs = F.array(pair("wrong", symptom, F.col("wrong")), pair("title", symptom, title), pair("tags", F.array_join("tags", " "), symptom))
+    d = records.filter("symptom <> ''").select(key, F.explode(F.filter(pairs, lambda p: (p["left"] != "") & (p["right"] != ""))).alias("p"))
+    return d.select(key, "p.*")
+
+
 def reusable(current: DataFrame, built: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """(rows of ``built`` that still hold, rows of ``current`` to build): equal key, content hash and model."""
     on = [key, "hash", "model_id"]

@@ -102,6 +102,19 @@ def synonym_novel(query_tokens: DataFrame, postings: DataFrame, synonyms: DataFr
     return X.top(s, [query], ["_place", "token"], most, "place").select(query, "token", "place")
 
 
+def expanded(query_tokens: DataFrame, doc_tokens: DataFrame, edges: DataFrame, n: int | Column, postings: DataFrame, synonyms: DataFrame, query: str, doc: str, most: int = 12) -> DataFrame:
+    """(query, token, place, origin): at most ``most`` new tokens of each query, half of them from the graph (``graph_novel``), then half from synonyms (``synonym_novel``).
+
+    Half is rounded up. Synonyms are looked for behind the query's own tokens and those that the graph gave, in this order, and both have a vote in the query's likely stack. ``query_tokens`` is (query, token, at).
+    """
+    half = -(-most // 2)
+    graph = graph_novel(query_tokens.select(query, "token"), doc_tokens, edges, n, query, doc, half)
+    last = query_tokens.groupBy(query).agg(F.max("at").alias("_last"))
+    both = query_tokens.select(query, "token", "at").unionAll(graph.join(last, query).select(query, "token", (F.col("_last") + F.col("place")).alias("at")))
+    found = synonym_novel(both, postings, synonyms, query, half)
+    return graph.withColumn("origin", F.lit("graph")).unionAll(found.withColumn("origin", F.lit("synonym")))
+
+
 def systematic(records: DataFrame, group: str, order: str, samples: int) -> DataFrame:
     """Every floor(n / samples)-th record of a group, at most ``samples``; all, if there are no more."""
     w = Window.partitionBy(group)

@@ -268,3 +268,11 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     """Compact projections of records, the most severe of each stack first."""
     place = F.row_number().over(Window.partitionBy("stack").orderBy(S.by_severity(F.col("blast_radius"), S.SEVERITY_RANK), "id"))
     return records(spark, sf).select("id", F.substring("symptom", 1, 200).alias("symptom"), F.substring("wrong", 1, 200).alias("wrong"), F.substring("correct", 1, 150).alias("correct"), F.array_join(F.slice("tags", 1, 6), ",").alias("tags"), place.alias("place"))
+
+
+@query(f"""WITH {RECORDS}, p AS (SELECT doc_id, symptom, wrong, 'Title ' || id AS title, array_to_string(tags, ' ') AS tags FROM rec WHERE symptom <> '') SELECT doc_id, 'wrong' AS kind, md5(symptom) AS "left", md5(wrong) AS "right" FROM p WHERE wrong <> ''
+    UNION ALL SELECT doc_id, 'title', md5(symptom), md5(title) FROM p UNION ALL SELECT doc_id, 'tags', md5(tags), md5(symptom) FROM p WHERE tags <> ''""")
+def record_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The three pairs of each record that train a similarity model."""
+    d = R.training_pairs(records(spark, sf).withColumn("title", F.concat(F.lit("Title "), "id")), "doc_id")
+    return d.select("doc_id", "kind", F.md5(F.col("left").cast("binary")).alias("left"), F.md5(F.col("right").cast("binary")).alias("right"))

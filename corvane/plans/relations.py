@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import relations as L
 from ..operators import retrieval as X
 from . import search as Q
-from .base import RECORDS, dtok, query, r, records, table, tok
+from .base import RECORDS, SQL, dtok, query, r, records, table, tok
 
 TITLE = "substr(wrong, 1, 60)"
 TT = f"list_distinct({tok(TITLE, T.STOP_RELATIONS)})"
@@ -157,6 +157,20 @@ def synonym_novel_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return L.synonym_novel(q, postings, Q.pmi_synonyms(spark, sf), "query_id")
 
 
+@query(f"""WITH g AS MATERIALIZED ({SQL['graph_novel_tokens']}), syn AS MATERIALIZED (WITH {Q.PMI} SELECT * FROM syn), t AS MATERIALIZED (WITH {Q.PMI} SELECT stack, token FROM t), ql AS (SELECT item_id AS query_id, {tok('text')} AS l FROM benchmark),
+    q0 AS (SELECT query_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM ql), q AS (SELECT query_id, token, min(pos) AS pos FROM q0 GROUP BY ALL UNION ALL SELECT query_id, token, 1000000 + place FROM g),
+    v AS (SELECT query_id, stack, count(*) AS c FROM q JOIN t USING (token) GROUP BY ALL), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, stack) AS n FROM v) WHERE n = 1),
+    w AS (SELECT query_id, synonym AS token, min(pos * 100 + syn.rank) AS place FROM q JOIN k USING (query_id) JOIN syn ON syn.stack = k.stack AND syn.term = q.token WHERE NOT EXISTS (SELECT 1 FROM q x WHERE x.query_id = k.query_id AND x.token = synonym) GROUP BY ALL)
+    SELECT query_id, token, place, 'graph' AS origin FROM g UNION ALL SELECT query_id, token, place, 'synonym' FROM (SELECT query_id, token, row_number() OVER (PARTITION BY query_id ORDER BY place, token)::INT AS place FROM w) WHERE place <= 6""")
+def expanded_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Both expansions under one budget of twelve tokens, half each."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.tokens(F.col("text"))).alias("at", "token")).groupBy("query_id", "token").agg((F.min("at") + 1).alias("at"))
+    rec = records(spark, sf)
+    st = rec.select("doc_id", F.posexplode(T.tokens(F.col("symptom"))).alias("at", "token")).groupBy("doc_id", "token").agg((F.min("at") + 1).alias("at"))
+    postings = X.doc_tokens(rec, "doc_id", "wrong", "symptom", keep=("stack",)).select("token", "stack")
+    return L.expanded(q, st, Q.tag_edges(spark, sf), F.lit(rec.count()), postings, Q.pmi_synonyms(spark, sf), "query_id", "doc_id")
+
+
 @query(f"""WITH {Q.LOOKUP}, hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0.05) WHERE rank = 1), ql AS (SELECT item_id AS query_id, {tok('text')} AS l FROM benchmark),
     x AS (SELECT query_id, list_filter({tok('symptom')}, lambda t: NOT list_contains(l, t))[1:6] AS y FROM hits JOIN ql USING (query_id) JOIN rec USING (doc_id)) SELECT query_id, array_to_string(y, ' ') AS alternative, 0.6::DOUBLE AS weight FROM x WHERE len(y) >= 3""")
 def symptom_alternatives(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,6 +47,11 @@ def read_sessions(spark: SparkSession, path: str, last: DataFrame | None = None)
     return d.withColumn("session_id", F.coalesce("session_id", "generated_at")).drop("injected_ids", "generated_at")
 
 
+def in_order(sessions: DataFrame) -> DataFrame:
+    """Sessions by ``recorded_at``, those without it first, ties by id; a total order, for results that are shown."""
+    return sessions.orderBy("recorded_at", "session_id")
+
+
 def read_text_directory(spark: SparkSession, path: str, glob: str = "*.{md,txt}") -> DataFrame:
     """(path, name, text) of all matching files."""
     d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
@@ -102,6 +107,48 @@ def stack_listing(records: DataFrame, key: str = "id", most: int = 5) -> DataFra
     return n.join(t, "stack", "left").withColumn("tags", F.coalesce("tags", F.expr("cast(array() as array<string>)")))
 
 
+def _entries(spark: SparkSession, path: str, kind: str, field: str | None = None) -> DataFrame:
+    """(name, value) of the JSON object in a file, or of its ``field``; names that begin with an underscore are remarks. A value of another kind is null; a file that isn't there, or is no object, has none."""
+    try:
+        d = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"name string, value {kind}")
+    whole = F.col("value") if field is None else F.get_json_object("value", f"$.{field}")
+    raw = F.map_entries(F.from_json(F.when(F.try_parse_json(whole).isNotNull() & F.ltrim(whole).startswith("{"), whole), "map<string,string>"))
+    value = F.col("e.value") if kind == "string" else F.from_json("e.value", kind)
+    return d.select(F.explode(raw).alias("e")).filter(~F.col("e.key").startswith("_")).select(F.col("e.key").alias("name"), value.alias("value"))
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(name, label, active_facets, active_domains) of the profiles in a file; a list that is missing is empty and lets everything pass (``records.in_profile``)."""
+    d = _entries(spark, path, "struct<label:string,active_facets:array<string>,active_domains:array<string>>")
+    none = F.expr("cast(array() as array<string>)")
+    return d.filter("value is not null").select("name", F.coalesce("value.label", "name").alias("label"), F.coalesce("value.active_facets", none).alias("active_facets"), F.coalesce("value.active_domains", none).alias("active_domains"))
+
+
+def read_allowed_hosts(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, hosts) of a file that lists each domain's trusted hosts; a domain without any has 0, which ``records.injectable`` tells from one that isn't registered."""
+    d = _entries(spark, path, "array<string>", "domains")
+    return d.select(F.col("name").alias("domain"), F.coalesce("value", F.expr("cast(array() as array<string>)")).alias("hosts"))
+
+
+def read_stack_versions(spark: SparkSession, config: str, versions: str) -> DataFrame:
+    """(stack, volatile, version, checked_at) of the stacks in a file of settings, with the versions that another file knows, as ``records.stale`` takes them."""
+    c = _entries(spark, config, "struct<volatile:boolean>").select(F.col("name").alias("stack"), F.coalesce("value.volatile", F.lit(False)).alias("volatile"))
+    v = _entries(spark, versions, "string")
+    field = lambda x: F.get_json_object("value", f"$.{x}")
+    v = v.select(F.col("name").alias("stack"), F.coalesce(field("version"), F.when(~F.col("value").startswith("{"), F.col("value"))).alias("version"), field("checked_at").cast("timestamp").alias("checked_at"))
+    return c.join(v, "stack", "left")
+
+
+def read_wanted_maintainers(spark: SparkSession, path: str) -> DataFrame:
+    """(stack, note) of the stacks that look for a maintainer."""
+    d = spark.read.schema("stacks array<struct<stack:string,note:string>>").option("multiLine", True).json(path)
+    return d.select(F.explode("stacks").alias("s")).select("s.*").filter("stack is not null")
+
+
 def jar_skips(spark: SparkSession, root: str, version: int) -> DataFrame:
     """(jar, skip): why each federated library under ``root``/{owner}__{repo} is left out, or null if it is read: no JSON, a field that is missing or wrong, or another version."""
     m = spark.read.option("wholetext", True).text(f"{root}/*/*manifest*.json").select(F.regexp_extract(F.input_file_name(), r"([^/]+__[^/]+)/[^/]+$", 1).alias("_jar"), F.col("value").alias("_v"))

@@ -187,3 +187,27 @@ def test_idle_keys_begin_anew(spark, tmp_path):
         run(phases.held_phases(stream(), "key", "ts", "seq", F.col("ratio"), idle_ms=3_600_000), tmp_path, "out")
     got = {x.seq: x.active for x in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_settings_files(spark, tmp_path):
+    import json
+
+    from corvane.sources import readers
+
+    put = lambda name, x: (tmp_path / name).write_text(x if isinstance(x, str) else json.dumps(x, indent=2))
+    put("profiles.json", {"_note": "x", "all": {"label": "All", "active_facets": [], "active_domains": []}, "web": {"active_facets": ["coding"], "active_domains": ["web", "css"], "extra": 1}, "odd": "text"})
+    got = {r.name: (r.label, r.active_facets, r.active_domains) for r in readers.read_profiles(spark, str(tmp_path / "profiles.json")).collect()}
+    assert got["all"] == ("All", [], []) and got["web"] == ("web", ["coding"], ["web", "css"]) and "_note" not in got
+    put("hosts.json", {"schema_version": "1", "domains": {"code": ["docs.a.org", "b.org"], "law": [], "_x": ["y"]}})
+    assert {r.domain: r.hosts for r in readers.read_allowed_hosts(spark, str(tmp_path / "hosts.json")).collect()} == {"code": ["docs.a.org", "b.org"], "law": []}
+    put("stacks.json", {"_c": "x", "react": {"volatile": True}, "sql": {"volatile": False}, "go": {}})
+    put("versions.json", {"react": {"version": "19.1", "checked_at": "2026-01-02T00:00:00"}, "sql": "16"})
+    got = {r.stack: (r.volatile, r.version, str(r.checked_at)) for r in readers.read_stack_versions(spark, str(tmp_path / "stacks.json"), str(tmp_path / "versions.json")).collect()}
+    assert got == {"react": (True, "19.1", "2026-01-02 00:00:00"), "sql": (False, "16", "None"), "go": (False, None, "None")}
+    put("wanted.json", {"_comment": "x", "stacks": [{"stack": "go", "note": "n"}, {"note": "no stack"}]})
+    assert [tuple(r) for r in readers.read_wanted_maintainers(spark, str(tmp_path / "wanted.json")).collect()] == [("go", "n")]
+    put("broken.json", "{oops")
+    assert readers.read_profiles(spark, str(tmp_path / "broken.json")).count() == 0 and readers.read_profiles(spark, str(tmp_path / "none.json")).count() == 0
+    put("sessions.json", [{"session_id": "b", "recorded_at": "2026-01-02", "injected": ["x"]}, {"session_id": "a", "recorded_at": "2026-01-01", "injected_ids": ["y"]}, {"session_id": "c", "recorded_at": "2026-01-03"}])
+    d = readers.in_order(readers.read_sessions(spark, str(tmp_path / "sessions.json"))).collect()
+    assert [(r.session_id, r.injected) for r in d] == [("a", ["y"]), ("b", ["x"])]
