@@ -46,16 +46,6 @@ def top(df: DataFrame, group: list[str], order: list, limit: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= limit)
 
 
-def jaccard_pairs(pairs: DataFrame, key: str, block: str | None = None, least_shared: int = 1, least: float = 0.0) -> DataFrame:
-    """(a, b, shared, similarity) of ids a < b that share tokens, within blocks if ``block`` is given. ``pairs`` has (key, [block], token), distinct."""
-    sized = pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
-    a = sized.select(F.col(key).alias("a"), F.col("n").alias("n_a"), "token", *([F.col(block).alias("block")] if block else []))
-    b = sized.select(F.col(key).alias("b"), F.col("n").alias("n_b"), "token", *([F.col(block).alias("block")] if block else []))
-    both = a.join(b, ["token", "block"] if block else ["token"]).filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
-    similarity = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-    return both.withColumn("similarity", similarity).filter((F.col("shared") >= least_shared) & (F.col("similarity") >= least)).select("a", "b", "shared", "similarity")
-
-
 def pairs_sharing(records: DataFrame, key: str, least: int, block: str | None = None, tags: str = "tags") -> DataFrame:
     """(a, b, shared) of ids a < b that share at least ``least`` tags, within blocks if ``block`` is given.
 
