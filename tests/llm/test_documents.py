@@ -517,4 +517,4 @@ def test_an_index_in_memory_is_little_larger_than_its_matrices(monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.SQL) <= set(queries.QUERIES)
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] and set(queries.SQL) <= set(queries.QUERIES)
