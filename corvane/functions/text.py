@@ -26,14 +26,20 @@ STOP_KEYWORDS = "when then that this from with into".split()
 
 def tokens(text: Column, stop: Sequence[str] = STOP_BASE, keep: str = "", longer_than: int = 2) -> Column:
     """Lower-cased runs of ``[a-z0-9]`` (and ``keep``) longer than ``longer_than`` that aren't stop words, in order, with repeats; null text gives none."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"[^a-z0-9\s{keep}]", " "), r"\s+")
-    return F.filter(parts, lambda t: (F.length(t) > longer_than) & ~t.isin(*stop) if stop else F.length(t) > longer_than)
+    runs = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"[a-z0-9{keep}]{{{longer_than + 1},}}"), F.lit(0))
+    return F.filter(runs, lambda t: ~t.isin(*stop)) if stop else runs
 
 
 def distinct_tokens(text: Column, stop: Sequence[str] = STOP_BASE) -> Column:
     return F.array_distinct(tokens(text, stop))
 
 
+def first_tokens(text: Column, most: int, stop: Sequence[str] = STOP_BASE, prefix: int = 400) -> Column:
+    """The first ``most`` distinct tokens. Where the first ``prefix`` characters, without a run that may go on behind them, have as many, the rest isn't tokenised."""
+    head = distinct_tokens(F.regexp_replace(F.lower(F.substring(text, 1, prefix)), "[a-z0-9]+$", ""), stop)
+    return F.when(F.size(head) >= most, F.slice(head, 1, most)).otherwise(F.slice(distinct_tokens(text, stop), 1, most))
+
+
 def stability_tokens(text: Column) -> Column:
     """Without stop words, three characters or more, first occurrences in order."""
     return F.array_distinct(tokens(text, ()))

@@ -65,7 +65,11 @@ def spherical_kmeans(vectors: DataFrame, key: str, seeds: Sequence[Sequence[floa
 def tag_graph(records: DataFrame, key: str, edges: DataFrame | None = None) -> DataFrame:
     """(a, b) with a < b: records that share two tags or more, or are joined by an edge (src, dst)."""
     both = pairs_sharing(records, key, 2).select("a", "b")
-    return both if edges is None else undirected(both.union(edges.select("src", "dst")))
+    if edges is None:
+        return both
+    own = records.select(F.col(key).alias("_id"), F.array_distinct("tags").alias("_t"))  # pairs are told apart already: only edges between records without two common tags are new
+    e = undirected(edges, "src", "dst").join(own.toDF("a", "_x"), "a", "left").join(own.toDF("b", "_y"), "b", "left")
+    return both.union(e.filter(F.coalesce(F.size(F.array_compact(F.array_intersect("_x", "_y"))) < 2, F.lit(True))).select("a", "b").distinct())
 
 
 def merge_tiny(members: DataFrame, key: str, least: int = 4) -> DataFrame:

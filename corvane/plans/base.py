@@ -44,7 +44,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.substring("text", F.lit(1), third).alias("wrong"),
         F.substring("text", third + 1, third).alias("correct"),
         F.substring("text", 2 * third + 1, third).alias("symptom"),
-        F.slice(T.distinct_tokens(F.col("text")), 1, 5).alias("tags"),
+        T.first_tokens(F.col("text"), 5).alias("tags"),
         F.when(F.col("quality") == 1, 0.9).when(F.col("quality") == 0, 0.4).alias("confidence"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("deprecated"),
         "quality",
