@@ -157,7 +157,7 @@ def grazed_records(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {Q.EDGES}, s AS (SELECT (SELECT count(quality) FROM rec) AS tracked, (SELECT count(DISTINCT src) FROM p) AS nodes, (SELECT count(*) FROM p) AS edges) SELECT unnest(['distribution', 'entropy', 'graph']) AS tier, unnest([tracked >= 5, tracked >= 15, nodes >= 20 AND edges >= 30]) AS ready FROM s""")
 def readiness(spark: SparkSession, sf: str) -> DataFrame:
-    e = Q.tag_edges(spark, sf).agg(F.count_distinct("src").alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    e = Q.tag_degrees(spark, sf).agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"))
     return B.readiness(records(spark, sf).agg(F.count("quality").alias("tracked")).join(F.broadcast(e)))
 
 
