@@ -1,5 +1,6 @@
 """Pairs by classes of equal sets, against brute force and by what they shuffle."""
 
+import math
 import random
 
 import pytest
@@ -68,3 +69,23 @@ def test_tokens_are_runs_of_letters_and_digits(spark):
     parts = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("t", F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: (F.length(x) > 2) & ~x.isin(*T.STOP_BASE))
     for r in d.select(T.tokens(F.col("t")).alias("x"), parts.alias("y")).collect():
         assert r.x == r.y
+
+
+@pytest.mark.parametrize("postings", [10, 500_000])
+def test_synonyms_do_not_shuffle_pairs(spark, postings):
+    """By block of term ranges as by brute force, with ties of names that are alike for seven bytes."""
+    rng = random.Random(4)
+    sets = [{f"{rng.choice(['same-prefix', 'w'])}{rng.randrange(60)}" for _ in range(25)} for _ in range(60)]
+    d = spark.createDataFrame([("s", i, t) for i, x in enumerate(sets) for t in x], "stack string, doc long, token string")
+    none = d.limit(0)
+    before = shuffled(spark)
+    got = {(r.term, r.synonym, r["rank"]) for r in X.synonyms(d, "stack", "doc", least_pmi=0.1, postings=postings).collect()}
+    rows = sum(v for k, v in shuffled(spark).items() if k not in before)
+    df = {t: sum(t in x for x in sets) for x in sets for t in x}
+    want = set()
+    for a in df:
+        near = [(-math.floor(math.log(k * 60 / (df[a] * df[b])) * 1e6 + 0.5), b) for b in df if b != a and df[a] > 1 and df[b] > 1 for k in [sum(a in x and b in x for x in sets)] if k > 1]
+        want |= {(a, b, k) for k, (p, b) in enumerate(sorted(x for x in near if x[0] <= -100_000)[:5], 1)}
+    assert want and got == want
+    assert postings == 10 or rows < 12_000  # 60 documents have some 14,000 pairs
+    assert X.synonyms(none, "stack", "doc").count() == 0
