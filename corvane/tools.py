@@ -17,6 +17,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 from .functions import text as T
 from .operators import records as R
 from .operators import retrieval as X
+from .sources.scratch import saved
 
 TEXTS = ("wrong", "correct", "symptom")
 #: A capture that shares this much of its tokens with a record is likely its duplicate.
@@ -100,11 +101,12 @@ def nearest_known(new: DataFrame, known: DataFrame, least: float = DUPLICATE, bl
     ``key`` tells the rows of ``new`` apart. Equal token sets of a side are joined as one, so copies on both sides don't square up.
     """
     cols = [block] if block else []
-    tokens = F.array_sort(T.distinct_tokens(F.concat_ws(" ", *TEXTS)))
-    side = lambda d, s, k: d.select(k, *(["id"] if k != "id" else []), *[F.coalesce(c, F.lit("")).alias(c) for c in cols], F.lit(s).alias("_side"), tokens.alias("_t")).withColumn("_k", F.concat_ws("/", "_side", F.sha2(F.concat_ws(" ", "_t"), 256), *cols))
+    tokens = F.array_sort(F.transform(T.distinct_tokens(F.concat_ws(" ", *TEXTS)), lambda t: F.xxhash64(t)))
+    side = lambda d, s, k: d.select(k, *(["id"] if k != "id" else []), *[F.coalesce(c, F.lit("")).alias(c) for c in cols], F.lit(s).alias("_side"), tokens.alias("_t")).withColumn("_k", F.concat_ws("/", "_side", F.sha2(F.array_join(F.col("_t").cast("array<string>"), " "), 256), *cols))
     fresh, old = side(new, "new", key), side(known, "known", "id")
+    fresh, old = saved(fresh), saved(old)
     sets = fresh.select("_k", "_side", *cols, "_t").unionByName(old.select("_k", "_side", *cols, "_t")).dropDuplicates(["_k"])
-    pairs = X.similar_pairs(X.ordered_sets(sets.select("_k", "_side", *cols, F.explode("_t").alias("token")), "_k", "_side", *cols), "_k", least, block, "_side")
+    pairs = X.similar_pairs(sets.withColumnRenamed("_t", "tokens"), "_k", least, block, "_side")
     is_new = F.col("a").startswith("new/")
     pairs = pairs.select(F.when(is_new, F.col("a")).otherwise(F.col("b")).alias("_k"), F.when(is_new, F.col("b")).otherwise(F.col("a")).alias("_o"), "similarity")
     # the two smallest ids of a class of known records, so that a record isn't its own duplicate
