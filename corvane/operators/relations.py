@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,10 +30,20 @@ def titles(records: DataFrame, key: str, title: Column, *keep: str) -> DataFrame
 
 def title_pairs(records: DataFrame, key: str, title: Column, least: float = 0.3) -> DataFrame:
     """(a, b, shared, similarity) of records of one stack with similar titles."""
-    return X.similar_pairs(X.ordered_sets(titles(records, key, title, "stack"), key, "stack"), key, least, "stack")
+    c = title_classes(records, key, title)
+    return X.members_paired(X.alike_classes(c, least, "stack"), c, "shared", "similarity")
+
+
+def title_classes(records: DataFrame, key: str, title: Column, carry: Sequence[str] = ()) -> DataFrame:
+    """``retrieval.classes_of`` the records of a stack by the tokens of their titles; titles without tokens are left out."""
+    sets = X.token_sets(records, key, title, "stack", *carry, tokenizer=lambda t: T.tokens(t, T.STOP_RELATIONS)).filter(F.size("tokens") > 0)
+    return X.classes_of(sets, key, F.col("tokens"), "stack", carry)
 
 
 def _sides(pairs: DataFrame, records: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``pairs`` with the columns of both records, unless the pairs have them."""
+    if all(f"{c}_{x}" in pairs.columns for c in columns for x in "ab"):
+        return pairs
     side = lambda x: records.select(F.col(key).alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -48,21 +58,44 @@ def supersedes(pairs: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return d.select(F.explode(F.array_compact(F.array(flags, versions))).alias("e")).select("e.*")
 
 
+def opposing_sides(content: Column, opposing: Sequence[tuple[str, str]] = OPPOSING) -> Column:
+    """Which sides of the opposing pairs a text holds, two bits for each pair."""
+    low = F.lower(content)
+    return sum((F.coalesce(F.contains(low, F.lit(w)), F.lit(False)).cast("bigint") * (1 << (2 * i + k)) for i, pair in enumerate(opposing) for k, w in enumerate(pair)), F.lit(0).cast("bigint"))
+
+
 def conflicts(pairs: DataFrame, records: DataFrame, key: str, content: str, opposing: Sequence[tuple[str, str]] = OPPOSING) -> DataFrame:
     """(a, b, rule): similar titles whose contents hold the two sides of an opposing pair; ``rule`` is the first such pair, from 1."""
-    d = _sides(pairs, records.withColumn("_low", F.lower(content)), key, "_low")
-    has = lambda x, w: F.contains(f"_low_{x}", F.lit(w))
-    rule = F.coalesce(*[F.when((has("a", u) & has("b", v)) | (has("a", v) & has("b", u)), i) for i, (u, v) in enumerate(opposing, 1)])
+    d = _sides(pairs, records.withColumn("sides", opposing_sides(F.col(content), opposing)), key, "sides")
+    has = lambda x, bit: F.col(f"sides_{x}").bitwiseAND(1 << bit) != 0
+    rule = F.coalesce(*[F.when((has("a", 2 * i) & has("b", 2 * i + 1)) | (has("a", 2 * i + 1) & has("b", 2 * i)), i + 1) for i in range(len(opposing))])
     return d.select("a", "b", rule.alias("rule")).filter("rule is not null")
 
 
-def phrase_edges(records: DataFrame, key: str, text: Column, title: Column, patterns: Sequence[str], least: float) -> DataFrame:
-    """(src, dst, pattern, overlap, n): for each pattern's first phrase in a record, the first other record of the stack whose title has at least two, and ``least``, of its tokens."""
-    found = F.array(*[F.struct(F.lit(i).alias("pattern"), F.array_distinct(T.tokens(F.regexp_extract(text, p, 1), T.STOP_RELATIONS)).alias("tokens")) for i, p in enumerate(patterns, 1)])
-    p = records.select(F.col(key).alias("src"), "stack", F.explode(found).alias("p")).select("src", "stack", "p.pattern", F.size("p.tokens").alias("n"), F.explode("p.tokens").alias("token")).filter("n >= 2")
-    hits = p.join(titles(records.withColumnRenamed(key, "dst"), "dst", title, "stack"), ["stack", "token"]).filter("src <> dst").groupBy("src", "pattern", "n", "dst").agg(F.count(F.lit(1)).alias("overlap"))
-    hits = hits.filter((F.col("overlap") >= 2) & (F.col("overlap") / F.col("n") >= least))
-    best = hits.groupBy("src", "pattern").agg(F.min(F.struct("dst", "overlap", "n")).alias("e"))
+def phrase_edges(records: DataFrame, key: str, text: Column, title: Column, patterns: Sequence[str], least: float, save: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """(src, dst, pattern, overlap, n): for each pattern's first phrase in a record, the first other record of the stack whose title has at least two, and ``least``, of its tokens.
+
+    Equal phrases of a stack are one, as are equal titles, and a phrase looks for its rarest tokens only, as many as leave it too few. Tokens are told apart by 64-bit hashes.
+    """
+    words = lambda t: F.array_sort(F.transform(F.array_distinct(T.tokens(t, T.STOP_RELATIONS)), lambda x: F.xxhash64(x)))
+    found = F.array(*[F.struct(F.lit(i).alias("pattern"), words(F.regexp_extract(text, p, 1)).alias("tokens")) for i, p in enumerate(patterns, 1)])
+    said = records.filter("stack is not null").select(F.col(key).alias("src"), "stack", F.explode(found).alias("p")).select("src", "stack", "p.pattern", "p.tokens").filter(F.size("tokens") >= 2)
+    said, titled = save(said.withColumn("phrase", F.xxhash64("stack", "tokens"))), save(title_classes(records, key, title))
+    # of a class of equal titles only the two smallest ids can be the first other record
+    ids = titled.filter("tile = 0").select("cls", F.explode(F.slice(F.array_sort("entries.key"), 1, 2)).alias("dst"))
+    one = titled.filter("tile = 0").select("cls", "stack", F.col("set").alias("title"), F.explode("set").alias("token"))
+    df = one.groupBy("stack", "token").agg(F.count(F.lit(1)).alias("df"))
+    p = said.select("phrase", "stack", "tokens").dropDuplicates(["phrase"])
+    order = p.select("phrase", "stack", F.explode("tokens").alias("token")).join(df, ["stack", "token"], "left").groupBy("phrase", "stack").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).getField("token").alias("tokens"))
+    n = F.size("tokens")
+    need = F.greatest(F.lit(2), F.ceil(n * least - 1e-9).cast("int"))  # so one of the rarest n - need + 1 tokens is common
+    heads = order.select("phrase", "stack", "tokens", F.explode(F.slice("tokens", F.lit(1), n - need + 1)).alias("token"))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    common = F.array_intersect("tokens", "title")
+    hits = heads.repartition(parts, "stack", "token").join(one, ["stack", "token"]).withColumn("_common", common).filter(F.get("_common", F.lit(0)) == F.col("token"))  # once: at the first token in common
+    hits = hits.select("phrase", "cls", F.size("_common").cast("bigint").alias("overlap"), n.alias("n")).filter((F.col("overlap") >= 2) & (F.col("overlap") / F.col("n") >= least))
+    near = hits.join(ids, "cls").withColumn("_k", F.row_number().over(Window.partitionBy("phrase").orderBy("dst"))).filter("_k <= 2").select("phrase", "dst", "overlap", "n")
+    best = said.join(near, "phrase").filter("src <> dst").groupBy("src", "pattern").agg(F.min(F.struct("dst", "overlap", "n")).alias("e"))
     return best.select("src", "e.dst", "pattern", "e.overlap", "e.n")
 
 
