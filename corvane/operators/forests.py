@@ -44,14 +44,16 @@ def spanning_forest(edges: DataFrame, save: Save, rounds: int = 64) -> DataFrame
     raise RuntimeError(f"components are still joined after {rounds} rounds")
 
 
-def filtration(edges: DataFrame, forest: DataFrame, steps: int = 20) -> DataFrame:
+def filtration(edges: DataFrame, forest: DataFrame, steps: int = 20, nodes: DataFrame | None = None) -> DataFrame:
     """(threshold, edges, b0, b1) at ``steps`` thresholds from 1 down to 0, two or more: kept edges, components and independent cycles.
 
-    Kept edges that are in the maximum spanning forest join components; all others close cycles. So one count of both by threshold gives every row.
+    Kept edges that are in the maximum spanning forest join components; all others close cycles. So one count of both by threshold gives every row. An edge with a column n
+    stands for so many; their nodes are those of the edges, or as many as the one row of ``nodes`` (_n) says.
     """
     step = F.ceil((1 - F.col("confidence") - 1e-12) * (steps - 1)).cast("int")  # the first threshold that keeps the edge
-    counted = edges.select(step.alias("k"), F.lit(1).alias("e"), F.lit(0).alias("f")).unionAll(forest.select(step, F.lit(0), F.lit(1)))
-    nodes = edges.select("a").unionAll(edges.select("b")).distinct().agg(F.count(F.lit(1)).alias("_n"))
+    counted = edges.select(step.alias("k"), (F.col("n") if "n" in edges.columns else F.lit(1)).alias("e"), F.lit(0).alias("f")).unionAll(forest.select(step, F.lit(0), F.lit(1)))
+    if nodes is None:
+        nodes = edges.select("a").unionAll(edges.select("b")).distinct().agg(F.count(F.lit(1)).alias("_n"))
     rows = edges.sparkSession.range(steps).select(F.col("id").cast("int").alias("k")).join(counted.groupBy(F.greatest("k", F.lit(0)).alias("k")).agg(F.sum("e").alias("e"), F.sum("f").alias("f")), "k", "left")
     upto = Window.orderBy("k")  # one row for each threshold
     total = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))

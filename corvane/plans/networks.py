@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forests, graphs, spectral
+from ..operators import forests, spectral, twins
+from ..operators import relations as L
 from ..sources.scratch import saved
 from . import relations as R
 from .base import query, r, records
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(a, b, confidence): pairs of similar titles, written once."""
-    return saved(R._pairs(spark, sf).select("a", "b", F.col("similarity").alias("confidence")))
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Links and members (see ``operators.twins``) of records with similar titles, written once."""
+    c = saved(L.title_classes(R._titled(spark, sf), "doc_id", F.col("title")))
+    links = saved(twins.links(c, 0.3, "stack"))
+    return links, saved(twins.members(c, links))
 
 
 FOREST = f"""{R.PAIRS}, t AS (SELECT (1 - i / 19.0::DOUBLE) AS th, i FROM range(0, 20) r(i)), n AS (SELECT a AS v FROM tp UNION SELECT b FROM tp), k AS (SELECT i, a, b FROM tp, t WHERE s >= th - 1e-12),
@@ -25,8 +28,8 @@ FOREST = f"""{R.PAIRS}, t AS (SELECT (1 - i / 19.0::DOUBLE) AS th, i FROM range(
 @query(f"""WITH RECURSIVE {FOREST} SELECT {r('th', 4)} AS threshold, coalesce(e, 0) AS edges, b0, coalesce(e, 0) - (SELECT count(*) FROM n) + b0 AS b1 FROM t JOIN b USING (i) LEFT JOIN e USING (i)""")
 def filtration_trace(spark: SparkSession, sf: str) -> DataFrame:
     """Edges, components and cycles at twenty thresholds of title similarity."""
-    e = _edges(spark, sf)
-    return forests.filtration(e, forests.spanning_forest(e, saved)).withColumn("threshold", T.round_to(F.col("threshold"), 4))
+    links, members = _graph(spark, sf)
+    return twins.filtration(links, members, twins.spanning_forest(links, members, saved)).withColumn("threshold", T.round_to(F.col("threshold"), 4))
 
 
 # the edge joins two components of what is kept before it: the order is the forest's
@@ -35,7 +38,7 @@ KRUSKAL = f"""WITH RECURSIVE {R.PAIRS}, o AS (SELECT *, row_number() OVER (ORDER
 
 @query(f"""{KRUSKAL} SELECT a, b, {r('s')} AS confidence FROM o WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.k = o.k AND reach.u = o.b)""")
 def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return forests.spanning_forest(_edges(spark, sf), saved).select("a", "b", T.round_to(F.col("confidence"), 6).alias("confidence"))
+    return twins.spanning_forest(*_graph(spark, sf), saved).select("a", "b", T.round_to(F.col("confidence"), 6).alias("confidence"))
 
 
 @query(f"""WITH RECURSIVE {R.PAIRS}, g AS (SELECT a AS i, b AS j FROM tp UNION ALL SELECT b, a FROM tp), adj AS (SELECT i, list(j) AS l FROM g GROUP BY i),
@@ -44,7 +47,7 @@ def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
     SELECT array_to_string(nodes, ',') AS nodes, len(nodes)::INT AS size, {r('avg(s)')} AS confidence FROM m JOIN tp ON list_contains(nodes, a) AND list_contains(nodes, b) GROUP BY nodes""")
 def title_cliques(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal cliques of three records or more with similar titles, and their mean similarity."""
-    d = forests.cliques(_edges(spark, sf))
+    d = forests.cliques(saved(R._pairs(spark, sf).select("a", "b", F.col("similarity").alias("confidence"))))
     return d.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"), "size", T.round_to(F.col("confidence"), 6).alias("confidence"))
 
 
@@ -58,7 +61,7 @@ def _propagated(rounds: int) -> str:
 @query(f"WITH {_propagated(5)} SELECT node, label FROM l5")
 def label_communities(spark: SparkSession, sf: str) -> DataFrame:
     """Communities after five rounds of label propagation."""
-    return graphs.label_propagation(_edges(spark, sf), saved, rounds=5)
+    return twins.label_propagation(*_graph(spark, sf), saved, rounds=5)
 
 
 def _rounds(rounds: int) -> str:
@@ -73,7 +76,8 @@ def _rounds(rounds: int) -> str:
 @query(f"WITH {_rounds(4)} SELECT node, {r('x')} AS x, {r('gap')} AS gap FROM v4, gap")
 def fiedler_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """Four rounds of the power iteration, from sin(node + 1)."""
-    v, gap = spectral.fiedler_rounds(_edges(spark, sf).withColumnRenamed("confidence", "w"), saved, F.sin(F.col("node") + 1), rounds=4)
+    links, members = _graph(spark, sf)
+    v, gap = spectral.fiedler_rounds(links.withColumnRenamed("confidence", "w"), saved, F.sin(F.col("node") + 1), rounds=4, twins=members)
     return v.select("node", T.round_to(F.col("x"), 6).alias("x"), T.round_to(F.lit(gap), 6).alias("gap"))
 
 
@@ -89,5 +93,6 @@ def _played(rounds: int) -> str:
 def best_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Four rounds of fictitious play of all records along similar titles."""
     conf = records(spark, sf).select(F.col("doc_id").alias("node"), "confidence")
-    d = spectral.best_responses(conf, _edges(spark, sf).withColumnRenamed("confidence", "w"), saved, rounds=4, least=0.0)
+    links, members = _graph(spark, sf)
+    d = spectral.best_responses(conf, links.withColumnRenamed("confidence", "w"), saved, rounds=4, least=0.0, twins=members)
     return d.select("node", T.round_to(F.col("share"), 9).alias("share"))
