@@ -10,7 +10,10 @@ from ..functions import text as T
 from ..operators import exports as E
 from ..operators import graphs as G
 from ..operators import records as R
+from ..operators import relations as L
 from ..operators import reports as P
+from ..operators import twins
+from ..sources.scratch import saved
 from . import relations as R_
 from .base import RECORDS, SEVERITY_RANK, query, r, records, table, tok
 
@@ -215,8 +218,8 @@ def migration_needed(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {R_.PAIRS}, p AS (SELECT stack, a, b FROM tp JOIN rec ON doc_id = a WHERE s > 0.6), m AS (SELECT stack, a AS m FROM p UNION ALL SELECT stack, b FROM p) SELECT stack, count(DISTINCT m) AS members FROM m GROUP BY stack HAVING count(DISTINCT m) > 5""")
 def saturated_stacks(spark: SparkSession, sf: str) -> DataFrame:
     """Stacks with more than five records whose titles have a similarity above 0.6 to another."""
-    p = R_._pairs(spark, sf).filter("similarity > 0.6").join(records(spark, sf).select(F.col("doc_id").alias("a"), "stack"), "a")
-    return P.saturated(p.select("stack", "a", "b"))
+    c = saved(L.title_classes(R_._titled(spark, sf), "doc_id", F.col("title")))
+    return twins.with_another(c, twins.links(c, 0.6, "stack").filter("confidence > 0.6"), "stack").filter("members > 5")
 
 
 @query(f"""WITH {RECORDS}, s AS (SELECT stack, domain, count(*) AS n FROM rec GROUP BY ALL) SELECT stack, domain, n / sum(n) OVER (PARTITION BY stack) > 0.2 AS hold FROM s""")
