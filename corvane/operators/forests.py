@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .graphs import components, degrees, maximal_cliques
+from . import cliques as C
+from .graphs import components
 
 Save = Callable[[DataFrame], DataFrame]
 
@@ -67,45 +66,9 @@ def cycle_edges(edges: DataFrame, forest: DataFrame) -> DataFrame:
 
 
 def cliques(edges: DataFrame, least: int = 3, most_edges: int = 20_000) -> DataFrame:
-    """(nodes, size, confidence): maximal cliques of ``least`` nodes or more of ``simple`` edges, nodes ascending, with the mean confidence of their pairs.
-
-    Nodes are ordered by degree, then id; a clique belongs to its first node, whose later neighbours are at most about the root of twice the number of
-    edges. A task gets the edges among one node's later neighbours (from triangles) and lists the cliques that are maximal there; a node with more than
-    ``most_edges`` of them is split by the clique's second node. A clique found is maximal in the graph if none of its first node's other neighbours is next to all of its nodes.
-    """
+    """(nodes, size, confidence): maximal cliques of ``least`` nodes or more of ``simple`` edges, nodes ascending, with the mean confidence of their pairs (see ``cliques.cliques``)."""
     if least < 3:
         raise ValueError("cliques of two nodes are edges")
-    kind = edges.schema["a"].dataType
-    rank = degrees(edges)
-    e = edges.join(rank.withColumnsRenamed({"node": "a", "degree": "da"}), "a").join(rank.withColumnsRenamed({"node": "b", "degree": "db"}), "b")
-    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    arcs = e.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedges = arcs.join(arcs.withColumnRenamed("v", "w"), "u").filter("v <> w")
-    near = wedges.join(arcs.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")  # u's triangles, v before w
-    heavy = near.groupBy("u").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_edges).select("u")
-    whole = near.join(heavy, "u", "left_anti").groupBy(F.array("u").alias("head")).agg(F.collect_list(F.struct("v", "w")).alias("e"))
-    # of a heavy node: for its later neighbour s, the edges v-w with s next to both
-    split = near.join(heavy, "u", "left_semi")
-    third = split.select("u", F.col("v").alias("s"), F.col("w").alias("x"))
-    inner = third.join(third.select("u", "s", F.col("x").alias("y")), ["u", "s"]).join(split.select("u", F.col("v").alias("x"), F.col("w").alias("y")), ["u", "x", "y"], "left_semi")
-    parts = inner.groupBy(F.array("u", "s").alias("head")).agg(F.collect_list(F.struct(F.col("x").alias("v"), F.col("y").alias("w"))).alias("e"))
-    ends = third.select(F.array("u", "s").alias("head"), F.array("x").alias("tail"))  # triangles, maximal or not
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for head, pairs in zip(batch.column(0), batch.column(1), strict=True):
-                found = maximal_cliques([(p["v"], p["w"]) for p in pairs.as_py()], 2)
-                for at in range(0, len(found), 10_000):
-                    part = found[at : at + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([head.as_py()] * len(part), batch.schema.field(0).type), pa.array([list(c) for c in part], batch.schema.field(0).type)], names=["head", "tail"])
-
-    out = StructType([StructField("head", ArrayType(kind)), StructField("tail", ArrayType(kind))])
-    listed = whole.mapInArrow(run, out).unionAll(parts.mapInArrow(run, out)).unionAll(ends)
-    found = listed.select(F.col("head")[0].alias("u"), F.array_sort(F.concat("head", "tail")).alias("nodes")).filter(F.size("nodes") >= least).distinct()
-    both = edges.select("a", "b").unionAll(edges.select("b", "a"))
-    others = found.join(both.select(F.col("a").alias("u"), F.col("b").alias("x")), "u").filter(~F.array_contains("nodes", F.col("x")))
-    beside = others.select("nodes", "x", F.explode("nodes").alias("a")).join(both.withColumnRenamed("b", "x"), ["a", "x"], "left_semi")
-    larger = beside.groupBy("nodes", "x").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == F.size("nodes")).select("nodes").distinct()
-    kept = found.join(larger, "nodes", "left_anti").select("nodes")
-    pairs = kept.select("nodes", F.explode("nodes").alias("a")).select("nodes", "a", F.explode("nodes").alias("b")).filter("a < b").join(edges, ["a", "b"])
-    return pairs.groupBy("nodes").agg(F.avg("confidence").alias("confidence")).select("nodes", F.size("nodes").alias("size"), "confidence")
+    one = F.lit(1).cast("bigint")
+    nodes = edges.select("a").unionAll(edges.select("b")).distinct()
+    return C.cliques(edges.select("a", "b", "confidence", one.alias("n_a"), one.alias("n_b")), nodes.select(F.col("a").alias("node"), F.col("a").alias("cls"), one.alias("n")), least, most_edges)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forests, spectral, twins
+from ..operators import cliques, spectral, twins
 from ..operators import relations as L
 from ..sources.scratch import saved
 from . import relations as R
@@ -47,7 +47,7 @@ def spanning_forest(spark: SparkSession, sf: str) -> DataFrame:
     SELECT array_to_string(nodes, ',') AS nodes, len(nodes)::INT AS size, {r('avg(s)')} AS confidence FROM m JOIN tp ON list_contains(nodes, a) AND list_contains(nodes, b) GROUP BY nodes""")
 def title_cliques(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal cliques of three records or more with similar titles, and their mean similarity."""
-    d = forests.cliques(saved(R._pairs(spark, sf).select("a", "b", F.col("similarity").alias("confidence"))))
+    d = cliques.cliques(*_graph(spark, sf), save=saved)
     return d.select(F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"), "size", T.round_to(F.col("confidence"), 6).alias("confidence"))
 
 
