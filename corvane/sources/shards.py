@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EDGE = "src string, type string, dst string, confidence double, source string, shard string"
@@ -31,34 +31,33 @@ def merged_edges(old: DataFrame, delta: DataFrame) -> DataFrame:
     An old edge without a confidence is certain, and is written so, if ``delta`` has edges of its source and type; elsewhere it stays as it is.
     """
     key = ["shard", "src", "type"]
-    touched = delta.select(*key).distinct().withColumn("_touched", F.lit(True))
-    legacy = F.col("_touched") & F.col("confidence").isNull()
-    had = old.join(touched, key, "left").withColumn("_given", F.coalesce(legacy, F.lit(False))).withColumns({"source": F.when(legacy, LEGACY[1]).otherwise(F.col("source")), "confidence": F.when(legacy, LEGACY[0]).otherwise(F.col("confidence"))})
-    both = had.select(*key, "dst", "confidence", "source", "_given", F.lit(1).alias("_old")).unionByName(delta.select(*key, "dst", "confidence", "source", F.lit(False).alias("_given"), F.lit(0).alias("_old")))
+    both = old.select(*key, "dst", "confidence", "source", F.lit(1).alias("_old")).unionAll(delta.select(*key, "dst", "confidence", "source", F.lit(0)))
+    own = Window.partitionBy(*key).orderBy("dst").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # the order is that of the aggregate, which so needs no shuffle of its own
+    legacy = (F.min("_old").over(own) == 0) & (F.col("_old") == 1) & F.col("confidence").isNull()
+    both = both.withColumn("_given", legacy).withColumns({"source": F.when(F.col("_given"), LEGACY[1]).otherwise(F.col("source")), "confidence": F.when(F.col("_given"), LEGACY[0]).otherwise(F.col("confidence"))})
     best = F.max_by(F.struct("confidence", "source"), F.struct("confidence", "_old", "source")).alias("_e")
     d = both.groupBy(*key, "dst").agg(best, F.max(F.when(F.col("_old") == 1, F.coalesce("confidence", F.lit(-1.0)))).alias("_was"), F.min("_old").alias("_new"), F.max("_given").alias("_given"))
     changed = F.col("_given") | ((F.col("_new") == 0) & (F.col("_was").isNull() | (F.col("_e.confidence") > F.col("_was"))))
     return d.select("src", "type", "dst", "_e.confidence", "_e.source", "shard", changed.alias("changed"))
 
 
-def merge_edges(spark: SparkSession, store: str, delta: DataFrame, records: DataFrame, save: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> DataFrame:
+def merge_edges(spark: SparkSession, store: str, delta: DataFrame, records: DataFrame | None, save: Callable[[DataFrame], DataFrame], dry_run: bool = False) -> DataFrame:
     """Merge ``delta`` (src, type, dst, confidence, source) into the store at ``store`` and return what changes: (shard, src, type, edges, changed).
 
-    ``records`` (id, shard) tells where a source's edges belong; edges of unknown sources are left out, as are loops and edges without target or confidence. Only
+    ``records`` (id, shard) tells where a source's edges belong, or, if it is None, delta's own column shard; edges of unknown sources are left out, as are loops and edges without target or confidence. Only
     shards that delta touches are read, and of these only such as hold a changed edge are written anew, each replaced as a whole, so files of all others keep
     their bytes, and a merge that is run again changes nothing. ``dry_run`` lists the changes and writes nothing.
     """
     known = delta.filter("src <> dst and type is not null and confidence is not null")
-    known = known.join(records.select(F.col("id").alias("src"), "shard").filter("shard is not null").distinct(), "src").groupBy("shard", "src", "type", "dst")
-    best = known.agg(F.max(F.struct("confidence", "source")).alias("e")).select("src", "type", "dst", "e.confidence", "e.source", "shard")
-    best = save(best)
-    touched = best.select("shard").distinct()
-    merged = save(merged_edges(read_edges(spark, store).join(touched, "shard", "left_semi"), best))
+    if records is not None:
+        known = known.join(records.select(F.col("id").alias("src"), "shard").filter("shard is not null").distinct(), "src")
+    known = save(known.filter("shard is not null").select("src", "type", "dst", "confidence", "source", "shard"))
+    merged = save(merged_edges(read_edges(spark, store).join(known.select("shard").distinct(), "shard", "left_semi"), known))
     report = merged.groupBy("shard", "src", "type").agg(F.count(F.lit(1)).alias("edges"), F.count_if("changed").alias("changed")).filter("changed > 0")
     if not dry_run:
         rewritten = merged.join(merged.filter("changed").select("shard").distinct(), "shard", "left_semi").drop("changed")
         if not rewritten.isEmpty():
-            ordered = rewritten.repartition("shard").sortWithinPartitions("shard", "src", "type", "dst")
+            ordered = rewritten.sortWithinPartitions("shard", "src", "type", "dst")  # a shard may be most of the store, so it has a file from each task
             ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(store)
             spark.catalog.refreshByPath(store)
     return report

@@ -148,6 +148,16 @@ def test_merge_into_shards(spark, tmp_path):
     assert shards.merge_edges(spark, f"{store}-2", delta.limit(0), records, saved).count() == 0 and shards.read_edges(spark, f"{store}-2").count() == 0
 
 
+def test_merge_with_shards_of_its_own(spark, tmp_path):
+    """A delta that says where its edges belong; those of a source without an edge in it keep their null."""
+    store = f"file://{tmp_path}/store"
+    spark.createDataFrame([("a", "t", "b", None, None, "s1"), ("a", "t", "c", None, None, "s1"), ("x", "t", "y", None, None, "s1")], shards.EDGE).write.partitionBy("shard").parquet(store)
+    delta = spark.createDataFrame([("a", "t", "b", 0.5, "new", "s1"), ("a", "t", "b", 0.4, "new", "s1"), ("z", "t", "a", 0.4, "new", None), ("z", "t", "a", 0.3, "new", "s2")], "src string, type string, dst string, confidence double, source string, shard string")
+    assert sorted(map(tuple, shards.merge_edges(spark, store, delta, None, saved).collect())) == [("s1", "a", "t", 2, 2), ("s2", "z", "t", 1, 1)]
+    got = sorted((r.src, r.dst, r.confidence, r.source, r.shard) for r in shards.read_edges(spark, store).collect())
+    assert got == [("a", "b", 1.0, "legacy", "s1"), ("a", "c", 1.0, "legacy", "s1"), ("x", "y", None, None, "s1"), ("z", "a", 0.3, "new", "s2")]
+
+
 def run(stream, path, name):
     stream.writeStream.format("parquet").option("path", f"{path}/{name}").option("checkpointLocation", f"{path}/{name}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
