@@ -98,22 +98,23 @@ def capture_seed(store: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFra
 def nearest_known(new: DataFrame, known: DataFrame, least: float = DUPLICATE, block: str | None = "stack", key: str = "id") -> DataFrame:
     """(key, nearest, similarity): for rows of ``new`` the record of ``known`` (of another id and the same ``block``) with the most similar tokens, at ``least`` or more; ties to the smaller id.
 
-    ``key`` tells the rows of ``new`` apart. Equal token sets of a side are joined as one, so copies on both sides don't square up.
+    ``key`` tells the rows of ``new`` apart. Equal token sets of a side are joined as one, so copies on both sides don't square up, and of the pairs found
+    a task of the comparison gives at most two for a set of ``new``.
     """
     cols = [block] if block else []
     tokens = F.array_sort(F.transform(T.distinct_tokens(F.concat_ws(" ", *TEXTS)), lambda t: F.xxhash64(t)))
     side = lambda d, s, k: d.select(k, *(["id"] if k != "id" else []), *[F.coalesce(c, F.lit("")).alias(c) for c in cols], F.lit(s).alias("_side"), tokens.alias("_t")).withColumn("_k", F.concat_ws("/", "_side", F.sha2(F.array_join(F.col("_t").cast("array<string>"), " "), 256), *cols))
-    fresh, old = side(new, "new", key), side(known, "known", "id")
-    fresh, old = saved(fresh), saved(old)
-    sets = fresh.select("_k", "_side", *cols, "_t").unionByName(old.select("_k", "_side", *cols, "_t")).dropDuplicates(["_k"])
-    pairs = X.similar_pairs(sets.withColumnRenamed("_t", "tokens"), "_k", least, block, "_side")
-    is_new = F.col("a").startswith("new/")
-    pairs = pairs.select(F.when(is_new, F.col("a")).otherwise(F.col("b")).alias("_k"), F.when(is_new, F.col("b")).otherwise(F.col("a")).alias("_o"), "similarity")
+    rows = side(new, "new", key).unionByName(side(known, "known", "id"), allowMissingColumns=True)
+    rows = saved(rows.withColumns({"_n": F.size("_t"), "_row": F.monotonically_increasing_id()}))  # tokens once; all but the step that deals sets out reads the narrow columns only
     # the two smallest ids of a class of known records, so that a record isn't its own duplicate
+    old = rows.filter("_side = 'known'").select("_k", "id")
     first = old.groupBy("_k").agg(F.min("id").alias("_1"))
     second = old.join(first, "_k").filter("id <> _1").groupBy("_k").agg(F.min("id").alias("_2"))
-    ids = first.join(second, "_k", "left").withColumnRenamed("_k", "_o")
-    found = fresh.select(*dict.fromkeys([key, "id"]), "_k").join(pairs, "_k").join(ids, "_o")
+    one = rows.groupBy("_k").agg(F.min("_row").alias("_row")).join(first, "_k", "left").join(second, "_k", "left").drop("_k")
+    sets = rows.join(one, "_row").select("_k", "_side", *cols, F.col("_t").alias("tokens"), "_n", "_1", "_2")
+    pairs = X.similar_pairs(sets, "_k", least, block, "_side", carry=("_1", "_2"), nearest=("_1", "_2"), size="_n", postings=1_000_000)
+    pairs = pairs.select(F.when(F.col("a").startswith("new/"), F.col("a")).otherwise(F.col("b")).alias("_k"), *[F.coalesce(f"{c}_a", f"{c}_b").alias(c) for c in ("_1", "_2")], "similarity")
+    found = rows.filter("_side = 'new'").select(*dict.fromkeys([key, "id"]), "_k").join(pairs, "_k")
     found = found.withColumn("nearest", F.when(F.col("_1") != F.col("id"), F.col("_1")).otherwise(F.col("_2"))).filter("nearest is not null")
     best = F.min_by(F.struct("nearest", "similarity"), F.struct(-F.col("similarity"), F.col("nearest")))
     return found.groupBy(key).agg(best.alias("_b")).select(key, "_b.nearest", "_b.similarity")

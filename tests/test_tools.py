@@ -152,3 +152,22 @@ def test_hosts_in_brackets_are_unsafe(spark):
     urls = {"http://[::1]/": False, "http://[fe80::1]/": False, "http://[::ffff:10.0.0.1]/x": False, "http://[fd00::2]:80/": False, "http://[::ffff:7f00:1]/": False, "http://[::]/": False, "http://[2001:db8::5]/": True, "https://a.org:80/": True, "http://127.0.0.1/": False, "http://u@10.1.2.3/": False}
     d = spark.createDataFrame([(u,) for u in urls], "u string").select("u", T.safe_url(F.col("u")).alias("ok"))
     assert {r.u: r.ok for r in d.collect()} == urls
+
+
+@pytest.mark.parametrize("postings", [60, 500_000])
+def test_two_nearest_names_are_given_only(spark, postings):
+    """A set that looks for a name among 40 that are alike gets no more than two pairs of a task, among them the nearest that isn't its own."""
+    from corvane.operators import retrieval as X
+
+    rows = [(f"new/{i}", "new", [*range(10)], None, None) for i in range(3)] + [(f"known/{i}", "known", [*range(10 - i % 3), 100 + i], f"k{i:02}", f"l{i:02}" if i % 2 else None) for i in range(40)]
+    d = spark.createDataFrame(rows, "k string, side string, tokens array<long>, one string, two string")
+    got = X.similar_pairs(d, "k", 0.45, differ="side", carry=("one", "two"), nearest=("one", "two"), postings=postings).collect()
+    tasks = 1 if postings > 1000 else 36
+    assert len(got) <= 3 * 2 * tasks and (tasks > 1 or {(r.a, r.one_a) for r in got} == {("known/0", "k00"), ("known/3", "k03")})
+    for name in ("k00", "zz"):
+        best = {}
+        for r in got:
+            near = r.one_a if r.one_a != name else r.two_a
+            if near:
+                best[r.b] = min(best.get(r.b, (0, "")), (-r.similarity, near))
+        assert {x[1] for x in best.values()} == {"k00" if name == "zz" else "k03"} and len(best) == 3
