@@ -150,10 +150,10 @@ def graze(own: DataFrame, candidates: DataFrame, score: DataFrame, duplicate: fl
 
     Nothing is merged: it is what a person decides by. Likely duplicates are looked for in all of ``own``.
     """
-    fresh = candidates.join(own.select("id"), "id", "left_anti").join(score.filter("score > 0"), "id")
     errors, _ = R.structural_findings(candidates.columns)
-    d = fresh.select("id", "score", errors.alias("errors")).withColumn("structural_ok", F.size("errors") == 0)
-    d = d.join(nearest_known(fresh, own, duplicate, None), "id", "left")
+    d = candidates.select("id", errors.alias("errors")).withColumn("structural_ok", F.size("errors") == 0)  # before the joins, which then move no text
+    d = d.join(own.select("id"), "id", "left_anti").join(score.filter("score > 0"), "id").select("id", "score", "errors", "structural_ok")
+    d = d.join(nearest_known(candidates, own, duplicate, None), "id", "left")
     twin = F.col("nearest").isNotNull()
     overlap = F.concat(F.lit('"'), "nearest", F.lit('" ('), F.floor(F.col("similarity") * 100 + 0.5).cast("string"), F.lit("% overlap)"))
     advice = (
